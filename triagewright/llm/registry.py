@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from triagewright.llm.chat import OP2_SQL, op2_chat_format
 from triagewright.llm.decontaminate import OP4_SQL, op4_decontaminate
+from triagewright.llm.language import op9_language
+from triagewright.llm.secrets import op6_secrets
 from triagewright.llm.token_counts import op5_token_counts
+from triagewright.llm.toxicity import op7_toxicity
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts}
+QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_token_counts": op5_token_counts,
+    "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
+    "op9_language": op9_language,
+}
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_decontaminate": OP4_SQL}
