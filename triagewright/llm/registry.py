@@ -6,6 +6,7 @@ from triagewright.llm.chat import OP2_SQL, op2_chat_format
 from triagewright.llm.decontaminate import OP4_SQL, op4_decontaminate
 from triagewright.llm.language import op9_language
 from triagewright.llm.secrets import op6_secrets
+from triagewright.llm.simhash import op8_simhash
 from triagewright.llm.token_counts import op5_token_counts
 from triagewright.llm.toxicity import op7_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
+    "op8_simhash": op8_simhash,
     "op9_language": op9_language,
 }
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_decontaminate": OP4_SQL}
