@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from triagewright.llm.chat import OP2_SQL, op2_chat_format
 from triagewright.llm.decontaminate import OP4_SQL, op4_decontaminate
+from triagewright.llm.fingerprints import op1_fingerprints
 from triagewright.llm.language import op9_language
+from triagewright.llm.mixing import op10_mixing
 from triagewright.llm.secrets import op6_secrets
 from triagewright.llm.simhash import op8_simhash
 from triagewright.llm.token_counts import op5_token_counts
 from triagewright.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_chat_format": op2_chat_format,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
@@ -18,5 +21,6 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
+    "op10_mixing": op10_mixing,
 }
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_decontaminate": OP4_SQL}
