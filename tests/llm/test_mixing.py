@@ -15,8 +15,9 @@ def test_rates_solve_the_least_squares_problem(spark):
     share = w / w.sum()
     assert got.min() >= 0 and np.abs((share * got) @ p - b).max() < 1e-4
     r = np.ones(500)  # plain projected gradient
-    for _ in range(20_000):
-        r = np.maximum(0, r - p @ ((share * r) @ p - b))
+    own = share @ p**2
+    for _ in range(5000):
+        r = np.maximum(0, r - 0.3 * p @ (((share * r) @ p - b) / own))
     assert np.abs((share * r) @ p - b).max() < 1e-3
 
 

@@ -3,9 +3,9 @@
 Soft membership: a classifier learnt from a labelled table gives each document a posterior over domains. Documents then get
 nonnegative rates whose expected domain token totals match targets: the least squares problem
 
-    min 1/2 |sum_d w_d r_d p_d - b|^2,  r >= 0,  w_d = tokens_d / all tokens
+    min 1/2 sum_k (sum_d w_d r_d p_dk - b_k)^2 / m_k,  r >= 0,  w_d = tokens_d / all tokens,  m_k = sum_d w_d p_dk^2
 
-is solved by accelerated projected gradient steps from r = 1. A pass over the slim table of posteriors sums up the
+(m_k lets a rare domain count as much as a common one, and makes the steps converge fast) is solved by accelerated projected gradient steps from r = 1. A pass over the slim table of posteriors sums up the
 residual (as many numbers as there are domains); a rate depends on the posterior and on the residuals so far alone, so
 rates are an expression over a few literals, and no iterate is stored, shuffled or collected.
 
@@ -106,7 +106,7 @@ def rate(p: Column, steps: list[tuple[float, list[float]]]) -> tuple[Column, Col
     return end["rate"], end["ahead"]
 
 
-def solve(soft: DataFrame, targets: list[float], rounds: int = 60, close: float = 1e-6) -> list[tuple[float, list[float]]]:
+def solve(soft: DataFrame, targets: list[float], rounds: int = 30, close: float = 1e-5) -> list[tuple[float, list[float]]]:
     """The steps whose rates bring the expected shares of soft (n_tokens, p) to the targets. Sums over all rows; a few numbers reach the driver a round."""
     k = len(targets)
     p, w = F.col("p"), F.col("n_tokens").cast("double")
@@ -114,7 +114,8 @@ def solve(soft: DataFrame, targets: list[float], rounds: int = 60, close: float
     first = soft.agg(F.sum(w).alias("all"), *squares).first()
     if not first["all"]:
         return []
-    steep = max(sum(abs(first[f"m{i}_{j}"]) for j in range(k)) for i in range(k)) / first["all"]  # bounds the largest eigenvalue
+    own = [first[f"m{i}_{i}"] / first["all"] or 1.0 for i in range(k)]
+    steep = max(sum(first[f"m{i}_{j}"] / first["all"] / math.sqrt(own[i] * own[j]) for j in range(k)) for i in range(k)) or 1.0  # bounds the largest eigenvalue
     steps: list[tuple[float, list[float]]] = []
     t = 1.0
     for _ in range(rounds):
@@ -122,14 +123,14 @@ def solve(soft: DataFrame, targets: list[float], rounds: int = 60, close: float
         sums = soft.select(w.alias("w"), "p", ahead.alias("y")).agg(*[F.sum(F.col("w") * F.col("y") * F.get(p, F.lit(i))).alias(f"a{i}") for i in range(k)]).first()
         rest = [sums[f"a{i}"] / first["all"] - targets[i] for i in range(k)]
         nxt = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        steps.append(((t - 1) / nxt, [x / steep for x in rest]))
+        steps.append(((t - 1) / nxt, [x / m / steep for x, m in zip(rest, own)]))
         t = nxt
         if max(map(abs, rest)) < close:
             break
     return steps
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", rounds: int = 60, train: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", rounds: int = 30, train: DataFrame | None = None) -> DataFrame:
     """docs with n_tokens, posterior (domain to probability), rate and copies: the rate as a whole number that is right on average, by a hash of the key.
 
     labels: (key, domain). train: the documents that labels tell of, if others than docs.
