@@ -9,12 +9,14 @@ from triagewright.llm.language import op9_language
 from triagewright.llm.mixing import op10_mixing
 from triagewright.llm.secrets import op6_secrets
 from triagewright.llm.simhash import op8_simhash
+from triagewright.llm.suffix_dedup import op3_suffix_dedup
 from triagewright.llm.token_counts import op5_token_counts
 from triagewright.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat_format": op2_chat_format,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
