@@ -11,7 +11,6 @@ documents are scanned each. An empty benchmark marks nothing.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -133,6 +132,12 @@ def decontaminate(
     return found.select(*keep, "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
+def decontaminate_texts(docs: DataFrame, items: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """docs with their texts, with n_words, n_hit, spans and items."""
+    found = decontaminate(docs.withColumn("_kept", F.col(text)), items, text=text, **settings)
+    return found.withColumnRenamed("_kept", text)
+
+
 def several(docs: DataFrame, parts: list, keep: list[str], text: str) -> DataFrame:
     """scan() for a benchmark of more than one slice: each slice reads the documents once, hits meet per document."""
     rows = docs.select(*keep, text, F.monotonically_increasing_id().alias("_row"))
