@@ -29,7 +29,7 @@ from triagewright.llm.fingerprints import let
 TRAIN_ROWS, VOCABULARY = 4000, 192
 #: Domains of the labels table, and what share of all tokens each should have.
 DOMAINS = ("clean", "low", "toxic")
-TARGETS = {"clean": 0.85, "low": 0.13, "toxic": 0.02}
+TARGETS = {"clean": 0.9, "low": 0.05, "toxic": 0.05}
 WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -38,20 +38,22 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD), "")
 
 
 def features(w: Column, chars: Column) -> Column:
     """The distinct words, and tags: how many words, how long, how often repeated, how much of the text is no word."""
-    n = F.size(w)
-    unique = F.array_distinct(w)
     level = lambda name, x: F.concat(F.lit(f"#{name}:"), x.cast("int").cast("string"))
-    tags = F.array(
-        level("words", F.floor(F.log2(n + F.lit(1.0)))),
-        level("length", F.least(F.floor(chars / F.greatest(n, F.lit(1))), F.lit(20))),
-        level("distinct", F.floor(F.size(unique) * 10 / F.greatest(n, F.lit(1)))),
-    )
-    return F.concat(unique, tags)
+
+    def of(n: Column, unique: Column) -> Column:
+        tags = F.array(
+            level("words", F.floor(F.log2(n + F.lit(1.0)))),
+            level("length", F.least(F.floor(chars / F.greatest(n, F.lit(1))), F.lit(20))),
+            level("distinct", F.floor(F.size(unique) * 10 / F.greatest(n, F.lit(1)))),
+        )
+        return F.concat(unique, tags)
+
+    return let(w, lambda w: let(F.array_distinct(w), lambda u: of(F.size(w), u)))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> dict:
@@ -65,7 +67,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     if not domains:
         return {"domains": ["unknown"], "prior": [0.0], "odds": {}}
     each = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
-    counts = bags.select("domain", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *each).where("n >= 4")
+    counts = bags.select("domain", F.explode_outer("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *each).where("n >= 4")
     lean = sum((F.abs(F.col(f"n{i}") - F.col("n") * (sizes[d] / total)) / F.sqrt(F.col("n") * (sizes[d] / total) + 1.0) for i, d in enumerate(domains)), F.lit(0.0))
     top = counts.withColumn("lean", lean).orderBy(F.col("f").startswith("#").desc(), F.desc("lean"), "f").limit(VOCABULARY).collect()
     odds = {r.f: [math.log((r[f"n{i}"] + 0.5) / (sizes[d] + 1)) - math.log((r.n + 0.5) / (total + 1)) for i, d in enumerate(domains)] for r in top if r.f.startswith("#") or r.lean > 6}
@@ -139,9 +141,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str
     names = model["domains"]
     added = ["n_tokens", "posterior", "rate", "copies"]
     keep = [c for c in docs.columns if c not in added]
-    soft = common.written(posteriors(docs, model, text, [key]).select("n_tokens", "p"), "posteriors")
-    steps = solve(soft, [float(targets.get(n, 0.0)) for n in names], rounds)
-    rows = posteriors(docs, model, text, keep)
+    rows = common.written(posteriors(docs, model, text, keep), "posteriors")  # the rounds read two slim columns of it
+    steps = solve(rows.select("n_tokens", "p"), [float(targets.get(n, 0.0)) for n in names], rounds)
     exact = rows.select("*", rate(F.col("p"), steps)[0].alias("rate"))
     spread = F.pmod(F.xxhash64(F.col(key), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + (spread < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
