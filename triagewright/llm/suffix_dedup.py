@@ -13,7 +13,7 @@ hold. The steps:
 5. Offsets come back by context, are merged per text and cut out.
 
 A gram with more than `group` contexts (a passage of a third of all documents, each with other words around it) isn't sorted in one task: its
-runs are counted one by one by hash, which Spark splits and sums up anywhere.
+runs are counted by hash, in blocks and then one by one, which Spark splits and sums up anywhere.
 
 Null texts count as empty. Shorter texts than `window` keep all. Repeated rows are copies of each other. An empty table gives an empty table.
 """
@@ -147,28 +147,56 @@ def compared(runs: DataFrame, window: int) -> DataFrame:
     return runs.mapInArrow(merge, out)
 
 
-def counted(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """As compared(), for grams with too many contexts: each window is counted by its hash, and those that occur twice come back."""
-    before = window - gram
+def slices_of(texts: DataFrame, pieces) -> DataFrame:
+    """(row, a, b, h, c, at, n, k, low, high): a 128-bit hash of each piece (k, start, end) that pieces(w, size) cuts for a wanted context."""
+    out = StructType([texts.schema["_row"], *StructType.fromDDL("a long, b long, h long, c long, at int, n long, k int, low long, high long").fields])
+    schema = to_arrow_schema(out)
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            for t, wanted in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("wanted").to_pylist()):
+            held = []
+            for row, x, y, t, wanted in zip(*(b.column(c).to_pylist() for c in ("_row", "a", "b")), b.column("text").cast(pa.binary()).to_pylist(), b.column("wanted").to_pylist()):
                 for w in wanted:
-                    at = w["at"]
-                    offsets = [o for o in range(min(at, before) + 1) if at - o + window <= len(t)]
-                    d = [xxhash.xxh3_128_intdigest(t[at - o : at - o + window]) for o in offsets]
-                    low = [x % (1 << 64) - (1 << 63) for x in d]
-                    high = [(x >> 64) - (1 << 63) for x in d]
-                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(d), pa.int64()) for v in (w["h"], w["c"], w["n"])] + [pa.array(offsets, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["h", "c", "n", "o", "low", "high"])
+                    for k, start, end in pieces(w, len(t)):
+                        d = xxhash.xxh3_128_intdigest(t[start:end])
+                        held.append((row, x, y, w["h"], w["c"], w["at"], w["n"], k, d % (1 << 64) - (1 << 63), (d >> 64) - (1 << 63)))
+                    if len(held) > 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*held), schema)], schema=schema)
+                        held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*held), schema)], schema=schema)
+
+    return texts.select("_row", "a", "b", "text", "wanted").mapInArrow(run, out)
+
+
+def twice(pieces: DataFrame) -> DataFrame:
+    """Those pieces that other contexts of the same gram have too, at the same place."""
+    same = ["h", "k", "low", "high"]
+    return pieces.join(pieces.groupBy(*same).agg(F.sum("n").alias("all")).where("all > 1").drop("all"), same)
+
+
+def counted(texts: DataFrame, slim: DataFrame, window: int, gram: int, width: int = 16) -> DataFrame:
+    """As compared(), for grams with too many contexts. Blocks of `width` windows are counted first, by a hash of the bytes that all windows of the
+    block share; windows are then counted one by one in the blocks that occur twice. texts: _row, a, b, text, wanted; slim: _row, a, b, text.
+    """
+    before = window - gram
+    valid = lambda w, size: range(max(0, w["at"] + window - size), min(w["at"], before) + 1)
+
+    def blocks(w: dict, size: int) -> Iterator[tuple[int, int, int]]:
+        o = valid(w, size)
+        for k in range(o.start // width, -(-o.stop // width)) if len(o) else ():
+            yield k, w["at"] - k * width, w["at"] + window - (k * width + width - 1)
+
+    def windows(w: dict, size: int) -> Iterator[tuple[int, int, int]]:
+        o = valid(w, size)
+        for i in range(max(o.start, w["k"] * width), min(o.stop, (w["k"] + 1) * width)):
+            yield i, w["at"] - i, w["at"] - i + window
 
-    windows = texts.mapInArrow(cut, "h long, c long, n long, o int, low long, high long")
-    same = ["h", "o", "low", "high"]  # a window is in the contexts of several anchors; equal ones agree in each of them
-    twice = windows.groupBy(*same).agg(F.sum("n").alias("all")).where("all > 1")
-    found = windows.where("n = 1").join(twice, same)
-    return found.groupBy("h", "c").agg(F.collect_set(F.struct(F.col("o").alias("first"), F.col("o").alias("last"))).alias("offsets"))
+    left = common.written(twice(slices_of(texts, blocks)).groupBy("_row", "a", "b").agg(F.collect_list(F.struct("h", "c", "at", "n", "k")).alias("wanted")), "blocks")
+    found = twice(slices_of(same_rows(slim, left, "_row"), windows)).where("n = 1")
+    return found.groupBy("h", "c").agg(F.collect_list(F.struct(F.col("k").alias("first"), F.col("k").alias("last"))).alias("offsets"))
 
 
 def cut_out(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -214,7 +242,9 @@ def repeated_spans(docs: DataFrame, text: str, row: str, window: int = WINDOW, g
     few = runs_of(with_text.where(F.size("few") > 0).select("text", F.col("few").alias("wanted")), nb, window, gram)
     found = compared(few.repartition(nb, "bucket").sortWithinPartitions("bucket"), window)
     if holders.where(F.size("lots") > 0).limit(1).count():
-        found = found.unionByName(counted(with_text.where(F.size("lots") > 0).select("text", F.col("lots").alias("wanted")), window, gram))
+        named = lambda df: df.withColumnRenamed(row, "_row")
+        lots = named(with_text.where(F.size("lots") > 0)).withColumn("wanted", F.col("lots"))
+        found = found.unionByName(counted(lots, named(slim.select(row, "a", "b", F.col(text).alias("text"))), window, gram))
     whole = contexts.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("first"), F.lit(before).alias("last"))).alias("offsets"))
     offsets = common.written(found.unionByName(whole), "offsets")
     clip = lambda s: F.struct(
