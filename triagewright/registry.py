@@ -1,6 +1,287 @@
-"""Registered queries and their oracles."""
+"""Registered queries and their DuckDB oracles. All work on failures, history and answers derived from the events table."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from triagewright import fixtures as X
+from triagewright import oracles as O
+from triagewright import schemas as S
+from triagewright.functions import text as T
+from triagewright.operators import answers as A
+from triagewright.operators import clusters as C
+from triagewright.operators import grouping as G
+from triagewright.operators import history as H
+from triagewright.operators import prompts as P
+from triagewright.plans import jobs as J
+from triagewright.plans.shared import shared_path
+from triagewright.sources import reports as R
+from triagewright.streaming import jobs as ST
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return T.components(X.failures(spark, d))
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    return H.with_ids(R.to_requests(X.failures(spark, d)))
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    """A feedback log: an AI event for every third failure, a correction for every seventh; purchases have AI events alone, under their legacy ids."""
+    rows = R.to_requests(X.failures(spark, d)).join(X.responses(spark, d).withColumnsRenamed({"classification": "ai_classification"}), "failure_idx")
+    rows = H.feedback_columns(H.with_ids(rows))
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("failure_idx"))
+    rows = rows.withColumns({"event_time": when, "created_at": when, "seq": F.col("failure_idx"), "source": F.lit("AI")})
+    lists = {c: F.array(F.lit(c)) for c in S.RESPONSE_LISTS}
+    ai = rows.where("failure_idx % 3 = 0").withColumns({"kind": F.lit("AI"), "failure_id": F.when(F.col("scenario").endswith("purchase"), F.col("legacy_id")).otherwise(F.col("failure_id")), **lists})
+    by = lambda n: F.element_at(F.lit(list(S.CLASSIFICATIONS)), (n + 1).cast("int"))
+    label = F.when(F.col("error").contains("Timeout"), "AUTOMATION_ISSUE").when(F.col("scenario").endswith("error"), by(F.col("failure_idx") % 5)).otherwise(by(F.right("failed_step", F.lit(1)).cast("int")))
+    human = rows.where("failure_idx % 7 = 0 AND scenario <> 'Scenario purchase'").select("failure_id", F.lit("HUMAN").alias("kind"), "event_time", "seq", "created_at", label.alias("human_classification"))
+    columns = ["failure_id", "kind", "event_time", "seq", "created_at", *S.FEEDBACK_AI]
+    return H.evolve_feedback(ai.select(columns)).unionByName(H.evolve_feedback(human))
+
+
+def current(spark: SparkSession, d: str) -> DataFrame:
+    return H.feedback_current(log(spark, d))
+
+
+def investigated(spark: SparkSession, d: str) -> DataFrame:
+    """Failures with a response; every ninth has none."""
+    told = X.responses(spark, d).where("failure_idx % 9 <> 0").withColumn("investigated", F.lit(True))
+    return X.failures(spark, d).join(told, "failure_idx", "left").withColumn("investigated", F.coalesce("investigated", F.lit(False)))
+
+
+def answer_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Raw answers to each failure's id: fenced, cut, with wrong types, or none at all; two attempts where the first fails."""
+    told = X.responses(spark, d).join(requests(spark, d).select("failure_idx", "failure_id"), "failure_idx")
+    names = {c: F.col(c).alias(n) for c, n in A.NAMES.items() if c in told.columns}
+    good = F.to_json(F.struct(*names.values(), "confidence", F.array(F.lit("a"), F.lit("b")).alias("evidence")))
+    i = F.col("failure_idx")
+    raw = F.when(i % 5 == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(i % 5 == 1, F.substring(good, F.lit(1), F.length(good) - 9)).when(i % 5 == 2, "no answer").when(i % 5 == 3, F.replace(good, F.lit('"confidence":'), F.lit('"confidence":"9",')))
+    rows = told.select("failure_id", "failure_idx", raw.alias("raw_text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), good.alias("good"))
+    rows = rows.withColumn("raw_text", F.when(F.col("attempt") == 2, F.col("good")).otherwise(F.coalesce("raw_text", "good")))
+    meta = {"model": F.when(F.expr("failure_idx % 5 = 0"), "vision").otherwise("text"), "vision": F.expr("failure_idx % 5 = 0"), "http_ms": F.col("failure_idx") % 1000 + 50, "prompt_tokens": (F.col("failure_idx") % 700).cast("int"), "output_tokens": (F.col("failure_idx") % 300).cast("int")}
+    first = rows.groupBy("failure_id", "attempt").agg(F.min_by(F.struct("failure_idx", "raw_text"), "failure_idx").alias("r")).select("failure_id", "attempt", "r.*")
+    return first.withColumns(meta).select("failure_id", "attempt", "raw_text", *meta)
+
+
+def components(spark, d):
+    return parts(spark, d).select("report_id", "failure_idx", "step", "exception", "locator", "error_body", "stack_frame", "has_locator", "has_error")
+
+
+def groups(spark, d):
+    f = X.failures(spark, d)
+    g = G.group_failures(T.components(f))
+    return g.join(G.representatives(g, f), ["report_id", "group_idx"])
+
+
+def groups_at(threshold):
+    return lambda spark, d: G.group_failures(parts(spark, d), threshold)
+
+
+def group_metrics(spark, d):
+    f = X.failures(spark, d)
+    return G.report_metrics(f, G.group_failures(T.components(f)))
+
+
+def pair_scores(spark, d):
+    return G.pair_scores(parts(spark, d).where("report_id IN ('1', '2')")).groupBy("report_id").agg(F.count("*").alias("pairs"), F.round(F.sum("score"), 4).alias("total"), F.count_if(F.col("score") >= 0.8).alias("alike"), F.count_if("error_body_match").alias("bodies"))
+
+
+def failure_ids(spark, d):
+    return requests(spark, d).select("failure_idx", "failure_id", "legacy_id", T.screenshot_hash(F.col("failure_image")).alias("screenshot_hash"), T.exact_signature(F.col("failed_step"), F.col("error")).alias("signature"))
+
+
+def feedback_fields(spark, d):
+    rows = H.feedback_columns(R.to_requests(X.failures(spark, d)))
+    return rows.select("failure_idx", "scenario_name", "normalized_step", "normalized_error", "exception_type", "locator", "stack_trace_pattern", T.is_dynamic_locator(F.col("locator")).alias("dynamic"), T.locator_pattern(F.col("locator")).alias("pattern"))
+
+
+def feedback_current(spark, d):
+    now = current(spark, d)
+    return now.select("failure_id", "ai_classification", "root_cause", "confidence", "source", "human_classification", F.unix_timestamp("created_at").alias("created"), F.unix_timestamp("updated_at").alias("updated"), H.is_complete().alias("complete"))
+
+
+def effective_labels(spark, d):
+    return H.effective_label(current(spark, d))
+
+
+def match_history(spark, d):
+    return H.match_history(requests(spark, d).withColumn("force_reanalysis", F.expr("failure_idx % 17 = 0")), current(spark, d)).select("failure_idx", "failure_id", "matched_by", "reusable", "source")
+
+
+def legacy_aliases(spark, d):
+    now = current(spark, d)
+    return H.aliases(H.match_history(requests(spark, d), now), now, F.timestamp_seconds(F.lit(1_800_000_000)), "failure_idx").select("failure_id", "kind", "seq", "ai_classification", F.unix_timestamp("created_at").alias("created"))
+
+
+def pending(spark, d):
+    return H.pending(H.match_history(requests(spark, d), current(spark, d))).groupBy("report_id").agg(F.count("*").alias("open"), F.countDistinct("failure_id").alias("ids"))
+
+
+def resolve_repeats(spark, d):
+    f = X.failures(spark, d)
+    heads = G.representatives(G.group_failures(T.components(f)), f)
+    r = requests(spark, d).withColumnRenamed("failure_idx", "representative_idx").join(heads, ["report_id", "representative_idx"])
+    return H.resolve_repeats(r.select("report_id", "group_idx", "failure_id"), ["report_id", "group_idx"])
+
+
+def match_across_reports(spark, d):
+    r = requests(spark, d)
+    return H.match_across_reports(r, current(spark, d), "failure_idx")
+
+
+def reused_responses(spark, d):
+    m = H.match_history(requests(spark, d), current(spark, d))
+    return A.reused_responses(m, "failure_idx").select("failure_id", "classification", "ai_classification", "human_classification", "root_cause", "confidence", "source")
+
+
+def correction_rows(spark, d):
+    i = F.col("failure_idx")
+    label = F.when(i % 4 == 0, "api_issue ").when(i % 4 == 1, "WRONG").when(i % 4 == 2, " ").otherwise("DATA_ISSUE")
+    return requests(spark, d).where("failure_idx % 2 = 1 OR failure_idx % 4 = 0").select(F.when(i % 10 != 9, F.col("failure_id")).alias("failure_id"), label.alias("human_classification"), F.timestamp_seconds(F.lit(1_750_000_000) + i).alias("event_time"), i.alias("seq"))
+
+
+def corrections(spark, d):
+    out = J.apply_corrections(correction_rows(spark, d), log(spark, d))
+    bad = out["rejects"].groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("rejected").alias("what"), F.col("reason").alias("label"), "n")
+    good = out["labels"].groupBy("label_source", "classification").agg(F.count("*").alias("n")).select(F.col("label_source").alias("what"), F.col("classification").alias("label"), "n")
+    return good.unionByName(bad)
+
+
+def cluster_failures(spark, d):
+    out = C.cluster_failures(investigated(spark, d))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("failure_indexes", "test_case_ids", "scenarios")}).drop("explanation")
+
+
+def summarize(spark, d):
+    return C.summarize(investigated(spark, d))
+
+
+def report_totals(spark, d):
+    i = investigated(spark, d)
+    reports = spark.range(0, 60).select(F.col("id").cast("string").alias("report_id"))
+    return C.report_totals(reports, i, C.cluster_failures(i))
+
+
+def report_envelopes(spark, d):
+    i = investigated(spark, d)
+    return C.report_envelopes(i.select("report_id").distinct(), i, C.cluster_failures(i)).select("report_id", "total_failures", "total_clusters", F.to_json("summary").alias("summary"), F.size("clusters").alias("listed"))
+
+
+def prompts(spark, d):
+    m = H.match_history(requests(spark, d), current(spark, d))
+    return P.build_prompts(H.pending(m)).select("failure_id", F.col("route.model").alias("model"), F.col("route.max_tokens").alias("max_tokens"), "prompt")
+
+
+def guardrail(spark, d):
+    rows = X.responses(spark, d).join(X.failures(spark, d), "failure_idx").withColumn("evidence", F.array(F.col("stack_trace")))
+    return rows.select("failure_idx", A.guarded("", F.col("error_message"), F.col("failed_step_line")).alias("classification"), A.fix_screenshot_text(F.col("screenshot_observation"), F.col("failure_image")).alias("screenshot_observation"))
+
+
+def validate_response(spark, d):
+    rows = X.responses(spark, d).withColumn("missing_evidence", F.array().cast("array<string>"))
+    return A.validate_response(rows).select("failure_idx", "classification", "root_cause_type", "severity", "confidence", F.array_join("missing_evidence", ";").alias("missing"))
+
+
+def rule_triage(spark, d):
+    return A.rule_triage(requests(spark, d).withColumn("failure_id", F.col("failure_idx").cast("string"))).groupBy("classification", "severity", "confidence").agg(F.count("*").alias("n"))
+
+
+def clean_answers(spark, d):
+    told, bad = A.clean_answers(answer_rows(spark, d), requests(spark, d))
+    return told.select("failure_id", "attempt", "classification", "severity", "confidence", F.size("evidence").alias("evidence"), "screenshot_observation")
+
+
+def failed_answers(spark, d):
+    return A.clean_answers(answer_rows(spark, d).where("attempt = 1"), requests(spark, d))[1].groupBy("error").agg(F.count("*").alias("n"))
+
+
+def model_call_stats(spark, d):
+    return A.model_call_stats(answer_rows(spark, d))
+
+
+def explode_reports(spark, d):
+    """Failures rendered as reports and read back."""
+    return R.explode_reports(R.render_reports(X.failures(spark, d))).select("report_id", "test_case_id", "scenario_name", "failed_step_line", "error_message", "failure_image", "all_steps")
+
+
+def explode_pages(spark, d):
+    pages = X.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("report_id"), "html")
+    return R.explode_reports(pages).select("report_id", "test_case_id")
+
+
+def failure_records(spark, d):
+    f = X.failures(spark, d)
+    kinds = f.select("report_id").distinct().withColumn("report_type", F.when(F.expr("CAST(report_id AS INT) % 2 = 0"), "extent").otherwise("OTHER"))
+    return R.to_failure_records(f, kinds).select("report_id", "failure_idx", "test_id", "scenario", "error")
+
+
+def typed_requests(spark, d):
+    """Requests whose fields come as numbers, lists and objects."""
+    f = X.failures(spark, d)
+    value = F.to_json(F.struct(F.col("failure_idx").alias("testName"), F.array("feature_name", F.lit(" "), "scenario_name").alias("feature"), F.col("error_message").alias("error"), F.expr("failure_idx % 2 = 0").alias("forceReanalysis"), F.array(F.struct(F.col("scenario_name").alias("text"))).alias("allStepsDetail")))
+    out = R.parse_requests(f.select("failure_idx", value.alias("value")))
+    return out.select("failure_idx", "test_name", "feature", "error", "scenario", F.array_join("all_steps_detail", ";").alias("steps"), "force_reanalysis")
+
+
+def triage_reports(spark, d):
+    out = J.triage_reports(R.render_reports(X.failures(spark, d)), current(spark, d))
+    return out["envelopes"].select("report_id", "total_failures", "total_clusters", F.to_json("summary").alias("summary"))
+
+
+def triage_failures(spark, d):
+    out = J.triage_failures(X.failures(spark, d), current(spark, d), answer_rows(spark, d))
+    return out["investigated"].groupBy("report_id", "classification", "source").agg(F.count("*").alias("n"))
+
+
+def triage_requests(spark, d):
+    rows = R.to_requests(X.failures(spark, d)).withColumns({"event_time": F.timestamp_seconds(F.col("failure_idx")), "seq": F.col("failure_idx")})
+    return J.triage_requests(rows, current(spark, d))["responses"].select("failure_id", "reused", "classification", "confidence", "source")
+
+
+def streamed(spark: SparkSession, d: str) -> DataFrame:
+    events = X.table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return spark.sql(X.FAILURES_SQL.replace("FROM events", "FROM {events}"), events=stream)
+
+
+def stream_triage(spark, d):
+    at = shared_path(spark, "stream-triage")
+    H.write_feedback(log(spark, d), f"{at}/log")
+    ST.stream_triage(R.to_requests(streamed(spark, d)), f"{at}/log", f"{at}/matched", f"{at}/prompts", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/matched").select("failure_idx", "failure_id", "matched_by", "reusable", "source")
+
+
+def stream_dedupe(spark, d):
+    at = shared_path(spark, "stream-dedupe")
+    rows = H.with_ids(R.to_requests(streamed(spark, d))).select("failure_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("failure_idx") % 600).alias("event_time"))
+    ST.stream_dedupe(rows).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("failure_id")
+
+
+def stream_corrections(spark, d):
+    at = shared_path(spark, "stream-corrections")
+    H.write_feedback(log(spark, d), f"{at}/log")
+    i = F.col("failure_idx")
+    label = F.when(i % 4 == 0, "api_issue ").when(i % 4 == 1, "WRONG").when(i % 4 == 2, " ").otherwise("DATA_ISSUE")
+    rows = H.with_ids(R.to_requests(streamed(spark, d))).where("failure_idx % 2 = 1 OR failure_idx % 4 = 0")
+    rows = rows.select(F.when(i % 10 != 9, F.col("failure_id")).alias("failure_id"), label.alias("human_classification"), F.timestamp_seconds(F.lit(1_750_000_000) + i).alias("event_time"), i.alias("seq"))
+    ST.stream_corrections(rows, f"{at}/log", f"{at}/rejects", f"{at}/state").awaitTermination()
+    return H.effective_label(H.feedback_current(H.read_feedback(spark, f"{at}/log")))
+
+
+QUERIES = {
+    "group_metrics": group_metrics, "components": components, "groups": groups, "groups_at_0_87": groups_at(0.87), "groups_at_0_95": groups_at(0.95),
+    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
+    "feedback_current": feedback_current, "effective_labels": effective_labels, "match_history": match_history, "legacy_aliases": legacy_aliases, "pending": pending,
+    "resolve_repeats": resolve_repeats, "match_across_reports": match_across_reports, "reused_responses": reused_responses, "corrections": corrections,
+    "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "prompts": prompts,
+    "guardrail": guardrail, "validate_response": validate_response, "rule_triage": rule_triage, "clean_answers": clean_answers, "failed_answers": failed_answers,
+    "model_call_stats": model_call_stats, "explode_reports": explode_reports, "explode_pages": explode_pages, "failure_records": failure_records,
+    "typed_requests": typed_requests, "triage_reports": triage_reports, "triage_failures": triage_failures, "triage_requests": triage_requests,
+    "stream_triage": stream_triage, "stream_dedupe": stream_dedupe, "stream_corrections": stream_corrections,
+}
+ORACLE_SQL = O.ORACLE_SQL
