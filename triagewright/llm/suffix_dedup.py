@@ -235,6 +235,7 @@ def repeated_spans(docs: DataFrame, text: str, row: str, window: int = WINDOW, g
     places = texts.select("a", "b", "n_bytes", F.explode("anchors").alias("x")).select("a", "b", "n_bytes", "x.*")
     contexts = common.written(places.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "at")).alias("place")), "contexts")
     grams = contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+    grams = common.written(grams, "grams")  # so that both sides of the join are dealt for it, and Spark may split a frequent gram
     wanted = contexts.join(grams.select("h", "m"), "h").select("place.a", "place.b", F.struct("h", "c", F.col("place.at").alias("at"), "n").alias("w"), (F.col("m") > group).alias("many"))
     lists = wanted.groupBy("a", "b").agg(F.collect_list(F.when(~F.col("many"), F.col("w"))).alias("few"), F.collect_list(F.when(F.col("many"), F.col("w"))).alias("lots"))
     holders = common.written(lists.join(texts.select("a", "b", row), ["a", "b"]), "holders")
