@@ -65,6 +65,8 @@ def matcher(patterns: list[tuple[str, list[str]]]) -> Callable[[str], list[tuple
     """A function that gives (first word, last word + 1, pattern's number) of each occurrence in a normalised text."""
     import ahocorasick
 
+    if not patterns:
+        return lambda joined: []
     automaton = ahocorasick.Automaton()
     for i, (window, _) in enumerate(patterns):
         automaton.add_word(f" {window} ", (i, window.count(" ") + 1))
