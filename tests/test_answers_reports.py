@@ -125,7 +125,7 @@ def test_prompts_never_hold_the_picture(spark):
     assert "Previous Source: AI" in r.prompt and P.NO_IMAGE in r.prompt and r.route.format == "json"
 
 
-def test_clusters_and_summary(spark):
+def test_clusters_and_summary(spark, tmp_path):
     rows = [
         ("r", 0, "TC-1", "one", "F", "Tap!", "wait 30 seconds", "API_ISSUE", "why", "low", 41, True), ("r", 1, "TC-2", "one", "f", "tap", "wait 60 seconds", "API_ISSUE", "b", "Critical", 50, True),
         ("r", 2, "TC-2", " ", "f", "tap", "wait 60 seconds", None, None, None, None, False), ("r", 3, "TC-2", "x", None, "tap", None, "odd", "c", "none", 10, True),
@@ -141,6 +141,8 @@ def test_clusters_and_summary(spark):
     reports = spark.createDataFrame([("r",), ("empty",)], "report_id string")
     out = {r.report_id: r for r in C.report_envelopes(reports, df, C.cluster_failures(df)).collect()}
     assert (out["r"].total_failures, out["r"].total_clusters, len(out["r"].clusters)) == (4, 3, 3)
+    C.write_envelopes(C.report_envelopes(reports, df, C.cluster_failures(df)), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).where("report_id = 'r'").first().clusters[0].cluster_id == "CLUSTER-001"
     assert (out["empty"].total_failures, out["empty"].clusters, out["empty"].summary.api_issues) == (0, [], 0)
 
 

@@ -79,3 +79,8 @@ def report_envelopes(reports: DataFrame, investigated: DataFrame, clusters: Data
     out = report_totals(reports, investigated, clusters).join(summary.select("report_id", F.struct(*counts).alias("summary")), "report_id", "left").join(nested, "report_id", "left")
     empty = F.struct(*[F.lit(0).cast("long").alias(c) for c in counts])
     return out.select("report_id", "total_failures", "total_clusters", F.coalesce("summary", empty).alias("summary"), F.coalesce("clusters", F.array().cast(nested.schema["clusters"].dataType)).alias("clusters"))
+
+
+def write_envelopes(envelopes: DataFrame, path: str, form: str = "json") -> None:
+    """The sink of report_envelopes(): a nested row a report, as JSON lines or another format of Spark's."""
+    envelopes.write.mode("append").format(form).save(path)
