@@ -2,7 +2,6 @@
 
 import zlib
 
-from pyspark.sql import functions as F
 
 from triagewright.llm import language as L
 from triagewright.llm import toxicity as X

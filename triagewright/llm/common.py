@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch: texts may be long, and a batch is held whole by JVM and Python worker.
 BATCH_ROWS = 256
@@ -63,6 +65,12 @@ def per_text(
     return run
 
 
+def with_arrow(df: DataFrame, make: Callable, keep: list[str], text: str, added: str) -> DataFrame:
+    """df's kept columns and what make()'s function gives for each text, as named and typed in `added`."""
+    out = StructType([df.schema[k] for k in keep] + StructType.fromDDL(added).fields)
+    return df.select(*keep, text).mapInArrow(per_text(make, to_arrow_schema(out), keep, text), out)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagewright.llm import common
-from triagewright.llm.token_counts import with_arrow
 
 #: A-Z is lower-cased first; any character beyond ASCII belongs to a word.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -116,7 +115,7 @@ def scan(docs: DataFrame, patterns: list[tuple[str, list[str]]], keep: list[str]
         return of
 
     added = "n_words long, runs array<struct<from:long,to:long>>, spans array<struct<start:long,end:long>>, items array<string>"
-    return with_arrow(docs, make, keep, text, added)
+    return common.with_arrow(docs, make, keep, text, added)
 
 
 def decontaminate(

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagewright.llm import common
-from triagewright.llm.token_counts import with_arrow
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 #: Every match of ASSIGN holds one of these, in either case.
@@ -119,7 +118,7 @@ def find_secrets(docs: DataFrame, text: str = "text", reach: int = REACH) -> Dat
         return lambda t: tuple(map(named, scan(t)))
 
     keep = [c for c in docs.columns if c not in (text, "base", "linked")]
-    return with_arrow(docs, make, keep, text, "base array<struct<kind:string,start:long,end:long>>, linked array<struct<kind:string,start:long,end:long>>")
+    return common.with_arrow(docs, make, keep, text, "base array<struct<kind:string,start:long,end:long>>, linked array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mask: str = "<secret>") -> DataFrame:
@@ -141,7 +140,7 @@ def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mask: str =
         return of
 
     keep = [c for c in docs.columns if c != text]
-    clean = with_arrow(docs.select(*keep, F.col(text).isNull().alias("_null"), text), make, [*keep, "_null"], text, "_clean string, _found int")
+    clean = common.with_arrow(docs.select(*keep, F.col(text).isNull().alias("_null"), text), make, [*keep, "_null"], text, "_clean string, _found int")
     return clean.withColumn(text, F.when(~F.col("_null"), F.col("_clean"))).select(docs.columns)
 
 

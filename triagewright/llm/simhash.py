@@ -16,7 +16,7 @@ with the same class. A component is named by its least non-null doc_id. An empty
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from triagewright.llm import common
 from triagewright.llm.components import components
-from triagewright.llm.token_counts import with_arrow
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 
@@ -66,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> Da
     """docs without its text, with fingerprint as a long."""
     common.small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text, "fingerprint")]
-    return with_arrow(docs, lambda: lambda t: (fingerprint(hashes(shingles(t, size))),), keep, text, "fingerprint long")
+    return common.with_arrow(docs, lambda: lambda t: (fingerprint(hashes(shingles(t, size))),), keep, text, "fingerprint long")
 
 
 def cut(bits: list[int], parts: int) -> list[list[int]]:

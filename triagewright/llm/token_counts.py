@@ -110,21 +110,10 @@ def token_counts(
 
         return of
 
-    kept = [c for c in docs.columns if c != text]
-    slim = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(text))
-    fields = [f for f in slim.schema if f.name != text and f.name not in ("n_bytes", "n_tokens")]
-    keep = [f.name for f in fields]
-    counted = with_arrow(slim.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), text), make, keep + ["n_bytes"], text, "n_tokens long")
-    return counted
-
-
-def with_arrow(df: DataFrame, make: Callable, keep: list[str], text: str, added: str) -> DataFrame:
-    """df's kept columns and what make()'s function gives for each text, as named and typed in `added`."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    out = StructType([df.schema[k] for k in keep] + StructType.fromDDL(added).fields)
-    return df.select(*keep, text).mapInArrow(common.per_text(make, to_arrow_schema(out), keep, text), out)
+    keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens")]
+    slim = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
+    sized = slim.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), text)
+    return common.with_arrow(sized, make, [*keep, "n_bytes"], text, "n_tokens long")
 
 
 def model_path(name: str = MODEL) -> str:

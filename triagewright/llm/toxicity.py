@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagewright.llm import common
-from triagewright.llm.token_counts import with_arrow
 
 TRAIN_ROWS, MAX_FEATURES, LEXICONS = 4000, 20_000, 12
 EDGES = "\"'.,;:!?()[]{}<>|*_-"
@@ -227,7 +226,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
         return of
 
     keep = [c for c in docs.columns if c not in (text, "toxic_score")]
-    return with_arrow(docs, make, keep, text, "toxic_score double")
+    return common.with_arrow(docs, make, keep, text, "toxic_score double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
