@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from triagewright import schemas as S
 from triagewright.functions import text as T
