@@ -84,3 +84,17 @@ def test_metrics(spark):
     m = G.report_metrics(f, G.group_failures(T.components(f)), calls).first()
     assert (m.failures, m.groups, m.exact_groups, m.calls, m.calls_avoided, m.retries, m.text_calls, m.vision_calls, m.total_ms) == (3, 2, 2, 2, 1, 1, 1, 1, 125)
     assert G.report_metrics(f.limit(0), G.group_failures(T.components(f.limit(0)))).collect() == []
+
+
+def test_pair_totals_cover_all_reports(spark):
+    from triagewright import registry
+
+    d = "/root/testdata/sf0.001"
+    f = registry.parts(spark, d)
+    want = {}
+    for r in G.pair_scores(f).collect():
+        w = want.setdefault(r.report_id, [0, 0.0, 0, 0])
+        want[r.report_id] = [w[0] + 1, w[1] + r.score, w[2] + (r.score >= 0.8), w[3] + bool(r.error_body_match)]
+    got = {r.report_id: r for r in registry.QUERIES["pair_totals"](spark, d).collect()}
+    assert len(got) > 2 and got.keys() == want.keys()
+    assert all([g.pairs, g.alike, g.bodies] == [want[k][i] for i in (0, 2, 3)] and abs(g.total - want[k][1]) < 1e-3 for k, g in got.items())

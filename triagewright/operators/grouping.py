@@ -37,6 +37,17 @@ def pair_scores(parts: DataFrame) -> DataFrame:
     return pairs.select("report_id", "a_idx", "b_idx", *[c.alias(n) for n, c in score_columns().items()])
 
 
+def pair_totals(parts: DataFrame) -> DataFrame:
+    """pair_scores() summed up by report, without its pairs: distinct parts are scored once and weighed by how many pairs of failures have them."""
+    kinds = parts.where("step <> ''").groupBy("report_id", *PARTS).agg(F.count("*").alias("n"))
+    side = lambda p: kinds.select("report_id", F.col("step").alias("_step"), F.col("n").alias(f"{p}n"), F.struct(*PARTS).alias(f"{p}all"), *[F.col(c).alias(p + c) for c in PARTS])
+    weight = F.when(F.col("a_all").eqNullSafe(F.col("b_all")), (F.col("a_n") * (F.col("a_n") - 1) / 2).cast("long")).otherwise(F.col("a_n") * F.col("b_n"))
+    both = side("a_").join(side("b_"), ["report_id", "_step"]).where("a_all <= b_all").withColumn("w", weight).where("w > 0")
+    scored = both.select("report_id", "w", *[c.alias(n) for n, c in score_columns().items()])
+    of = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
+    return scored.groupBy("report_id").agg(F.sum("w").alias("pairs"), F.round(F.sum(F.col("score") * F.col("w")), 4).alias("total"), of(F.col("score") >= 0.8).alias("alike"), of(F.col("error_body_match")).alias("bodies"))
+
+
 def score(a: tuple, b: tuple) -> float:
     """As score_columns(), for two rows in the order of PARTS."""
     raw = STEP * (a[0] != "" and a[0] == b[0]) + EXCEPTION * (a[1] == b[1] != "UNKNOWN") + LOCATOR * (a[2] == b[2]) + BODY * (a[5] and b[5] and a[3] == b[3])

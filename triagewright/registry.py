@@ -87,7 +87,11 @@ def group_metrics(spark, d):
 
 
 def pair_scores(spark, d):
-    return G.pair_scores(parts(spark, d).where("report_id IN ('1', '2')")).groupBy("report_id").agg(F.count("*").alias("pairs"), F.round(F.sum("score"), 4).alias("total"), F.count_if(F.col("score") >= 0.8).alias("alike"), F.count_if("error_body_match").alias("bodies"))
+    return G.pair_totals(parts(spark, d).where("report_id IN ('1', '2')"))  # as its SQL; pair_totals has all reports
+
+
+def pair_totals(spark, d):
+    return G.pair_totals(parts(spark, d))
 
 
 def failure_ids(spark, d):
@@ -275,7 +279,7 @@ def stream_corrections(spark, d):
 
 QUERIES = {
     "group_metrics": group_metrics, "components": components, "groups": groups, "groups_at_0_87": groups_at(0.87), "groups_at_0_95": groups_at(0.95),
-    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
+    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "pair_totals": pair_totals, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
     "feedback_current": feedback_current, "effective_labels": effective_labels, "match_history": match_history, "legacy_aliases": legacy_aliases, "pending": pending,
     "resolve_repeats": resolve_repeats, "match_across_reports": match_across_reports, "reused_responses": reused_responses, "corrections": corrections,
     "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "prompts": prompts,
