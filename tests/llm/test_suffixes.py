@@ -35,7 +35,8 @@ def test_repeated_windows_against_all_pairs():
         m, w = rng.randint(2, 9), 10
         ctx = sorted({(bytes(rng.choice(b"ab") for _ in range(rng.randint(2, 10))), bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 8)))) for _ in range(m)})
         rights = [0, *(X.common_prefix(a[0], b[0]) for a, b in zip(ctx, ctx[1:]))]
-        got = X.repeated(rights, [c[1] for c in ctx], w)
+        [got, short] = X.repeated(rights, [c[1] for c in ctx], (w, 6))
         for i, (r, l) in enumerate(ctx):
-            want = {o for o in range(w + 1) if o <= len(l) and w - o <= len(r) and any(j != i and l2[:o] == l[:o] and r2[: w - o] == r[: w - o] and len(l2) >= o and len(r2) >= w - o for j, (r2, l2) in enumerate(ctx))}
-            assert {o for a, b in got[i] for o in range(a, b + 1)} == want
+            for found, w in ((got, 10), (short, 6)):
+                want = {o for o in range(w + 1) if o <= len(l) and w - o <= len(r) and any(j != i and l2[:o] == l[:o] and r2[: w - o] == r[: w - o] and len(l2) >= o and len(r2) >= w - o for j, (r2, l2) in enumerate(ctx))}
+                assert {o for a, b in found[i] for o in range(a, b + 1)} == want

@@ -163,8 +163,8 @@ class Intervals:
         return out
 
 
-def repeated(rights: list[int], lefts: list[bytes], window: int) -> list[list[tuple[int, int]]]:
-    """For contexts around one gram, sorted by what follows: the offsets (first, last) of windows that another context holds too.
+def repeated(rights: list[int], lefts: list[bytes], windows: tuple[int, ...]) -> list[list[list[tuple[int, int]]]]:
+    """For contexts around one gram, sorted by what follows, and each size of window: the offsets (first, last) of windows that another context holds too.
 
     rights[i]: bytes that follow in both context i and i - 1; lefts[i]: the reversed bytes before the anchor. A window that starts
     o bytes before its anchor is held by those that share o bytes to the left and window - o to the right, that is, by those in the
@@ -177,11 +177,16 @@ def repeated(rights: list[int], lefts: list[bytes], window: int) -> list[list[tu
     place = [0] * m
     for i, x in enumerate(order):
         place[x] = i
+    around = [(right.around(x), left.around(place[x])[::-1]) for x in range(m)]
+    return [shared_windows(around, window) for window in windows]
+
+
+def shared_windows(around: list[tuple[list, list]], window: int) -> list[list[tuple[int, int]]]:
+    """Of each context, by its runs in the right order (deepest first) and in the left order (deepest last), the offsets of shared windows."""
     members: dict[tuple[int, int], int] = {}
     parts: list[list[tuple[tuple[int, int], int, int]]] = []
-    for x in range(m):
-        after = [(v, window - d, window - lo) for v, lo, d in right.around(x)]  # offsets from the deepest run: ascending
-        before = left.around(place[x])[::-1]
+    for rights, before in around:
+        after = [(v, window - d, window - lo) for v, lo, d in rights]  # offsets from the deepest run: ascending
         own, j = [], 0
         for u, lo, hi in before:
             while j < len(after) and after[j][2] < lo:
@@ -220,5 +225,3 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
         out.append(text[at:a])
         at = b
     return b"".join([*out, text[at:]])
-
-
