@@ -47,6 +47,46 @@ def test_weak_parts_need_their_complement():
     assert kinds("see https://host.example/x") == []
 
 
+def plain_links(text, reach):
+    """Weak parts with their complements, by looking at all pairs."""
+    base = S.strong(text)
+    loose = [("key", *m.span()) for m in S.KEY.finditer(text) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+    loose += [("account", *m.span()) for m in S.ACCOUNT.finditer(text)] + [("endpoint", *m.span()) for m in S.ENDPOINT.finditer(text)]
+    loose = [x for x in loose if all(x[2] <= a or b <= x[1] for _, a, b in base)]
+    scope = lambda x: len([1 for m in re.finditer(r"\n[ \t\r]*\n", text) if m.start() <= x[1]])
+    near = lambda x, y: scope(x) == scope(y) and y[1] <= x[2] + reach and y[2] >= x[1] - reach
+    return [x for x in loose if all(any(S.ROLE[y[0]] == r and near(x, y) for y in base + loose) for r in S.NEEDS[x[0]])]
+
+
+def test_links_against_all_pairs():
+    rng = random.Random(6)
+    hexes = ["0123456789abcdef" * 2, "f" * 40]
+    parts = [KEY, AKIA, *hexes, "_", "_", " ", " ", "token=", "user=bob", "login: x.y", "https://host.example/x", "jdbc:pg://h/d ", "\n\n", "\n \n", "text " * 6, "-" * 15, "password = abcdefgh"]
+    scan, found = S.scanner(40), 0
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        want = plain_links(t, 40)
+        found += len(want)
+        assert sorted(scan(t)[1]) == sorted(want), t
+    assert found > 500
+    t = "token=" + "_".join(["0123456789abcdef" * 2] * 3) + "_" + KEY + f" {AKIA}"
+    assert not scan(t)[1]  # within the assignment, under three strong spans of another kind
+
+
+def test_spans_of_the_query(spark):
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in S.op6_secrets(spark, d).collect():
+        every = sorted([*plain(texts[r.doc_id]), *plain_links(texts[r.doc_id], S.REACH)], key=lambda s: (s[1], S.KINDS.index(s[0]), s[2]))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in every)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "password=12345678", 1, 2, "x")], "_found int, text string, doc int, clean int, bare string")
+    got = S.redact(df)
+    assert got.columns == df.columns and tuple(got.first()) == (1, "<secret>", 1, 2, "x")
+
+
 def test_table(spark):
     texts = [None, "", f"{AKIA} {KEY}", f"{AKIA} {KEY}", "password=12345678 é", "a" * 100_000 + " token: x"]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, linked string")

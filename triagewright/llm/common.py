@@ -57,6 +57,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(docs: DataFrame, without: tuple[str, ...] = (), **named: Column) -> DataFrame:
+    """docs as one struct column, doc (less the columns `without`), beside the named ones: whatever docs' columns are called, no name clashes."""
+    kept = [quoted(c) for c in docs.columns if c not in without]
+    return docs.select(F.struct(*kept).alias("doc") if kept else F.lit(True).alias("doc"), *[c.alias(n) for n, c in named.items()])
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unpacked(columns: list[str], **instead: Column) -> list[Column]:
+    """packed()'s columns again, in order; those named in `instead` from there."""
+    return [(instead[c] if c in instead else F.col("doc").getField(c)).alias(c) for c in columns]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -94,10 +109,10 @@ def held_out_of(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows of df, 1.5 times that at most: those whose hashed key is low, the same on every run."""
+def bounded_sample(df: DataFrame, key: str, rows: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """About `rows` rows of df, 1.5 times that at most: those whose hashed key is low, the first by hash, key and `order`, the same on every run."""
     n = df.count()
     if n <= rows:
         return df
-    low = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 40)) < int(rows / n * (1 << 40))
-    return df.where(low).limit(rows + rows // 2)
+    hashed = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 40))
+    return df.where(hashed < int(rows / n * (1 << 40))).orderBy(hashed, key, *order).limit(rows + rows // 2)

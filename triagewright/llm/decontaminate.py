@@ -134,9 +134,11 @@ def decontaminate(
 
 
 def decontaminate_texts(docs: DataFrame, items: DataFrame, text: str = "text", **settings) -> DataFrame:
-    """docs with their texts, with n_words, n_hit, spans and items."""
-    found = decontaminate(docs.withColumn("_kept", F.col(text)), items, text=text, **settings)
-    return found.withColumnRenamed("_kept", text)
+    """docs with their texts, with n_words, n_hit, spans and items, in place of columns of those names."""
+    added = ["n_words", "n_hit", "spans", "items"]
+    columns = [c for c in docs.columns if c not in added]
+    found = decontaminate(common.packed(docs.select(*map(common.quoted, columns)), text=common.quoted(text)), items, text="text", **settings)
+    return found.select(*common.unpacked(columns), *added)
 
 
 def several(docs: DataFrame, parts: list, keep: list[str], text: str) -> DataFrame:

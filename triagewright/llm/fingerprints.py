@@ -6,7 +6,7 @@ depends on that run alone, so an edit moves no anchor elsewhere, and every 2K -
 the anchors' hashes in the order of the text, 8 hex digits each; likeness is the Jaccard likeness of two fingerprints' sets.
 
 Null texts count as empty. A text without units has an empty fingerprint, and two such are alike (1.0); one with units but no
-anchor has the hash of all its units. Repeated rows, and rows with one doc_id and several texts, follow each other in the order of
+anchor has the hash of all its units. A text with one anchor has one step, the anchor alone; steps that occur again count once. Repeated rows, and rows with one doc_id and several texts, follow each other in the order of
 their texts; a row without doc_id comes last. An empty table gives an empty table.
 """
 
@@ -33,7 +33,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """The hashes (32 bits, as longs) of a text's closed syncmers, in order."""
+    """A text's closed syncmers in order, as array<struct<h, gap>>: the hash (32 bits, as a long), and units since the one before."""
     units = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(UNIT), F.lit(0))
 
     def of(u: Column) -> Column:
@@ -48,22 +48,32 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
                 F.sequence(F.lit(0), n - k),
                 lambda i: F.least(at(m, i, 0), at(m, i, last)) <= F.least(*[at(m, i, j) for j in range(1, last)]),
             )
-            return F.transform(let(inner(h), edge), lambda i: F.xxhash64(*[at(h, i, j) for j in range(k)]))
+            anchor = lambda x: lambda i, m: F.struct(
+                F.xxhash64(*[at(h, i, j) for j in range(k)]).bitwiseAND(0xFFFFFFFF).alias("h"), F.least(i - F.coalesce(F.get(x, m - 1), F.lit(0)), F.lit(255)).alias("gap")
+            )
+            return let(let(inner(h), edge), lambda x: F.transform(x, anchor(x)))
 
-        whole = F.array(F.xxhash64(F.array_join(u, " ")))
-        many = F.when(n >= k, let(one, chosen)).otherwise(F.array().cast("array<bigint>"))
-        full = let(many, lambda a: F.when((F.size(a) == 0) & (n > 0), whole).otherwise(a))
-        return F.transform(full, lambda x: x.bitwiseAND(0xFFFFFFFF))
+        whole = F.array(F.struct(F.xxhash64(F.array_join(u, " ")).bitwiseAND(0xFFFFFFFF).alias("h"), F.lit(0).alias("gap")))
+        many = F.when(n >= k, let(one, chosen)).otherwise(F.array().cast("array<struct<h:bigint,gap:int>>"))
+        return let(many, lambda a: F.when((F.size(a) == 0) & (n > 0), whole).otherwise(a))
 
     return let(units, of)
 
 
 def as_text(found: Column) -> Column:
-    return F.lower(F.array_join(F.transform(found, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+    """10 hex digits for each anchor."""
+    return F.lower(F.array_join(F.transform(found, lambda x: F.lpad(F.hex(F.shiftleft(x["h"], 8) + x["gap"]), 10, "0")), ""))
+
+
+def steps(found: Column) -> Column:
+    """Each anchor with its neighbour and their distance, hashed."""
+    first = lambda a: F.transform(a, lambda x: x["h"])
+    pairs = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.xxhash64(F.get(a, i - 1)["h"], F.get(a, i)["h"], F.get(a, i)["gap"]))
+    return let(found, lambda a: F.when(F.size(a) > 1, pairs(a)).otherwise(first(a)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two sets of anchors; 1 if both are empty."""
+    """Jaccard likeness of two sets of steps; 1 if both are empty."""
     both = F.size(F.array_intersect(a, b))
     return let(F.size(F.array_union(a, b)), lambda n: F.when(n == 0, 1.0).otherwise(both / n))
 
@@ -104,13 +114,15 @@ def with_next(docs: DataFrame, key: str, text: str, made: dict[str, Column]) ->
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, "doc_id", "text", {"anchors": anchors(F.col("text"))})
+    found = let(anchors(F.col("text")), lambda a: F.struct(as_text(a).alias("fingerprint"), steps(a).alias("steps")))
+    rows = with_next(docs, "doc_id", "text", {"found": found})
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k))
-    rows = rows.withColumn("edited", edited).withColumn("edited_anchors", anchors(F.col("edited")))
+    rows = rows.withColumn("edited", edited)
+    rows = rows.withColumn("other", let(anchors(F.col("edited")), lambda a: F.struct(as_text(a).alias("fingerprint"), steps(a).alias("steps"))))
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("anchors")).alias("fingerprint"), as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        F.col("found.fingerprint").alias("fingerprint"), F.col("other.fingerprint").alias("edited_fingerprint"),
+        likeness(F.col("found.steps"), F.col("other.steps")).alias("near_edited"), likeness(F.col("found.steps"), F.col("next_found.steps")).alias("near_next"),
     )

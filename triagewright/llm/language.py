@@ -140,8 +140,8 @@ def score_batch(texts: list[str | None], model: Model, table: np.ndarray) -> tup
 def fit_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> Model | None:
     """A model from about train_rows labelled rows, none of them held out."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~common.held_out(F.col(key)))
-    rows = common.bounded_sample(labelled.select(key, text, lang), key, train_rows).collect()
-    return train([(r[text], r[lang]) for r in sorted(rows, key=lambda r: (r[key], r[text]))])
+    rows = common.bounded_sample(labelled.select(key, text, lang), key, train_rows, (text, lang)).collect()
+    return train([(r[text], r[lang]) for r in sorted(rows, key=lambda r: (r[key], r[text], r[lang]))])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -3,17 +3,21 @@
 Soft membership: a classifier learnt from a labelled table gives each document a posterior over domains. Documents then get
 nonnegative rates whose expected domain token totals match targets: the least squares problem
 
-    min 1/2 sum_k (sum_d w_d r_d p_dk - b_k)^2 / m_k,  r >= 0,  w_d = tokens_d / all tokens,  m_k = sum_d w_d p_dk^2
+    min 1/2 e' M^-1 e,  e_k = sum_d w_d r_d p_dk - b_k,  M_kl = sum_d w_d p_dk p_dl,  r >= 0,  w_d = tokens_d / all tokens
 
-(m_k lets a rare domain count as much as a common one, and makes the steps converge fast) is solved by accelerated projected gradient steps from r = 1. A pass over the slim table of posteriors sums up the
-residual (as many numbers as there are domains); a rate depends on the posterior and on the residuals so far alone, so
-rates are an expression over a few literals, and no iterate is stored, shuffled or collected.
+is solved by accelerated projected gradient steps from r = 1. M^-1 weighs the domains' errors so that a rare domain, or one whose posteriors
+resemble another's, counts as much as any other; a step without a rate at zero is exact then, and few rounds do. A pass over the slim table
+of posteriors sums up the error (as many numbers as there are domains); a rate depends on the posterior and on the steps so far alone, so
+rates are an expression over a few literals, and no iterate is stored, shuffled or collected. Rounds end when the totals of the rates
+themselves are within `close` of the targets, or when they get no closer (targets that no rates meet).
 
-The classifier is a naive Bayes model over the words that lean furthest and over tags of length, word length and repetition, counted
-by Spark on a bounded sample of labelled rows (`train_rows`, about that many, 1.5 times at most), none of them held out.
+The classifier is a naive Bayes model over words and over tags of length, word length, repetition, marks and capitals, all hashed to BUCKETS
+log odds, counted by Spark on a bounded sample of labelled rows (`train_rows`, about that many, 1.5 times at most), none of them held out.
+Buckets of words that lean no further than chance allows have odds of 0; every bucket is looked up, so no word is left out for want of room.
 
 Null and empty texts have no tokens and the domains' shares by their tags alone; their rate is as any other's. Repeated rows each get a
-rate. With no labels there is one domain, `unknown`. Targets need not sum to 1; a domain without target has target 0.
+rate. With no labels there is one domain, `unknown`. Targets need not sum to 1; a domain without target has target 0. An empty table gives an
+empty table. Other columns stay, whatever their names; those named as what is added are replaced.
 """
 
 from __future__ import annotations
@@ -26,11 +30,15 @@ from pyspark.sql import functions as F
 from triagewright.llm import common
 from triagewright.llm.fingerprints import let
 
-TRAIN_ROWS, VOCABULARY = 4000, 192
+TRAIN_ROWS, BUCKETS, LEAN, ROUNDS = 4000, 8192, 6.0, 100
+#: Slots of a tag, and of all that a document can have.
+LEVELS = 24
+SLOTS = BUCKETS + 6 * LEVELS
 #: Domains of the labels table, and what share of all tokens each should have.
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.9, "low": 0.05, "toxic": 0.05}
 WORD = r"[^\p{L}\p{N}]+"
+ADDED = ("n_tokens", "posterior", "rate", "copies")
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -41,61 +49,73 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD), "")
 
 
-def features(w: Column, chars: Column) -> Column:
-    """The distinct words, and tags: how many words, how long, how often repeated, how much of the text is no word."""
-    level = lambda name, x: F.concat(F.lit(f"#{name}:"), x.cast("int").cast("string"))
+def features(w: Column, text: Column) -> Column:
+    """Buckets of the distinct words, and after them, in slots of their own, tags: how many words, how long, how often repeated, how much of the text
+    is no word or in capitals, how often its lines are repeated. w: the words of text."""
+    chars = F.greatest(F.length(text), F.lit(1))
+    level = lambda n, x: F.least(x.cast("int"), F.lit(LEVELS - 1)) + (BUCKETS + n * LEVELS)
+    lines = F.split(text, "\n")
+    capitals = F.regexp_count(text, F.lit(r"\p{Lu}"))
 
     def of(n: Column, unique: Column) -> Column:
+        some = F.greatest(n, F.lit(1))
+        marks = chars - F.length(F.array_join(w, "")) - n
         tags = F.array(
-            level("words", F.floor(F.log2(n + F.lit(1.0)))),
-            level("length", F.least(F.floor(chars / F.greatest(n, F.lit(1))), F.lit(20))),
-            level("distinct", F.floor(F.size(unique) * 10 / F.greatest(n, F.lit(1)))),
+            level(0, F.floor(F.log2(n + F.lit(1.0)))),
+            level(1, F.floor(chars / some)),
+            level(2, F.floor(F.size(unique) * 10 / some)),
+            level(3, F.floor(F.greatest(marks, F.lit(0)) * 20 / chars)),
+            level(4, F.floor(capitals * 20 / chars)),
+            level(5, let(lines, lambda x: F.floor(F.size(F.array_distinct(x)) * 5 / F.size(x)))),
         )
-        return F.concat(unique, tags)
+        return F.concat(F.transform(unique, lambda f: F.pmod(F.xxhash64(f), F.lit(BUCKETS)).cast("int")), tags)
 
-    return let(w, lambda w: let(F.array_distinct(w), lambda u: of(F.size(w), u)))
+    return let(F.array_distinct(w), lambda u: of(F.size(w), u))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> dict:
-    """domains, their log priors, and per feature its log odds in each domain. labels: (key, domain)."""
+    """domains, their log priors, and for each domain the log odds of every bucket. labels: (key, domain)."""
     known = labels.where(F.col("domain").isNotNull() & F.col(key).isNotNull() & ~common.held_out(F.col(key))).groupBy(key).agg(F.min("domain").alias("domain"))
     some = common.bounded_sample(known, key, train_rows)
-    rows = docs.select(key, text).join(F.broadcast(some), key)
-    bags = rows.select("domain", features(words(F.col(text)), F.length(F.coalesce(text, F.lit("")))).alias("f"))
+    rows = docs.select(key, text).join(F.broadcast(some), key).select("domain", F.coalesce(text, F.lit("")).alias("t"))
+    bags = rows.select("domain", F.array_distinct(features(words(F.col("t")), F.col("t"))).alias("f"))
     sizes = {r.domain: r.n for r in bags.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains, total = sorted(sizes), sum(sizes.values())
     if not domains:
-        return {"domains": ["unknown"], "prior": [0.0], "odds": {}}
+        return {"domains": ["unknown"], "prior": [0.0], "odds": [[0.0] * SLOTS]}
     each = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
-    counts = bags.select("domain", F.explode_outer("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *each).where("n >= 4")
-    lean = sum((F.abs(F.col(f"n{i}") - F.col("n") * (sizes[d] / total)) / F.sqrt(F.col("n") * (sizes[d] / total) + 1.0) for i, d in enumerate(domains)), F.lit(0.0))
-    top = counts.withColumn("lean", lean).orderBy(F.col("f").startswith("#").desc(), F.desc("lean"), "f").limit(VOCABULARY).collect()
-    odds = {r.f: [math.log((r[f"n{i}"] + 0.5) / (sizes[d] + 1)) - math.log((r.n + 0.5) / (total + 1)) for i, d in enumerate(domains)] for r in top if r.f.startswith("#") or r.lean > 6}
+    odds = [[0.0] * SLOTS for _ in domains]
+    for r in bags.select("domain", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *each).collect():
+        expected = [r.n * sizes[d] / total for d in domains]
+        leans = sum(abs(r[f"n{i}"] - e) / math.sqrt(e + 1) for i, e in enumerate(expected))
+        if r.f >= BUCKETS or r.n >= 4 and leans > LEAN:
+            for i, d in enumerate(domains):
+                odds[i][r.f] = math.log((r[f"n{i}"] + 0.5) / (sizes[d] + 1)) - math.log((r.n + 0.5) / (total + 1))
     return {"domains": domains, "prior": [math.log(sizes[d] / total) for d in domains], "odds": odds}
 
 
-def posteriors(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' kept columns with n_tokens (words) and p: the domains' probabilities, in the model's order."""
-    keep = keep if keep is not None else [c for c in docs.columns if c != text]
-    vocabulary, k = sorted(model["odds"]), len(model["domains"])
-    known = F.lit(vocabulary) if vocabulary else F.array().cast("array<string>")
-    odds = F.lit([[float(x) for x in model["odds"][f]] for f in vocabulary] or [[0.0] * k])
-    start = F.lit([float(x) for x in model["prior"]])
-    rows = docs.select(*keep, words(F.col(text)).alias("_w"), F.length(F.coalesce(text, F.lit(""))).alias("_chars"))
-    found = F.transform(F.array_intersect(features(F.col("_w"), F.col("_chars")), known), lambda f: F.get(odds, (F.array_position(known, f) - 1).cast("int")))
-    scores = F.aggregate(found, start, lambda a, o: F.zip_with(a, o, lambda x, y: x + y))
-    soft = let(scores, lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
-    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    p = let(soft, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
-    return rows.select(*keep, F.size("_w").cast("long").alias("n_tokens"), p.alias("p"))
+def numbers(values: list[float]) -> Column:
+    """A constant array. One text literal, as thousands of single ones take long to plan."""
+    return F.split(F.lit(",".join(f"{x:.5g}" for x in values)), ",").cast("array<double>")
 
 
-def dot(p: Column, weights: list[float]) -> Column:
-    return sum((F.get(p, F.lit(i)) * x for i, x in enumerate(weights)), F.lit(0.0))
+def posteriors(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs' kept columns (all but the text, if not given) with n_tokens (words) and p: the domains' probabilities, in the model's order."""
+    keep = keep if keep is not None else [c for c in docs.columns if c not in (text, "n_tokens", "p")]
+    odds = [numbers(x) for x in model["odds"]]
+    held = F.coalesce(common.quoted(text), F.lit(""))
+    telling = lambda f: F.filter(features(f, held), lambda j: F.get(odds[0], j) != 0.0)
+    score = lambda found, i: F.aggregate(found, F.lit(float(model["prior"][i])), lambda a, j: a + F.get(odds[i], j))
+    scores = lambda found: F.array(*[score(found, i) for i in range(len(odds))])
+    soft = lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    p = lambda w: let(let(let(telling(w), scores), soft), lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
+    found = let(words(held), lambda w: F.struct(F.size(w).cast("long").alias("n"), p(w).alias("p")))
+    return docs.select(*map(common.quoted, keep), found.alias("_found")).select(*map(common.quoted, keep), F.col("_found.n").alias("n_tokens"), F.col("_found.p").alias("p"))
 
 
-def rate(p: Column, steps: list[tuple[float, list[float]]]) -> tuple[Column, Column]:
-    """(rate, the point ahead of it where the next residual is taken). A step: (momentum, residual times step length)."""
+def rate(p: Column, steps: list[tuple[float, list[float]]]) -> Column:
+    """(rate, ahead): the rate, and the point ahead of it where the next error is taken. A step: (momentum, weighted error)."""
     k = len(steps[0][1]) if steps else 0
     laid = F.array(*[F.array(*[F.lit(float(x)) for x in (m, *g)]) for m, g in steps])
 
@@ -104,49 +124,66 @@ def rate(p: Column, steps: list[tuple[float, list[float]]]) -> tuple[Column, Col
         return let(moved, lambda r: F.struct(r.alias("rate"), (r + F.get(s, F.lit(0)) * (r - a["rate"])).alias("ahead")))
 
     one = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    end = F.aggregate(laid, one, go) if steps else one
-    return end["rate"], end["ahead"]
+    return F.aggregate(laid, one, go) if steps else one
 
 
-def solve(soft: DataFrame, targets: list[float], rounds: int = 30, close: float = 1e-5) -> list[tuple[float, list[float]]]:
+def solved(m: list[list[float]], e: list[float]) -> list[float]:
+    """x of (m + a little) x = e, for a few domains."""
+    k, ridge = len(e), 1e-9 * sum(m[i][i] for i in range(len(e))) or 1.0
+    rows = [[*(x + ridge * (i == j) for j, x in enumerate(row)), e[i]] for i, row in enumerate(m)]
+    for i in range(k):
+        top = max(range(i, k), key=lambda r: abs(rows[r][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        for r in range(k):
+            if r != i:
+                part = rows[r][i] / rows[i][i]
+                rows[r] = [a - part * b for a, b in zip(rows[r], rows[i])]
+    return [rows[i][k] / rows[i][i] for i in range(k)]
+
+
+def solve(soft: DataFrame, targets: list[float], rounds: int = ROUNDS, close: float = 1e-6) -> list[tuple[float, list[float]]]:
     """The steps whose rates bring the expected shares of soft (n_tokens, p) to the targets. Sums over all rows; a few numbers reach the driver a round."""
     k = len(targets)
     p, w = F.col("p"), F.col("n_tokens").cast("double")
-    squares = [F.sum(w * F.get(p, F.lit(i)) * F.get(p, F.lit(j))).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]
-    first = soft.agg(F.sum(w).alias("all"), *squares).first()
+    first = soft.agg(F.sum(w).alias("all"), *[F.sum(w * F.get(p, F.lit(i)) * F.get(p, F.lit(j))).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
     if not first["all"]:
         return []
-    own = [first[f"m{i}_{i}"] / first["all"] or 1.0 for i in range(k)]
-    steep = max(sum(first[f"m{i}_{j}"] / first["all"] / math.sqrt(own[i] * own[j]) for j in range(k)) for i in range(k)) or 1.0  # bounds the largest eigenvalue
+    m = [[first[f"m{i}_{j}"] / first["all"] for j in range(k)] for i in range(k)]
     steps: list[tuple[float, list[float]]] = []
-    t = 1.0
+    t, last, best, since = 1.0, math.inf, math.inf, 0
     for _ in range(rounds):
-        ahead = rate(p, steps)[1]
-        sums = soft.select(w.alias("w"), "p", ahead.alias("y")).agg(*[F.sum(F.col("w") * F.col("y") * F.get(p, F.lit(i))).alias(f"a{i}") for i in range(k)]).first()
-        rest = [sums[f"a{i}"] / first["all"] - targets[i] for i in range(k)]
-        nxt = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        steps.append(((t - 1) / nxt, [x / m / steep for x, m in zip(rest, own)]))
-        t = nxt
-        if max(map(abs, rest)) < close:
+        at = soft.select(w.alias("w"), "p", rate(p, steps).alias("r"))
+        sums = at.agg(*[F.sum(F.col("w") * F.col("r")[c] * F.get(p, F.lit(i))).alias(f"{c}{i}") for c in ("rate", "ahead") for i in range(k)]).first()
+        e, ahead = ([sums[f"{c}{i}"] / first["all"] - targets[i] for i in range(k)] for c in ("rate", "ahead"))
+        worst = max(map(abs, e))
+        since = 0 if worst < 0.999 * best else since + 1
+        best = min(best, worst)
+        if worst < close or since >= 25:
             break
+        g = solved(m, ahead)
+        value = sum(a * b for a, b in zip(ahead, g))
+        t = 1.0 if value > last else t  # momentum starts anew where the error grows
+        last, nxt = value, (1 + math.sqrt(1 + 4 * t * t)) / 2
+        steps.append(((t - 1) / nxt, g))
+        t = nxt
     return steps
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", rounds: int = 30, train: DataFrame | None = None) -> DataFrame:
-    """docs with n_tokens, posterior (domain to probability), rate and copies: the rate as a whole number that is right on average, by a hash of the key.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, train: DataFrame | None = None, keep_text: bool = True) -> DataFrame:
+    """docs with n_tokens, posterior (domain to probability), rate and copies: the rate as a whole number that is right on average, by a hash of key and text.
 
-    labels: (key, domain). train: the documents that labels tell of, if others than docs.
+    labels: (key, domain). train: the documents that labels tell of, if others than docs. Only the slim table of posteriors is written; with keep_text the
+    last pass scores the texts again rather than write them twice.
     """
     model = fit_domains(train if train is not None else docs, labels, key, text)
-    names = model["domains"]
-    added = ["n_tokens", "posterior", "rate", "copies"]
-    keep = [c for c in docs.columns if c not in added]
-    rows = common.written(posteriors(docs, model, text, keep), "posteriors")  # the rounds read two slim columns of it
-    steps = solve(rows.select("n_tokens", "p"), [float(targets.get(n, 0.0)) for n in names], rounds)
-    exact = rows.select("*", rate(F.col("p"), steps)[0].alias("rate"))
-    spread = F.pmod(F.xxhash64(F.col(key), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = (F.floor("rate") + (spread < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return exact.select(*keep, "n_tokens", F.map_from_arrays(F.lit(names), F.col("p")).alias("posterior"), "rate", copies.alias("copies"))
+    names, columns = model["domains"], [c for c in docs.columns if c not in ADDED and (keep_text or c != text)]
+    spread = F.pmod(F.xxhash64(common.quoted(key), common.quoted(text), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = common.packed(docs.select(*map(common.quoted, dict.fromkeys([*columns, key, text]))), without=() if keep_text else (text,), text=common.quoted(text), spread=spread)
+    slim = common.written(posteriors(rows, model, keep=[] if keep_text else ["doc", "spread"]), "posteriors")
+    steps = solve(slim.select("n_tokens", "p"), [float(targets.get(n, 0.0)) for n in names], rounds)
+    exact = (posteriors(rows, model, keep=["doc", "spread"]) if keep_text else slim).withColumn("rate", rate(F.col("p"), steps)["rate"])
+    copies = (F.floor("rate") + (F.col("spread") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    return exact.select(*common.unpacked(columns), "n_tokens", F.map_from_arrays(F.lit(names), F.col("p")).alias("posterior"), "rate", copies.alias("copies"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -155,6 +192,6 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = mix(docs, label_domains(common.table(spark, sf_dir, "labels")), TARGETS)
+    out = mix(docs, label_domains(common.table(spark, sf_dir, "labels")), TARGETS, keep_text=False)
     each = [F.coalesce(F.element_at("posterior", d), F.lit(0.0)).alias(f"p_{d}") for d in DOMAINS]
     return out.select("doc_id", "n_tokens", *each, "rate", "copies")

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,11 +59,11 @@ def weak(text: str, base: list[Span]) -> list[Span]:
     if "://" in text:
         found += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
 
     def free(a: int, b: int) -> bool:
-        i = bisect_left(starts, b)
-        return not i or max(e for _, e in taken[max(0, i - 3) : i]) <= a  # three kinds: at most three strong spans overlap
+        i = bisect_left(starts, b)  # those that begin before b; the furthest end among them counts
+        return not i or ends[i - 1] <= a
 
     return [s for s in found if free(s[1], s[2])]
 
@@ -122,7 +123,7 @@ def find_secrets(docs: DataFrame, text: str = "text", reach: int = REACH) -> Dat
 
 
 def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mask: str = "<secret>") -> DataFrame:
-    """docs with every found span, strong or linked, replaced by the mask; null texts stay null."""
+    """docs with every found span, strong or linked, replaced by the mask; null texts stay null. Other columns stay, whatever their names."""
     common.small_batches(docs.sparkSession)
 
     def make() -> Callable[[str], tuple]:
@@ -139,9 +140,9 @@ def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mask: str =
 
         return of
 
-    keep = [c for c in docs.columns if c != text]
-    clean = common.with_arrow(docs.select(*keep, F.col(text).isNull().alias("_null"), text), make, [*keep, "_null"], text, "_clean string, _found int")
-    return clean.withColumn(text, F.when(~F.col("_null"), F.col("_clean"))).select(docs.columns)
+    rows = common.packed(docs, without=(text,), text=common.quoted(text))
+    clean = common.with_arrow(rows.withColumn("bare", F.col("text").isNull()), make, ["doc", "bare"], "text", "clean string, found int")
+    return clean.select(*common.unpacked(docs.columns, **{text: F.when(~F.col("bare"), F.col("clean"))}))
 
 
 def listed(spans: Column) -> Column:

@@ -166,7 +166,8 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, batch: int = 1 << 18) ->
 
 
 def near_classes(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """prints with component_id. prints: (key, fingerprint, ...), read twice, so it should be written or cheap."""
+    """prints with component_id (in place of a column of that name). prints: (key, fingerprint, ...), read twice, so it should be written or cheap."""
+    prints = prints.drop("component_id")
     classes = common.written(prints.groupBy("fingerprint").agg(F.min(key).alias("first")), "classes")
     roots = components(links(classes, max_bits), "a", "b")
     joined = common.written(classes.join(roots, classes.fingerprint == roots.node, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")), "rooted")

@@ -280,9 +280,10 @@ def repeated_spans(docs: DataFrame, text: str, row: str, window: int, passage: i
     wanted = contexts.join(grams, "h").select("place.t", F.struct("h", "c", F.col("place.at").alias("at"), "n", spread.alias("spread")).alias("w"))
     holders = wanted.groupBy("t").agg(F.collect_list("w").alias("wanted")).join(texts.select("t", "a", "b", row), "t").select("a", "b", row, "wanted")
     told = grams.agg(F.sum("m").alias("all"), F.max("m").alias("most")).first()
-    buckets = max(common.partitions(spark), (told["all"] or 0) // bucket + 1)
+    tasks = common.partitions(spark)
+    buckets = max(tasks, (told["all"] or 0) // bucket + 1)
     runs = runs_of(same_rows(slim.select(row, "a", "b", F.col(text).alias("text")), holders, row).select("text", "wanted"), buckets, window, before)
-    merged = common.written(compared(runs.repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket"), buckets, (window, passage)), "merged")
+    merged = common.written(compared(runs.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket"), buckets, (window, passage)), "merged")
     found = merged.where("offsets IS NOT NULL").select("h", "c", "offsets", "passages")
     if (told["most"] or 0) > group:
         found = found.unionByName(split(merged.where("offsets IS NULL").select("h", "c", "n", "ahead", "rest"), window, passage))

@@ -1,14 +1,15 @@
 """Toxicity by weak supervision.
 
-Many weak voters (lexicons of words and of word beginnings, and patterns) vote toxic, clean or not at all on each text. A
-generative label model estimates each voter's accuracy by expectation maximisation, and the correlations of voters
-given the label, which discount voters that repeat each other. Its posteriors, not the given labels, train a
-linear classifier over words and word beginnings, which scores every whole text.
+Many weak voters vote toxic, clean or not at all on each text: fixed lexicons (insults by kind and language, disgust, threats, hate, profanity, spelt
+out or disguised), patterns (frames that address someone, shouting, runs of marks), and lexicons of words and word beginnings found in the labelled
+sample, for languages that no fixed list covers. A generative label model estimates each voter's accuracy by expectation maximisation, and
+the correlations of voters given the label, which discount voters that repeat each other; report() tells them. Its posteriors, not the
+given labels, train a linear classifier over words and word beginnings, which scores every whole text.
 
 Models are fitted in numpy on a bounded sample of labelled rows (`train_rows`, about that many, 1.5 times at most), none of
-them held out. The labels give the lexicons, whose words lean further than chance allows, and the prior. The classifier is a table of at most
-MAX_FEATURES weights, and is broadcast. Null and empty texts have no words and get the score of the bias; with no labelled
-rows all scores are 0. Repeated documents are scored each; a label row whose doc_id occurs in many documents counts once.
+them held out. The labels give the found lexicons, whose words lean further than chance allows, and the prior. The classifier is a table of at most
+MAX_FEATURES weights (the sample has some hundreds that lean), and is broadcast. Null and empty texts have no words and get the score of the bias; with
+no labelled rows all scores are 0. Repeated documents are scored each; a label row whose doc_id occurs in many documents counts once, with the least text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,27 @@ from triagewright.llm import common
 
 TRAIN_ROWS, MAX_FEATURES, LEXICONS = 4000, 20_000, 12
 EDGES = "\"'.,;:!?()[]{}<>|*_-"
+#: Fixed lexicons, a voter each. A word that begins with one of them counts, as endings differ.
+FIXED = {
+    "insults to sense": ("idiot", "moron", "stupid", "dumb", "imbecile", "brainless", "dimwit", "halfwit"),
+    "insults to worth": ("loser", "worthless", "pathetic", "good-for-nothing"),
+    "insults to person": ("scum", "trash", "clown", "vermin", "creep", "coward"),
+    "disgust": ("disgust", "revolting", "repulsive", "vile", "filthy", "sicken"),
+    "threats": ("kill you", "murder you", "strangle", "beat you", "hurt you", "drop dead"),
+    "hate": ("hate you", "despise", "loathe", "detest"),
+    "profanity": ("damn", "crap", "bitch", "bastard", "fuck", "shit", "asshole", "whore", "slut"),
+    "german": ("dumm", "trottel", "arschloch", "scheiss", "schei\u00df", "abschaum", "schwachkopf", "versager", "widerlich", "ekelhaft", "wertlos", "m\u00fcll"),
+    "french": ("imb\u00e9cile", "cr\u00e9tin", "salaud", "connard", "merde", "putain", "ordure", "d\u00e9go\u00fbtant", "minable", "abruti", "d\u00e9bile"),
+    "spanish": ("est\u00fapido", "imb\u00e9cil", "basura", "mierda", "cabr\u00f3n", "puta", "asqueroso", "in\u00fatil", "pat\u00e9tico", "escoria", "gilipollas"),
+}
+SOLID = {name: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + ")", re.IGNORECASE) for name, words in FIXED.items()}
+#: Patterns, a voter each: frames that address someone, disguised spellings, shouting, runs of marks.
+PATTERNS = {
+    "address": re.compile(r"(?<!\w)(?:you(?:'re| are)? (?:all |such |a |an |so )*(?:idiot|moron|stupid|loser|pathetic|scum|trash|clown|worthless|disgusting)|shut up|go to hell|get lost)", re.IGNORECASE),
+    "disguise": re.compile(r"(?<!\w)(?:[a-z]+[*$#!]+[a-z*]+|[a-z]*(?:1d10t|st\*pid|m0ron|l0ser)[a-z]*)(?!\w)", re.IGNORECASE),
+    "shouting": re.compile(r"(?:\b[A-Z]{4,}\b\W+){3,}"),
+    "marks": re.compile(r"[!?]{3,}"),
+}
 #: Entries of a worker's cache of words.
 CACHE = 500_000
 
@@ -79,20 +101,24 @@ def lexicons(lean: dict[str, float], groups: int = LEXICONS) -> list[tuple[int,
     return [(1, frozenset(w)) for w in words if w] + ([(-1, good)] if good else [])
 
 
-def pattern_votes(text: str) -> list[int]:
-    """Patterns that need no labels: shouting and runs of marks speak for toxic; a long text without either for clean."""
-    shouting = bool(re.search(r"(?:\b[A-Z]{4,}\b\W+){3,}", text))
-    marks = bool(re.search(r"[!?]{3,}", text))
-    return [1 if shouting else 0, 1 if marks else 0]
+def fixed_votes(text: str) -> list[int]:
+    """Votes of the fixed lexicons and patterns, which need no labels. They know few words, so finding none says nothing."""
+    low = text.lower()
+    said = [1 if any(w in low for w in FIXED[name]) and SOLID[name].search(text) else 0 for name in FIXED]
+    return said + [1 if p.search(text) else 0 for p in PATTERNS.values()]
+
+
+def voters(lists: list[tuple[int, frozenset[str]]]) -> list[str]:
+    return [f"found {i}" if vote == 1 else "found clean" for i, (vote, _) in enumerate(lists)] + [*FIXED, *PATTERNS]
 
 
 def votes(text: str, bag: set[str], lists: list[tuple[int, frozenset[str]]]) -> list[int]:
-    """Votes of all voters: 1 toxic, -1 clean, 0 none. A toxic lexicon that finds nothing votes clean."""
+    """Votes of all voters: 1 toxic, -1 clean, 0 none. A found toxic lexicon that finds nothing votes clean."""
     out = []
     for vote, words in lists:
         found = not words.isdisjoint(bag)
         out.append((1 if found else -1) if vote == 1 else (-1 if found else 0))
-    return out + pattern_votes(text)
+    return out + fixed_votes(text)
 
 
 @dataclass
@@ -109,6 +135,16 @@ class LabelModel:
         z = np.log(self.prior / (1 - self.prior)) + (each * self.weight).sum(1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def report(self, names: list[str], v: np.ndarray) -> list[dict]:
+        """For each voter: how often it votes, its estimated accuracy when it does, its weight, and the voter it goes with most."""
+        q, out = self.posterior(v), []
+        for j, name in enumerate(names):
+            said = v[:, j] != 0
+            right = np.where(v[:, j] == 1, q, 1 - q)[said]
+            others = np.where(np.arange(len(names)) == j, -1, self.correlation[j])
+            out.append({"voter": name, "coverage": float(said.mean()) if len(v) else 0.0, "accuracy": float(right.mean()) if said.any() else None, "weight": float(self.weight[j]), "with": names[int(others.argmax())], "correlation": float(others.max())})
+        return out
+
 
 def fit_label_model(v: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
     """Expectation maximisation over votes (rows x voters), begun from the vote's majority."""
@@ -171,6 +207,8 @@ class Classifier:
     bias: float
     weights: dict[str, float]
     labels: LabelModel | None
+    #: LabelModel.report() over the sample.
+    voters: list[dict] | None = None
 
 
 def fit(rows: Iterable[tuple[str, int]]) -> Classifier:
@@ -187,16 +225,16 @@ def fit(rows: Iterable[tuple[str, int]]) -> Classifier:
     v = np.array([votes(t, bag, lists) for (t, _), bag in zip(rows, bags)])
     labels = fit_label_model(v, float(toxic.mean()))
     bias, weights = fit_linear(bags, labels.posterior(v), lean)
-    return Classifier(bias, weights, labels)
+    return Classifier(bias, weights, labels, labels.report(voters(lists), v))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Classifier:
     """A classifier from about train_rows labelled rows, none of them held out. The sampled label rows are few, so they are broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~common.held_out(F.col(key))).groupBy(key).agg(F.max(label).alias(label))
     some = common.bounded_sample(known, key, train_rows)
-    rows = docs.select(key, text).join(F.broadcast(some), key).limit(2 * train_rows).collect()
-    order = sorted(rows, key=lambda r: (hashlib.md5(str(r[key]).encode()).digest(), r[text] or ""))
-    return fit((r[text] or "", int(r[label])) for r in order)
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias(text)).join(F.broadcast(some), key).groupBy(key).agg(F.min(text).alias(text), F.max(label).alias(label)).collect()
+    order = sorted(rows, key=lambda r: hashlib.md5(str(r[key]).encode()).digest())
+    return fit((r[text], int(r[label])) for r in order)
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
