@@ -94,12 +94,48 @@ def test_extraction(spark):
     a, b = got
     assert (a.scenario_name, a.failed_step_line, a.error_message, a.failure_image, a.video_url) == ("A & B c", "tap now", "E <x>\n at y", "shot.png", "v.mp4")
     assert a.stack_trace == a.error_message and a.feature_name == a.console_logs == ""
-    assert a.all_steps == "1. [PASS] open it\n2. [SKIP] lateron\n3. [FAIL] tap now" or a.all_steps == "1. [PASS] open it\n2. [SKIP] later on\n3. [FAIL] tap now"
+    assert a.all_steps == "1. [PASS] open it\n2. [SKIP] later on\n3. [FAIL] tap now"
     assert (b.failed_step_line, b.error_message, b.failure_image, b.all_steps) == ("only text", "", "", "1. [ERROR] only text")
     records = R.to_failure_records(R.explode_reports(reports), reports)
     assert {r.report_id for r in records.collect()} == {"r"} and len(records.columns) == 10
 
 
+NESTED = """<div id="screenshots-of-all" class="screenshots"><li class="test-item" status="fail" test-id="N1">
+<div class="test-detail"><h3 class="name">one<br/>two</h3></div>
+<div class="step info"><p>outer</p><div class="step fail-bg"><div>in</div><div>ner</div><textarea class="code-block" value="from value">  </textarea></div>tail</div>
+<li class="test-item" status="Error" test-id="N2"><div class="step error-bg"><span>A<br>B</span><b><img src="a.png" href="b"></b><a href="c.png">x</a>
+<li class="test-item" status="error" test-id="N3"><p class="step error-bg">x<b>y</i></b>z<textarea class="code-block">a &amp; b\n\n  c  </textarea><video><source><source src="2"></video></p></li></div>"""
+
+
+def test_markup_of_other_forms():
+    got = list(R.failed_tests(NESTED))
+    flat = lambda t: " ".join(t.split())
+    assert [t["test_case_id"] for t in got] == ["N1", "N2", "N3"]
+    a, b, c = got
+    assert (flat(a["scenario_name"]), flat(a["failed_step_line"]), a["error_message"]) == ("one two", "in ner", "from value")
+    assert [(s["status"], flat(s["text"])) for s in a["steps"]] == [("INFO", "outer in ner tail"), ("FAIL", "in ner")]
+    assert (flat(b["failed_step_line"]), b["failure_image"], b["error_message"]) == ("A B", "a.png", "")
+    assert (flat(c["failed_step_line"]), c["error_message"], c["failure_image"], c["video_url"]) == ("xyza & b c", "a & b\n\n  c  ", "", "")
+    assert list(R.failed_tests("<li class=test-item status=fail><div class=step>x</div>")) == list(R.failed_tests("")) == []
+
+
+def test_lists_of_any_depth(spark):
+    deep = json.dumps({"error": [[[[["x", [" ", "y"]]]]], 2], "feature": [], "testName": {"a": [1]}})
+    r = R.parse_requests(spark.createDataFrame([(deep,), ("[1]",), (None,)], "value string")).collect()
+    assert (r[0].error, r[0].feature, r[0].test_name) == ("x, y, 2", "", '{"a":[1]}') and r[1].error is r[2].error is None
+    told = A.normalize_response(json.dumps({"rootCause": [[[[["x", "y"]]]]], "severity": [None, "a", None], "suggestedFix": {"message": [1]}, "evidence": [{"message": None}, 1.5, True, {"k": "é"}], "confidence": 1e10}))
+    assert (told["root_cause"], told["severity"], told["suggested_fix"], told["evidence"], told["confidence"]) == ("x; y", "a; ", "", ["null", "1.5", "true", '{"k":"é"}'], 0)
+    assert A.normalize_response('{"confidence": NaN}') is None and A.normalize_response("[1]") is None
+
+
+def test_repeated_answers_give_the_same_choice(spark):
+    rows = [("a", 1, json.dumps({"severity": s})) for s in ("HIGH", "LOW", "MEDIUM")]
+    asked = spark.createDataFrame([("a", e, "tap", i) for e, i in (("b", "x"), ("a", "y"), ("c", None))], "failure_id string, error string, failed_step string, failure_image string")
+    one = A.clean_answers(answers(spark, rows).repartition(3), asked.repartition(2))[0].first()
+    two = A.clean_answers(answers(spark, rows[::-1]).coalesce(1), asked.coalesce(1))[0].first()
+    assert one == two
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "html").mkdir()
     (tmp_path / "html" / "a.html").write_text(HTML)

@@ -20,6 +20,8 @@ FEEDBACK_LOCATORS = (
     r"(?i)accessibilityId\s*[=:]\s*['\"]?([\w.:/-]+)['\"]?",
     r"(?i)(?:test-id|data-testid)\s*[=:]\s*['\"]?([\w.:/-]+)['\"]?",
 )
+#: What any of the patterns needs; most texts have none.
+LOCATOR_CUE = r"(?i)resource-id|By\.|accessibilityId|test-?id|xpath"
 GROUPING_LOCATORS = (*FEEDBACK_LOCATORS, r"(?i)xpath\s*[=:]\s*['\"]?([^'\"\n]+)['\"]?")
 FRAMEWORK_FRAMES = (
     "org.openqa.selenium.support.ui.FluentWait", "org.openqa.selenium.support.ui.WebDriverWait", "org.testng.Assert",
@@ -49,6 +51,13 @@ def collapse(c: Column) -> Column:
     return trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def once(df, columns: dict):
+    """df with columns, each computed once however often it is used: the optimizer would write it out again at every use, but not through a generator."""
+    kept = [c for c in df.columns if c not in columns]
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*kept, row.alias("_once")).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def first_line(c: Column) -> Column:
     return F.get(F.split(c, LINE, 2), F.lit(0))
 
@@ -70,14 +79,14 @@ def grouping_locator(c: Column) -> Column:
     def clean(pattern: str) -> Column:
         value = trim(F.regexp_extract(c, pattern, 1))
         bare = F.regexp_replace(value, r"(?s)^\"(.*)\"$|^'(.*)'$", "$1$2")
-        return filled(collapse(bare))
+        return F.nullif(collapse(bare), F.lit(""))
 
-    return F.coalesce(*map(clean, GROUPING_LOCATORS), F.lit(""))
+    return F.when(c.rlike(LOCATOR_CUE), F.coalesce(*map(clean, GROUPING_LOCATORS), F.lit(""))).otherwise("")
 
 
 def feedback_locator(c: Column) -> Column:
     """The first locator in order of the patterns, quotes kept; null if there is none."""
-    return trim(F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in FEEDBACK_LOCATORS]))
+    return F.when(c.rlike(LOCATOR_CUE), trim(F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in FEEDBACK_LOCATORS])))
 
 
 def mask(c: Column) -> Column:
@@ -115,12 +124,11 @@ def searched(error: Column, stack: Column) -> Column:
 def components(failures):
     """failures with step, exception, locator, error_body, stack_frame, has_locator and has_error."""
     error, stack = F.col("error_message"), F.col("stack_trace")
-    both = searched(error, stack)
-    return failures.withColumns(
+    both = F.col("_both")
+    found = once(once(failures, {"_both": searched(error, stack)}), {"exception": F.coalesce(simple_exception(both), F.lit("UNKNOWN")), "locator": grouping_locator(both)})
+    return found.drop("_both").withColumns(
         {
             "step": F.coalesce(norm_step(F.col("failed_step_line")), F.lit("")),
-            "exception": F.coalesce(simple_exception(both), F.lit("UNKNOWN")),
-            "locator": grouping_locator(both),
             "stack_frame": F.when(blank(stack), "").otherwise(top_frame(stack)),
             "has_error": ~blank(error),
         }
@@ -215,11 +223,15 @@ def format_steps(detail: Column, all_steps: Column, last: int = 25) -> Column:
     return F.element_at(F.transform(F.array(chosen), shown), 1)
 
 
+# Fixed value.
+SAME_STACK = "Same content as the ERROR MESSAGE / EXCEPTION section above."
+
+
 def stack_section(error: Column, stack: Column) -> Column:
     same = F.coalesce(trim(strip_stack_noise(stack)) == trim(strip_stack_noise(error)), F.lit(False))
     return (
         F.when(blank(stack), "NOT PROVIDED")
-        .when(same, "Same content as the ERROR MESSAGE / EXCEPTION section above.")
+        .when(same, SAME_STACK)
         .otherwise(limit_text(strip_stack_noise(stack), 2000))
     )
 

@@ -8,12 +8,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from triagewright import schemas as S
 from triagewright.functions import text as T
 
-# The cue lists of the guardrail, and the sentence that replaces an untrue observation.
+# The cue lists of the guardrail, and the sentences that responses are given.
 LOCATOR_CUES = (
     "nosuchelementexception", "unable to locate", "cannot find element", "element not found", "failed to find element", "locator",
     "selector", "resource-id", "accessibility id", "accessibility-id", "xpath", "css selector",
@@ -27,6 +27,8 @@ CONNECTION_CUES = (
     "dns", "502", "503", "504", "gateway",
 )
 UNSEEN = "A screenshot was attached but the AI vision model did not clearly describe it. Please review the screenshot manually alongside this analysis."
+LACKING = "Additional evidence is required to confirm the root cause"
+LOADED = "Result loaded from previously saved failure details."
 #: Names in a model's JSON.
 NAMES = {
     "classification": "classification", "root_cause_type": "rootCauseType", "root_cause": "rootCause", "severity": "severity",
@@ -34,6 +36,7 @@ NAMES = {
     "screenshot_observation": "screenshotObservation", "evidence": "evidence", "missing_evidence": "missingEvidence",
     "steps_to_reproduce": "stepsToReproduce", "prevention_tips": "preventionTips",
 }
+COLUMNS = (*S.RESPONSE_TEXTS, "confidence", *S.RESPONSE_LISTS)
 STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
 
 
@@ -78,39 +81,54 @@ def repair_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else close_json(t))
 
 
-def as_text(v: Column, depth: int = 2) -> Column:
-    """A JSON value as text: lists joined, an object's message, else its JSON."""
-    kind = F.schema_of_variant(v)
-    item = (lambda x: as_text(x, depth - 1)) if depth else (lambda x: F.to_json(x))
-    joined = F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), item), "; ")
-    message = F.try_variant_get(v, "$.message", "string")
-    return (
-        F.when(v.isNull() | (kind == "VOID"), "")
-        .when(kind.startswith("ARRAY"), joined)
-        .when(kind.startswith("OBJECT") & message.isNotNull(), message)
-        .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-        .otherwise(F.to_json(v))
-    )
+def as_text(value) -> str:
+    """A JSON value as text: lists joined, however deep, an object's message, else its JSON; null is empty."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        out = ""
+        for x in value:
+            out = f"{out}; {as_text(x)}" if out else as_text(x)
+        return out
+    if isinstance(value, dict) and "message" in value:
+        said = value["message"]
+        return said if isinstance(said, str) else "" if isinstance(said, list | dict) else json.dumps(said)
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-def normalize_response(root: Column) -> dict[str, Column]:
-    """The response's columns from a parsed answer: texts are never null, lists never null, a confidence that isn't a number is 0."""
-    field = lambda n: F.try_variant_get(root, f"$.{n}", "variant")
-    out = {c: as_text(field(NAMES[c])) for c in S.RESPONSE_TEXTS}
+def no_constant(name: str):
+    raise ValueError(name)
 
-    def items(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        several = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: as_text(x))
-        return F.when(v.isNull() | (kind == "VOID"), F.array().cast("array<string>")).when(kind.startswith("ARRAY"), several).otherwise(F.array(as_text(v)))
 
-    out |= {c: items(field(NAMES[c])) for c in S.RESPONSE_LISTS}
-    number = field("confidence")
-    is_number = F.schema_of_variant(number).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")
-    value = F.try_variant_get(number, "$", "double")
-    out["confidence"] = F.when(is_number & (F.abs(value) <= 2147483647), value.cast("int")).otherwise(0)
+def normalize_response(text: str | None) -> dict | None:
+    """The response's fields from a JSON text, closed if it was cut: texts are never null, lists never null, a confidence that isn't a number is 0. None if it is no object."""
+    if text is None:
+        return None
+    try:
+        root = json.loads(close_json(text), parse_constant=no_constant)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(root, dict):
+        return None
+    out: dict = {c: as_text(root.get(NAMES[c])) for c in S.RESPONSE_TEXTS}
+    for c in S.RESPONSE_LISTS:
+        value = root.get(NAMES[c])
+        out[c] = [] if value is None else list(map(as_text, value)) if isinstance(value, list) else [as_text(value)]
+    number = root.get("confidence")
+    out["confidence"] = int(number) if isinstance(number, int | float) and not isinstance(number, bool) and -2147483649 < number < 2147483648 else 0
     return out
 
 
+READ = StructType([StructField("ok", BooleanType()), *(StructField(c, StringType()) for c in S.RESPONSE_TEXTS), StructField("confidence", IntegerType()), *(StructField(c, ArrayType(StringType())) for c in S.RESPONSE_LISTS)])
+
+
+@F.pandas_udf(READ)
+def read_answer(texts: pd.Series) -> pd.DataFrame:
+    """ok and the response's columns, of JSON texts as extract_json() finds them."""
+    rows = [normalize_response(t) for t in texts]
+    return pd.DataFrame([{"ok": r is not None, **(r or {c: None for c in COLUMNS})} for r in rows], columns=["ok", *COLUMNS]).astype({"confidence": "Int32"})
+
+
 def fix_screenshot_text(observation: Column, image: Column) -> Column:
     """If a picture was sent, an observation that denies it is replaced."""
     denies = T.blank(observation) | F.lower(observation).contains("no screenshot") | F.lower(observation).contains("not provided")
@@ -135,24 +153,21 @@ def clean_answers(answers: DataFrame, requests: DataFrame) -> tuple[DataFrame, D
 
     requests: (failure_id, error, failed_step, failure_image). A failure keeps the first and last 200 and the first 3,000 characters.
     """
-    text = repair_json(extract_json(F.col("raw_text")))
-    parsed = answers.where("attempt <= 2").withColumn("_root", F.try_parse_json(text))
-    ok = F.coalesce(F.schema_of_variant("_root").startswith("OBJECT"), F.lit(False))
-    judged = parsed.withColumn("_ok", ok)
-    first = judged.where("_ok").groupBy("failure_id").agg(F.min("attempt").alias("attempt"))
-    chosen = judged.where("_ok").join(first, ["failure_id", "attempt"]).dropDuplicates(["failure_id"]).select("failure_id", "attempt", *[v.alias(c) for c, v in normalize_response(F.col("_root")).items()])
-    asked = requests.select("failure_id", F.col("error").alias("_error"), F.col("failed_step").alias("_step"), F.col("failure_image").alias("_image")).dropDuplicates(["failure_id"])
-    told = chosen.join(asked, "failure_id", "left").withColumn("screenshot_observation", fix_screenshot_text(F.col("screenshot_observation"), F.col("_image")))
-    told = told.withColumn("classification", guarded("", F.col("_error"), F.col("_step")))
-    bad = (
-        judged.groupBy("failure_id").agg(F.max("_ok").alias("ok"), F.max_by(F.struct("attempt", "raw_text"), "attempt").alias("last"), F.count("*").alias("attempts"))
-        .where("NOT ok")
-        .select(
-            "failure_id", "attempts", F.when(T.blank(F.col("last.raw_text")), "empty answer").when(~F.col("last.raw_text").contains("{"), "no JSON object").otherwise("not a JSON object").alias("error"),
-            F.substring("last.raw_text", 1, 200).alias("first_200"), F.right("last.raw_text", F.lit(200)).alias("last_200"), F.substring("last.raw_text", 1, 3000).alias("first_3000"),
-        )
+    judged = answers.where("attempt <= 2").select("failure_id", "attempt", "raw_text", read_answer(extract_json(F.col("raw_text"))).alias("r"))
+    # min and max over all fields: whichever rows an id has more than one of, the same is chosen on every run
+    each = judged.groupBy("failure_id").agg(
+        F.min(F.when(F.col("r.ok"), F.struct("attempt", "raw_text", "r"))).alias("best"), F.max(F.struct("attempt", "raw_text")).alias("last"), F.count("*").alias("attempts")
+    )
+    asked = requests.groupBy("failure_id").agg(F.min(F.struct(F.col("error").alias("_error"), F.col("failed_step").alias("_step"), F.col("failure_image").alias("_image"))).alias("_asked"))
+    chosen = each.where("best IS NOT NULL").select("failure_id", "best.attempt", *[F.col(f"best.r.{c}").alias(c) for c in COLUMNS])
+    told = chosen.join(asked, "failure_id", "left").withColumn("screenshot_observation", fix_screenshot_text(F.col("screenshot_observation"), F.col("_asked._image")))
+    told = told.withColumn("classification", guarded("", F.col("_asked._error"), F.col("_asked._step")))
+    said = F.col("last.raw_text")
+    bad = each.where("best IS NULL").select(
+        "failure_id", "attempts", F.when(T.blank(said), "empty answer").when(~said.contains("{"), "no JSON object").otherwise("not a JSON object").alias("error"),
+        F.substring(said, 1, 200).alias("first_200"), F.right(said, F.lit(200)).alias("last_200"), F.substring(said, 1, 3000).alias("first_3000"),
     )
-    return told.drop("_error", "_step", "_image"), bad
+    return told.drop("_asked"), bad
 
 
 def validate_response(responses: DataFrame) -> DataFrame:
@@ -161,7 +176,7 @@ def validate_response(responses: DataFrame) -> DataFrame:
     out = responses.withColumns({"classification": F.coalesce(T.filled(F.col("classification")), F.lit("UNKNOWN")), "severity": F.coalesce(T.filled(F.col("severity")), F.lit("MEDIUM")), "root_cause_type": kind})
     most = F.when(F.col("root_cause_type") == "CONFIRMED", 100).otherwise(80)
     none = F.size(F.coalesce("missing_evidence", F.array().cast("array<string>"))) == 0
-    lacking = F.array(F.lit("Additional evidence is required to confirm the root cause"))
+    lacking = F.array(F.lit(LACKING))
     return out.withColumns(
         {
             "confidence": F.least(F.greatest(F.coalesce("confidence", F.lit(0)), F.lit(0)), most),
@@ -180,7 +195,7 @@ def reused_responses(matched: DataFrame, order: str, guard: bool = True) -> Data
         {
             "fb_classification": F.coalesce(human, T.filled(F.col("fb_ai_classification")), F.lit("UNKNOWN")),
             "fb_human_classification": human,
-            "fb_root_cause": F.coalesce(T.filled(F.col("fb_root_cause")), F.lit("Result loaded from previously saved failure details.")),
+            "fb_root_cause": F.coalesce(T.filled(F.col("fb_root_cause")), F.lit(LOADED)),
             "fb_confidence": F.coalesce("fb_confidence", F.lit(0)),
         }
     )

@@ -14,7 +14,7 @@ def feedback_columns(requests: DataFrame) -> DataFrame:
     both = T.searched(F.col("error"), F.col("stack_trace"))
     return requests.withColumns(
         {
-            "scenario_name": F.coalesce(T.filled(F.col("scenario")), F.col("test_name")),
+            "scenario_name": T.scenario_key(F.col("scenario"), F.col("test_name")),
             "feature_name": F.col("feature"),
             "failed_step_line": F.col("failed_step"),
             "normalized_step": T.norm_step(F.col("failed_step")),
@@ -143,8 +143,11 @@ def match_history(requests: DataFrame, feedback: DataFrame) -> DataFrame:
     A forced request looks nothing up. The legacy id is tried only where the exact one is unknown.
     """
     asked = requests.withColumn("_forced", F.coalesce("force_reanalysis", F.lit(False)) if "force_reanalysis" in requests.columns else F.lit(False))
-    exact = asked.withColumn("_key", F.when(~F.col("_forced"), F.col("failure_id"))).join(prefixed(usable(feedback), "ex_", "_key").withColumn("ex_hit", F.lit(True)), "_key", "left")
-    old = exact.withColumn("_old", F.when(~F.col("_forced") & F.col("ex_hit").isNull(), F.col("legacy_id")))
+    # rows that look nothing up get keys of their own, so that they don't meet in one task
+    alone = F.concat(F.lit("-"), F.xxhash64(*[c for c in ("report_id", "failure_idx", "seq", "failure_id") if c in asked.columns]).cast("string"))
+    asked = T.once(asked, {"_key": F.when(F.col("_forced"), alone).otherwise(F.col("failure_id"))})
+    exact = asked.join(prefixed(usable(feedback), "ex_", "_key").withColumn("ex_hit", F.lit(True)), "_key", "left")
+    old = exact.withColumn("_old", F.when(~F.col("_forced") & F.col("ex_hit").isNull(), F.col("legacy_id")).otherwise(alone))
     both = old.join(prefixed(usable(feedback), "old_", "_old").withColumn("old_hit", F.lit(True)), "_old", "left")
     columns = [c for c in feedback.columns if c != "failure_id"]
     out = both.withColumns({f"fb_{c}": F.coalesce(f"ex_{c}", F.when(F.col("ex_hit").isNull(), F.col(f"old_{c}"))) for c in columns})
@@ -184,7 +187,7 @@ def match_across_reports(requests: DataFrame, feedback: DataFrame, key: str) ->
     The exception has to be equal. A fixed locator has to be equal too; a generated one by its pattern, or else the step; without
     locator the step has to be. Three equal joins instead of one join with OR, over history summed up by key.
     """
-    asked = feedback_columns(requests).select(key, F.upper("exception_type").alias("e"), "locator", F.lower("normalized_step").alias("step")).where(F.col("e").isNotNull() & (F.col("e") != ""))
+    asked = T.once(feedback_columns(requests), {"locator": F.col("locator"), "e": F.upper("exception_type"), "step": F.lower("normalized_step")}).select(key, "e", "locator", "step").where(F.col("e").isNotNull() & (F.col("e") != ""))
     has = ~T.blank(F.col("locator"))
     dynamic = has & T.is_dynamic_locator(F.col("locator"))
     label = F.upper(T.trim(F.col("human_classification")))

@@ -168,6 +168,10 @@ PATTERN = rf"coalesce(regexp_replace(regexp_replace(lower({{c}}), '\[\d+\]', '[#
 DYNAMIC = r"coalesce(regexp_matches(lower({c}), '[_-]\d{3,}|\[\d+\]|\d{4,}'), false)"
 MATCHED = "SELECT failure_idx, failure_id, matched_by, reusable, source FROM named"
 
+#: Two calls for each id, told by its first failure; every fifth has a model with pictures.
+ANSWERED = IDS + """, firsts AS (SELECT failure_id, min(failure_idx) AS failure_idx FROM ids GROUP BY failure_id),
+calls AS (SELECT f.*, attempt, failure_idx % 5 = 0 AS vision, CASE WHEN failure_idx % 5 = 0 THEN 'vision' ELSE 'text' END AS model, failure_idx % 1000 + 50 AS http_ms FROM firsts f, (VALUES (1), (2)) a(attempt))"""
+
 ORACLE_SQL = {
     "components": PARTS + " SELECT report_id, failure_idx, step, exception, locator, error_body, stack_frame, has_locator, has_error FROM parts",
     "groups": HEADS + " SELECT report_id, group_idx, failure_idx, representative_idx, members FROM groups JOIN heads USING (report_id, group_idx)",
@@ -177,7 +181,7 @@ ORACLE_SQL = {
     "pair_scores": PARTS + """, scored AS (
   SELECT a.report_id, a.has_error AND b.has_error AND a.error_body = b.error_body AS body, a.has_locator AND b.has_locator AND a.locator <> b.locator AS conflict, a.stack_frame <> '' AND a.stack_frame = b.stack_frame AS frame,
     0.35 + CASE WHEN a.exception = b.exception AND a.exception <> 'UNKNOWN' THEN 0.25 ELSE 0 END + CASE WHEN a.locator = b.locator THEN 0.25 ELSE 0 END AS base
-  FROM parts a JOIN parts b ON a.report_id = b.report_id AND a.step = b.step AND a.failure_idx < b.failure_idx AND a.step <> '' WHERE a.report_id IN ('1', '2')),
+  FROM parts a JOIN parts b ON a.report_id = b.report_id AND a.step = b.step AND a.failure_idx < b.failure_idx AND a.step <> ''),
 final AS (SELECT report_id, body, CASE WHEN conflict THEN least(base + CASE WHEN body THEN 0.15 ELSE 0 END, 0.59) WHEN frame THEN least(1.0, base + CASE WHEN body THEN 0.15 ELSE 0 END + 0.03) ELSE base + CASE WHEN body THEN 0.15 ELSE 0 END END AS score FROM scored)
 SELECT report_id, count(*) AS pairs, round(CAST(sum(score) AS DOUBLE), 4) AS total, count(*) FILTER (WHERE score >= 0.8) AS alike, count(*) FILTER (WHERE body) AS bodies FROM final GROUP BY report_id""",
     "failure_ids": IDS + f" SELECT failure_idx, failure_id, legacy_id, hash AS screenshot_hash, {SIGNATURE} AS signature FROM ids",
@@ -222,6 +226,15 @@ picked AS (SELECT CASE WHEN {cues('s', ('err_name_not_resolved', 'dns', 'refused
 SELECT classification, CASE classification WHEN 'UNKNOWN' THEN 'LOW' WHEN 'AUTOMATION_ISSUE' THEN 'MEDIUM' ELSE 'HIGH' END AS severity, CASE classification WHEN 'UNKNOWN' THEN 35 ELSE 60 END AS confidence, count(*) AS n FROM picked GROUP BY ALL""",
     "explode_reports": FAILURES + f" SELECT report_id, test_case_id, scenario_name, {collapse('failed_step_line')} AS failed_step_line, coalesce(error_message, '') AS error_message, failure_image, '1. [PASS] open' || chr(10) || '2. [FAIL] ' || {collapse('failed_step_line')} AS all_steps FROM failures",
     "explode_pages": "SELECT CAST(page_id AS VARCHAR) AS report_id, CAST(NULL AS VARCHAR) AS test_case_id FROM pages WHERE contains(html, 'test-item') AND contains(html, 'fail-bg')",
+    "explode_markup": FAILURES + """, shown AS (SELECT report_id, failure_idx, CAST(failure_idx AS VARCHAR) AS n FROM failures WHERE failure_idx % 5 <> 1),
+said AS (SELECT *, CASE failure_idx % 4 WHEN 0 THEN 'open page ' || n WHEN 1 THEN 'one two ' || n ELSE 'go to ' || n END AS line, CASE WHEN failure_idx % 3 = 0 THEN 'ERROR' ELSE 'FAIL' END AS mark FROM shown)
+SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY failure_idx) - 1 AS failure_idx, 'T' || n AS test_case_id, 'S' || n AS scenario_name, line AS failed_step_line,
+  CASE WHEN failure_idx % 4 = 1 THEN '' WHEN failure_idx % 2 = 0 THEN 'E' || n || ': x < y' || chr(10) || 'at a.b' ELSE 'E' || n || ': x < y' END AS error_message, 'i' || n AS failure_image,
+  CASE WHEN failure_idx % 4 = 2 THEN '1. [INFO] ' || line || chr(10) || '2. [' || mark || '] ' || line ELSE '1. [' || mark || '] ' || line END AS all_steps
+FROM said""",
+    "model_call_stats": ANSWERED + """ SELECT model, vision, count(*) AS calls, count(*) FILTER (WHERE attempt > 1) AS retries, CAST(sum(http_ms) AS BIGINT) AS total_ms, avg(http_ms) AS mean_ms, max(http_ms) AS max_ms,
+  CAST(sum(failure_idx % 700) AS BIGINT) AS prompt_tokens, CAST(sum(failure_idx % 300) AS BIGINT) AS output_tokens FROM calls GROUP BY ALL""",
+    "failed_answers": ANSWERED + " SELECT CASE failure_idx % 5 WHEN 2 THEN 'no JSON object' ELSE 'not a JSON object' END AS error, count(*) AS n FROM calls WHERE attempt = 1 AND failure_idx % 5 IN (2, 3) GROUP BY ALL",
     "failure_records": FAILURES + " SELECT report_id, failure_idx, test_case_id AS test_id, scenario_name AS scenario, error_message AS error FROM failures WHERE CAST(report_id AS INT) % 2 = 0",
     "typed_requests": FAILURES + " SELECT failure_idx, CAST(failure_idx AS VARCHAR) AS test_name, feature_name || ', ' || scenario_name AS feature, error_message AS error, CAST(NULL AS VARCHAR) AS scenario, scenario_name AS steps, failure_idx % 2 = 0 AS force_reanalysis FROM failures",
 }

@@ -54,25 +54,30 @@ def triage_failures(failures: DataFrame, feedback: DataFrame, answers: DataFrame
 
     Adds to triage_requests(): groups, investigated (failures in their order, with the response), clusters, summary and metrics.
     """
+    failures = written(failures, "failures")
     groups = written(G.group_failures(T.components(failures), threshold), "groups")
-    heads = G.representatives(groups, failures)
+    heads = written(G.representatives(groups, failures), "heads")
     picked = failures.join(heads.select("report_id", F.col("representative_idx").alias("failure_idx"), "group_idx"), ["report_id", "failure_idx"])
-    requests = R.to_requests(picked).join(heads.select("report_id", F.col("representative_idx").alias("failure_idx"), "group_idx"), ["report_id", "failure_idx"])
+    requests = R.to_requests(picked, "group_idx")
     requests = requests.withColumns({"event_time": F.current_timestamp(), "seq": F.col("group_idx")})
     out = triage_requests(requests, feedback, answers)
     asked = out["matched"].select("report_id", "group_idx", "failure_id", F.col("reusable").alias("reused"))
+    out["responses"] = written(out["responses"], "responses")
     answered = asked.join(out["responses"], ["failure_id", "reused"], "left").withColumn("investigated", F.col("classification").isNotNull())
     members = failures.join(groups, ["report_id", "failure_idx"]).join(answered, ["report_id", "group_idx"], "left")
     investigated = written(members.withColumn("investigated", F.coalesce("investigated", F.lit(False))), "investigated")
+    calls = None
+    if answers is not None:
+        calls = asked.where("NOT reused").join(answers.where("attempt <= 2").select("failure_id", "attempt", "vision", F.col("http_ms").alias("total_ms")), "failure_id")
     return out | {
-        "groups": groups, "investigated": investigated, "clusters": C.cluster_failures(investigated), "summary": C.summarize(investigated), "metrics": G.report_metrics(failures, groups),
+        "groups": groups, "investigated": investigated, "clusters": C.cluster_failures(investigated), "summary": C.summarize(investigated), "metrics": G.report_metrics(failures, groups, calls),
     }
 
 
 def triage_reports(reports: DataFrame, feedback: DataFrame, answers: DataFrame | None = None, threshold: float = 0.80) -> dict[str, DataFrame]:
     """Reports of HTML, from tag soup to envelopes. Reports of another type, or without failures, get an empty envelope."""
     known = reports.where(F.upper("report_type") == "EXTENT")
-    out = triage_failures(written(R.explode_reports(known), "failures"), feedback, answers, threshold)
+    out = triage_failures(R.explode_reports(known), feedback, answers, threshold)
     return out | {"envelopes": C.report_envelopes(reports, out["investigated"], out["clusters"])}
 
 

@@ -87,10 +87,6 @@ def group_metrics(spark, d):
 
 
 def pair_scores(spark, d):
-    return G.pair_totals(parts(spark, d).where("report_id IN ('1', '2')"))  # as its SQL; pair_totals has all reports
-
-
-def pair_totals(spark, d):
     return G.pair_totals(parts(spark, d))
 
 
@@ -217,6 +213,21 @@ def explode_pages(spark, d):
     return R.explode_reports(pages).select("report_id", "test_case_id")
 
 
+def explode_markup(spark, d):
+    """Reports whose steps come in several forms of markup: line breaks, blocks in a step, steps in steps, errors as a value, items left open."""
+    f, i = X.failures(spark, d), F.col("failure_idx")
+    n = i.cast("string")
+    step = F.when(i % 4 == 0, F.concat(F.lit("<span>open<br>page "), n, F.lit("</span>"))).when(i % 4 == 1, F.concat(F.lit("<p>one</p><p>two "), n, F.lit("</p>"))).otherwise(F.concat(F.lit("<span>go\n to "), n, F.lit("</span>")))
+    error = F.concat(F.lit("E"), n, F.lit(": x &lt; y"))
+    area = F.when(i % 4 == 1, "").when(i % 2 == 0, F.concat(F.lit('<textarea class="big code-block">'), error, F.lit("  \r\nat a.b\n</textarea>"))).otherwise(F.concat(F.lit('<textarea class="code-block" value="'), error, F.lit('"></textarea>')))
+    inner = F.concat(F.lit('<div class="step '), F.when(i % 3 == 0, "error-bg").otherwise("fail-bg"), F.lit('">'), step, area, F.lit('<img src="i'), n, F.lit('"></div>'))
+    body = F.when(i % 4 == 2, F.concat(F.lit('<section class="step info">group<hr>'), inner, F.lit("</section>"))).otherwise(inner)
+    item = F.concat(F.lit('<li class="x test-item" status="'), F.when(i % 5 == 0, "ERROR").when(i % 5 == 1, "pass").otherwise("Fail"), F.lit('" test-id=" T'), n, F.lit('"><div class="test-detail"><b class="name">S<i>'), n, F.lit("</i></b></div>"), body, F.when(i % 2 == 0, "</li>").otherwise(""))
+    rows = f.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("failure_idx", item.alias("item")))).alias("items"))
+    html = rows.select("report_id", F.concat(F.lit("<ul>"), F.array_join("items.item", "\n"), F.lit("</ul>")).alias("html"))
+    return R.explode_reports(html).select("report_id", "failure_idx", "test_case_id", "scenario_name", "failed_step_line", "error_message", "failure_image", "all_steps")
+
+
 def failure_records(spark, d):
     f = X.failures(spark, d)
     kinds = f.select("report_id").distinct().withColumn("report_type", F.when(F.expr("CAST(report_id AS INT) % 2 = 0"), "extent").otherwise("OTHER"))
@@ -279,12 +290,12 @@ def stream_corrections(spark, d):
 
 QUERIES = {
     "group_metrics": group_metrics, "components": components, "groups": groups, "groups_at_0_87": groups_at(0.87), "groups_at_0_95": groups_at(0.95),
-    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "pair_totals": pair_totals, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
+    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
     "feedback_current": feedback_current, "effective_labels": effective_labels, "match_history": match_history, "legacy_aliases": legacy_aliases, "pending": pending,
     "resolve_repeats": resolve_repeats, "match_across_reports": match_across_reports, "reused_responses": reused_responses, "corrections": corrections,
     "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "prompts": prompts,
     "guardrail": guardrail, "validate_response": validate_response, "rule_triage": rule_triage, "clean_answers": clean_answers, "failed_answers": failed_answers,
-    "model_call_stats": model_call_stats, "explode_reports": explode_reports, "explode_pages": explode_pages, "failure_records": failure_records,
+    "model_call_stats": model_call_stats, "explode_reports": explode_reports, "explode_pages": explode_pages, "explode_markup": explode_markup, "failure_records": failure_records,
     "typed_requests": typed_requests, "triage_reports": triage_reports, "triage_failures": triage_failures, "triage_requests": triage_requests,
     "stream_triage": stream_triage, "stream_dedupe": stream_dedupe, "stream_corrections": stream_corrections,
 }

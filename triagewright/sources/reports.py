@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from triagewright import schemas as S
 from triagewright.functions import text as T
@@ -17,44 +19,68 @@ STEPS = "array<struct<status:string,text:string>>"
 RAW = "report_id string, failure_idx long, test_case_id string, scenario_name string, failed_step_line string, error_message string, failure_image string, video_url string, steps " + STEPS
 
 
+#: Elements whose text stands apart from what is around them.
+BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul video".split())
+
+
 class Reader(HTMLParser):
-    """Failed tests of one report, collected while its tags go by."""
+    """Failed tests of one report, collected while its tags go by. Tests and steps may stand inside one another; what is in the inner one is in the outer one too."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, set[str]]] = []
         self.tests: list[dict] = []
-        self.test = self.step = None
-        self.test_at = self.step_at = self.span_at = self.name_at = -1
+        self.inner: list[tuple[int, dict]] = []  # open tests, with their depth
+        self.steps: list[tuple[int, dict]] = []  # open steps
+        self.texts: list[tuple[int, list[str]]] = []  # open texts that are collected
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
         classes = set(a.get("class", "").split())
+        if tag == "li":  # another item ends an open one of the same list
+            names = [t for t, _ in self.open]
+            last = max((i for i, t in enumerate(names) if t == "li"), default=-1)
+            if last >= 0 and not {"ul", "ol"} & set(names[last:]):
+                self.handle_endtag("li")
+        if tag in BLOCKS:
+            self.apart()
+        depth = len(self.open)
         if tag == "li" and "test-item" in classes:
-            self.test = {"status": a.get("status", ""), "id": a.get("test-id", ""), "name": None, "steps": []}
-            self.tests.append(self.test)
-            self.test_at, self.step, self.step_at = len(self.open), None, -1
-        elif self.test is not None:
-            if "step" in classes and self.step is None:
-                self.step = {"classes": classes, "span": None, "text": [], "error": None, "image": None, "video": None}
-                self.test["steps"].append(self.step)
-                self.step_at = len(self.open)
-            elif "name" in classes and self.test["name"] is None and any("test-detail" in c for _, c in self.open[self.test_at :]):
-                self.test["name"], self.name_at = [], len(self.open)
-            if self.step is not None:
-                self.inside(tag, a, classes)
+            test = {"status": a.get("status", ""), "id": a.get("test-id", ""), "name": None, "steps": []}
+            self.tests.append(test)
+            self.inner.append((depth, test))
+        elif self.inner:
+            for at, test in self.inner:
+                if "name" in classes and test["name"] is None and any("test-detail" in c for _, c in self.open[at:]):
+                    test["name"] = self.text(depth, tag)
+            for at, step in self.steps:
+                self.inside(step, at, depth, tag, a, classes)
+            if "step" in classes:
+                step = {"classes": classes, "span": None, "text": self.text(depth, tag), "error": None, "value": "", "image": None, "video": None}
+                for _, test in self.inner:
+                    test["steps"].append(step)
+                self.steps.append((depth, step))
         if tag not in VOID:
             self.open.append((tag, classes))
 
-    def inside(self, tag: str, a: dict, classes: set[str]) -> None:
-        step = self.step
+    def text(self, depth: int, tag: str) -> list[str]:
+        found: list[str] = []
+        if tag not in VOID:
+            self.texts.append((depth, found))
+        return found
+
+    def apart(self) -> None:
+        for _, found in self.texts:
+            found.append(" ")
+
+    def inside(self, step: dict, at: int, depth: int, tag: str, a: dict, classes: set[str]) -> None:
         if tag == "span" and step["span"] is None:
-            step["span"], self.span_at = [], len(self.open)
+            step["span"] = self.text(depth, tag)
         elif tag == "textarea" and "code-block" in classes and step["error"] is None:
-            step["error"] = []
-        elif step["image"] is None and (tag == "img" or tag == "a" and any("screenshots" in c for _, c in self.open[self.step_at :])):
+            step["error"], step["value"] = self.text(depth, tag), a.get("value", "")
+        elif step["image"] is None and (tag == "img" or tag == "a" and any("screenshots" in c for _, c in self.open[at:])):
             step["image"] = a["src"] if "src" in a else a.get("href", "")
-        elif tag == "source" and step["video"] is None and any(t == "video" for t, _ in self.open[self.step_at :]):
+        elif tag == "source" and step["video"] is None and any(t == "video" for t, _ in self.open[at:]):
             step["video"] = a.get("src", "")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -65,28 +91,19 @@ class Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if all(t != tag for t, _ in self.open):
             return
-        while self.open.pop()[0] != tag:
-            pass
-        n = len(self.open)
-        if n <= self.span_at:
-            self.span_at = -1
-        if n <= self.name_at:
-            self.name_at = -1
-        if self.step is not None and n <= self.step_at:
-            self.step, self.step_at = None, -1
-        if self.test is not None and n <= self.test_at:
-            self.test, self.test_at = None, -1
+        while True:
+            last = self.open.pop()[0]
+            if last in BLOCKS:
+                self.apart()
+            if last == tag:
+                break
+        for stack in (self.texts, self.steps, self.inner):
+            while stack and stack[-1][0] >= len(self.open):
+                stack.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.test is not None and self.name_at >= 0:
-            self.test["name"].append(data)
-        if self.step is None:
-            return
-        if self.open and self.open[-1][0] == "textarea" and "code-block" in self.open[-1][1] and self.step["error"] is not None:
-            self.step["error"].append(data)
-        self.step["text"].append(data)
-        if self.span_at >= 0:
-            self.step["span"].append(data)
+        for _, found in self.texts:
+            found.append(data)
 
 
 #: Which class of a step wins.
@@ -99,6 +116,7 @@ def failed_tests(html: str) -> Iterator[dict]:
     reader.feed(html)
     reader.close()
     told = lambda s: "".join(s["text"] if s["span"] is None else s["span"])
+    told_error = lambda s: e if (e := "".join(s["error"] or [])).strip() else s["value"]
     for t in reader.tests:
         if t["status"].lower() not in ("fail", "error"):
             continue
@@ -106,7 +124,7 @@ def failed_tests(html: str) -> Iterator[dict]:
         if step is None:
             continue
         yield {
-            "test_case_id": t["id"], "scenario_name": "".join(t["name"] or []), "failed_step_line": told(step), "error_message": "".join(step["error"] or []),
+            "test_case_id": t["id"], "scenario_name": "".join(t["name"] or []), "failed_step_line": told(step), "error_message": told_error(step),
             "failure_image": step["image"] or "", "video_url": step["video"] or "",
             "steps": [{"status": next((v for c, v in STATUS if c in s["classes"]), "INFO"), "text": told(s)} for s in t["steps"]],
         }
@@ -176,19 +194,31 @@ def to_failure_records(failures: DataFrame, reports: DataFrame) -> DataFrame:
     return failures.join(known, "report_id").select("report_id", "failure_idx", *[F.col(a).alias(b) for a, b in names.items()])
 
 
-def to_requests(failures: DataFrame) -> DataFrame:
-    """failures as model requests."""
+def to_requests(failures: DataFrame, *keep: str) -> DataFrame:
+    """failures as model requests, with further columns to keep."""
     names = {"test_case_id": "test_name", "feature_name": "feature", "scenario_name": "scenario", "failed_step_line": "failed_step", "error_message": "error"}
     same = ("stack_trace", "console_logs", "failure_image", "video_url", "all_steps")
-    return failures.select("report_id", "failure_idx", *[F.col(a).alias(b) for a, b in names.items()], *same, F.lit("EXTENT").alias("report_type"))
+    return failures.select("report_id", "failure_idx", *keep, *[F.col(a).alias(b) for a, b in names.items()], *same, F.lit("EXTENT").alias("report_type"))
+
+
+def list_text(value) -> str | None:
+    """A list's items that aren't blank, joined, and lists in it likewise, however deep."""
+    if not isinstance(value, list):
+        return value if value is None or isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return ", ".join(x for x in map(list_text, value) if x and x.strip())
+
+
+@F.pandas_udf(StringType())
+def joined_list(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else list_text(json.loads(t)))
 
 
-def as_string(v: Column, depth: int = 2) -> Column:
+def as_string(v: Column, lists: Column | None = None) -> Column:
     """Any JSON value as a request's string: lists give their items that aren't blank, joined; objects their JSON; null stays null."""
     kind = F.schema_of_variant(v)
-    item = (lambda x: as_string(x, depth - 1)) if depth else (lambda x: F.to_json(x))
-    joined = F.array_join(F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), item), lambda x: ~T.blank(x)), ", ")
-    return F.when(kind.startswith("ARRAY"), joined).when(kind.startswith("OBJECT"), F.to_json(v)).when(kind == "VOID", F.lit(None).cast("string")).otherwise(F.try_variant_get(v, "$", "string"))
+    if lists is None:
+        lists = joined_list(F.when(kind.startswith("ARRAY"), F.to_json(v)))
+    return F.when(kind.startswith("ARRAY"), lists).when(kind.startswith("OBJECT"), F.to_json(v)).when(kind == "VOID", F.lit(None).cast("string")).otherwise(F.try_variant_get(v, "$", "string"))
 
 
 REQUEST_NAMES = {c: "".join(w if i == 0 else w.capitalize() for i, w in enumerate(c.split("_"))) for c in S.REQUEST_FIELDS}
@@ -198,7 +228,7 @@ def parse_requests(lines: DataFrame, column: str = "value") -> DataFrame:
     """Requests from JSON texts whose fields may be of any type. Text that isn't an object gives a row of nulls."""
     root = F.try_parse_json(F.col(column))
     field = lambda n: F.try_variant_get(F.col("_root"), f"$.{n}", "variant")
-    step = lambda s: F.coalesce(F.when(F.schema_of_variant(s).startswith("OBJECT"), F.coalesce(F.try_variant_get(s, "$.text", "string"), F.try_variant_get(s, "$.raw", "string"))), as_string(s), F.lit(""))
+    step = lambda s: F.coalesce(F.when(F.schema_of_variant(s).startswith("OBJECT"), F.coalesce(F.try_variant_get(s, "$.text", "string"), F.try_variant_get(s, "$.raw", "string"))), as_string(s, F.to_json(s)), F.lit(""))
     steps = F.transform(F.try_variant_get(F.col("_root"), "$.allStepsDetail", "array<variant>"), step)
     return lines.withColumn("_root", root).select(*[c for c in lines.columns if c != column], *[as_string(field(n)).alias(c) for c, n in REQUEST_NAMES.items()], steps.alias("all_steps_detail"), F.coalesce(F.try_variant_get(F.col("_root"), "$.forceReanalysis", "boolean"), F.lit(False)).alias("force_reanalysis"))
 

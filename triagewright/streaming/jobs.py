@@ -19,10 +19,13 @@ def stream_triage(requests: DataFrame, log_path: str, matched_path: str, prompts
     so that a batch that runs again replaces what it wrote."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        feedback = H.feedback_current(H.read_feedback(rows.sparkSession, log_path))
-        matched = H.match_history(H.with_ids(rows), feedback)
+        asked = H.with_ids(rows)
+        ids = asked.select("failure_id").union(asked.select("legacy_id")).distinct()
+        log = H.read_feedback(rows.sparkSession, log_path).join(ids, "failure_id", "left_semi")  # the batch's ids alone are folded
+        matched = H.match_history(asked, H.feedback_current(log))
         matched.write.mode("overwrite").parquet(f"{matched_path}/batch={number}")
-        P.build_prompts(H.pending(matched)).write.mode("overwrite").parquet(f"{prompts_path}/batch={number}")
+        again = rows.sparkSession.read.schema(matched.schema).parquet(f"{matched_path}/batch={number}")
+        P.build_prompts(H.pending(again)).write.mode("overwrite").parquet(f"{prompts_path}/batch={number}")
 
     return start(requests, batch, checkpoint, once)
 
