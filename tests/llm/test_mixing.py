@@ -12,9 +12,9 @@ def test_rates_solve_the_least_squares_problem(spark):
     p, w, b = rng.dirichlet([0.5, 0.3, 0.2], 500), rng.integers(1, 400, 500), np.array([0.2, 0.7, 0.1])
     soft = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(w, p)], "n_tokens long, p array<double>").cache()
     steps = M.solve(soft, list(b))
-    got = np.array([r.r for r in soft.select(M.rate(F.col("p"), steps)["rate"].alias("r")).collect()])
+    got = np.array([r.r for r in soft.select(M.rate(F.col("p"), steps).alias("r")).collect()])
     share = w / w.sum()
-    assert got.min() >= 0 and np.abs((share * got) @ p - b).max() < 1e-5
+    assert got.min() >= 0 and np.abs((share * got) @ p - b).max() < 2e-5
     r = np.ones(500)  # plain projected gradient
     own = share @ p**2
     for _ in range(5000):
@@ -25,8 +25,8 @@ def test_rates_solve_the_least_squares_problem(spark):
 def test_targets_out_of_reach_stay_nonnegative(spark):
     soft = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.5, 0.5]), (0, [0.0, 1.0])], "n_tokens long, p array<double>")
     steps = M.solve(soft, [0.0, 1.0])
-    r = [x.r for x in soft.select(M.rate(F.col("p"), steps)["rate"].alias("r")).collect()]
-    assert min(r) >= 0 and abs(r[1] * 0.5 * 0.5 + r[0] * 0.0 - 0.5 * 0.5 * r[1]) < 1e-9 and r[0] < 1e-2
+    r = [x.r for x in soft.select(M.rate(F.col("p"), steps).alias("r")).collect()]
+    assert min(r) >= 0 and r[0] < 1e-2
     assert M.solve(soft.limit(0), [0.5, 0.5]) == []
 
 
@@ -55,7 +55,7 @@ def test_rare_domains_and_no_other_way_than_zero_rates(spark):
     soft = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(w, p)], "n_tokens long, p array<double>").cache()
     b = np.array([0.98, 0.001, 0.019])
     steps = M.solve(soft, list(b))
-    got = np.array([r.r for r in soft.select(M.rate(F.col("p"), steps)["rate"].alias("r")).collect()])
+    got = np.array([r.r for r in soft.select(M.rate(F.col("p"), steps).alias("r")).collect()])
     assert got.min() >= 0 and np.abs((w / w.sum() * got) @ p - b).max() < 1e-4 and len(steps) < 60
 
 
@@ -68,12 +68,14 @@ def test_query_meets_its_targets(spark):
         p = np.array([[r[f"p_{x}"] for x in M.DOMAINS] for r in got])
         b = np.array([M.TARGETS[x] for x in M.DOMAINS])
         rates = np.array([r.rate for r in got])
-        assert np.abs(p.sum(1) - 1).max() < 1e-6 and np.abs((w * rates) @ p - b).max() < (1e-4 if "0.01" in d else 2e-3)
-        metric = np.linalg.inv((p * w[:, None]).T @ p + 1e-9 * np.eye(3))
-        r = np.ones(len(got))  # plain projected gradient in the same metric
-        for _ in range(3000):
-            r = np.maximum(0, r - p @ (metric @ ((w * r) @ p - b)))
-        assert np.abs((w * r) @ p - b).max() < 2e-3 and np.abs(r - rates).max() < 0.2 * max(1.0, r.max())
+        assert np.abs(p.sum(1) - 1).max() < 1e-6 and np.abs((w * rates) @ p - b).max() < 1e-4
+        r = np.ones(len(got))  # projected gradient in numpy
+        for _ in range(M.ROUNDS):
+            live = (p * (w * (r > 0))[:, None]).T @ p
+            if np.abs((w * r) @ p - b).max() < 1e-6:
+                break
+            r = np.maximum(0, r - p @ np.linalg.solve(live + 1e-9 * np.trace(live) * np.eye(3), (w * r) @ p - b))
+        assert np.abs(r - rates).max() < 1e-3 * max(1.0, r.max())
 
 
 def test_posteriors_against_a_plain_classifier(spark):
@@ -93,3 +95,15 @@ def test_posteriors_against_a_plain_classifier(spark):
         z = np.array([float(f"{b:.17g}") for b in model["prior"]]) + np.array([sum(float(f"{o[j]:.5g}") for j in f) for o in model["odds"]])
         e = np.exp(z - z.max())
         assert np.abs(np.array(r.p) - e / e.sum()).max() < 1e-6
+
+
+def test_held_out_domains(spark):
+    """Most held-out documents of each domain are told, by a model of the others."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    known = M.label_domains(labels).where(M.common.held_out(F.col("doc_id")))
+    model = M.fit_domains(docs.select("doc_id", "text"), M.label_domains(labels))
+    got = M.posteriors(docs.select("doc_id", "text").join(known, "doc_id"), model).collect()
+    for name, least in (("clean", 0.93), ("low", 0.7), ("toxic", 0.75)):
+        own = [model["domains"][max(range(3), key=lambda i: r.p[i])] == name for r in got if r.domain == name]
+        assert sum(own) > least * len(own), (name, sum(own), len(own))

@@ -3,17 +3,19 @@
 Soft membership: a classifier learnt from a labelled table gives each document a posterior over domains. Documents then get
 nonnegative rates whose expected domain token totals match targets: the least squares problem
 
-    min 1/2 e' M^-1 e,  e_k = sum_d w_d r_d p_dk - b_k,  M_kl = sum_d w_d p_dk p_dl,  r >= 0,  w_d = tokens_d / all tokens
+    min 1/2 e' M^-1 e,  e_k = sum_d w_d r_d p_dk - b_k,  r >= 0,  w_d = tokens_d / all tokens
 
-is solved by accelerated projected gradient steps from r = 1. M^-1 weighs the domains' errors so that a rare domain, or one whose posteriors
-resemble another's, counts as much as any other; a step without a rate at zero is exact then, and few rounds do. A pass over the slim table
-of posteriors sums up the error (as many numbers as there are domains); a rate depends on the posterior and on the steps so far alone, so
-rates are an expression over a few literals, and no iterate is stored, shuffled or collected. Rounds end when the totals of the rates
-themselves are within `close` of the targets, or when they get no closer (targets that no rates meet).
+is solved by projected gradient steps from r = 1. M_kl = sum of w_d p_dk p_dl over the documents whose rate isn't at zero weighs the domains' errors,
+so that a rare domain, or one whose posteriors resemble another's, counts as much as any other; a step that takes no rate to zero is exact then,
+and few rounds do. A pass over the slim table of posteriors sums up error and weights (as many numbers as there are domains, and their square);
+a rate depends on the posterior and on the steps so far alone, so rates are an expression over a few literals, and no iterate is stored,
+shuffled or collected. Rounds end when the totals of the rates are within `close` of the targets, or when they get no closer (targets that no
+rates meet).
 
 The classifier is a naive Bayes model over words and over tags of length, word length, repetition, marks and capitals, all hashed to BUCKETS
 log odds, counted by Spark on a bounded sample of labelled rows (`train_rows`, about that many, 1.5 times at most), none of them held out.
-Buckets of words that lean no further than chance allows have odds of 0; every bucket is looked up, so no word is left out for want of room.
+A word counts for a domain where it is RATIO times as frequent as elsewhere and that far beyond chance (LEAN deviations); common words, which lean a
+little with the length of texts, count for none. Every bucket is looked up, so no word is left out for want of room.
 
 Null and empty texts have no tokens and the domains' shares by their tags alone; their rate is as any other's. Repeated rows each get a
 rate. With no labels there is one domain, `unknown`. Targets need not sum to 1; a domain without target has target 0. An empty table gives an
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from triagewright.llm import common
 from triagewright.llm.fingerprints import let
 
-TRAIN_ROWS, BUCKETS, LEAN, ROUNDS = 4000, 8192, 6.0, 100
+TRAIN_ROWS, BUCKETS, LEAN, RATIO, ROUNDS = 4000, 65_536, 5.0, 2.0, 40
 #: Slots of a tag, and of all that a document can have.
 LEVELS = 24
 SLOTS = BUCKETS + 6 * LEVELS
@@ -86,11 +88,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     each = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     odds = [[0.0] * SLOTS for _ in domains]
     for r in bags.select("domain", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *each).collect():
-        expected = [r.n * sizes[d] / total for d in domains]
-        leans = sum(abs(r[f"n{i}"] - e) / math.sqrt(e + 1) for i, e in enumerate(expected))
-        if r.f >= BUCKETS or r.n >= 4 and leans > LEAN:
-            for i, d in enumerate(domains):
-                odds[i][r.f] = math.log((r[f"n{i}"] + 0.5) / (sizes[d] + 1)) - math.log((r.n + 0.5) / (total + 1))
+        for i, d in enumerate(domains):
+            n, expected = r[f"n{i}"], r.n * sizes[d] / total
+            own = math.log((n + 0.5) / (sizes[d] + 1)) - math.log((r.n + 0.5) / (total + 1))
+            telling = r.n >= 4 and own > math.log(RATIO) and (n - expected) / math.sqrt(expected + 1) > LEAN
+            odds[i][r.f] = own if r.f >= BUCKETS or telling else 0.0
     return {"domains": domains, "prior": [math.log(sizes[d] / total) for d in domains], "odds": odds}
 
 
@@ -103,8 +105,9 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text", keep: list[str]
     """docs' kept columns (all but the text, if not given) with n_tokens (words) and p: the domains' probabilities, in the model's order."""
     keep = keep if keep is not None else [c for c in docs.columns if c not in (text, "n_tokens", "p")]
     odds = [numbers(x) for x in model["odds"]]
+    known = numbers([float(any(x)) for x in zip(*model["odds"])])
     held = F.coalesce(common.quoted(text), F.lit(""))
-    telling = lambda f: F.filter(features(f, held), lambda j: F.get(odds[0], j) != 0.0)
+    telling = lambda f: F.filter(features(f, held), lambda j: F.get(known, j) > 0)
     score = lambda found, i: F.aggregate(found, F.lit(float(model["prior"][i])), lambda a, j: a + F.get(odds[i], j))
     scores = lambda found: F.array(*[score(found, i) for i in range(len(odds))])
     soft = lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))
@@ -114,17 +117,11 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text", keep: list[str]
     return docs.select(*map(common.quoted, keep), found.alias("_found")).select(*map(common.quoted, keep), F.col("_found.n").alias("n_tokens"), F.col("_found.p").alias("p"))
 
 
-def rate(p: Column, steps: list[tuple[float, list[float]]]) -> Column:
-    """(rate, ahead): the rate, and the point ahead of it where the next error is taken. A step: (momentum, weighted error)."""
-    k = len(steps[0][1]) if steps else 0
-    laid = F.array(*[F.array(*[F.lit(float(x)) for x in (m, *g)]) for m, g in steps])
-
-    def go(a: Column, s: Column) -> Column:
-        moved = F.greatest(F.lit(0.0), a["ahead"] - sum((F.get(p, F.lit(i)) * F.get(s, F.lit(i + 1)) for i in range(k)), F.lit(0.0)))
-        return let(moved, lambda r: F.struct(r.alias("rate"), (r + F.get(s, F.lit(0)) * (r - a["rate"])).alias("ahead")))
-
-    one = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    return F.aggregate(laid, one, go) if steps else one
+def rate(p: Column, steps: list[list[float]]) -> Column:
+    """The rate after these steps. A step: for each domain the weighted error."""
+    laid = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
+    dot = lambda g: sum((F.get(p, F.lit(i)) * F.get(g, F.lit(i)) for i in range(len(steps[0]))), F.lit(0.0))
+    return F.aggregate(laid, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g))) if steps else F.lit(1.0)
 
 
 def solved(m: list[list[float]], e: list[float]) -> list[float]:
@@ -141,31 +138,27 @@ def solved(m: list[list[float]], e: list[float]) -> list[float]:
     return [rows[i][k] / rows[i][i] for i in range(k)]
 
 
-def solve(soft: DataFrame, targets: list[float], rounds: int = ROUNDS, close: float = 1e-6) -> list[tuple[float, list[float]]]:
+def solve(soft: DataFrame, targets: list[float], rounds: int = ROUNDS, close: float = 1e-6) -> list[list[float]]:
     """The steps whose rates bring the expected shares of soft (n_tokens, p) to the targets. Sums over all rows; a few numbers reach the driver a round."""
     k = len(targets)
-    p, w = F.col("p"), F.col("n_tokens").cast("double")
-    first = soft.agg(F.sum(w).alias("all"), *[F.sum(w * F.get(p, F.lit(i)) * F.get(p, F.lit(j))).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
-    if not first["all"]:
-        return []
-    m = [[first[f"m{i}_{j}"] / first["all"] for j in range(k)] for i in range(k)]
-    steps: list[tuple[float, list[float]]] = []
-    t, last, best, since = 1.0, math.inf, math.inf, 0
+    p, steps, best, since = F.col("p"), [], math.inf, 0
     for _ in range(rounds):
-        at = soft.select(w.alias("w"), "p", rate(p, steps).alias("r"))
-        sums = at.agg(*[F.sum(F.col("w") * F.col("r")[c] * F.get(p, F.lit(i))).alias(f"{c}{i}") for c in ("rate", "ahead") for i in range(k)]).first()
-        e, ahead = ([sums[f"{c}{i}"] / first["all"] - targets[i] for i in range(k)] for c in ("rate", "ahead"))
+        at = soft.select(F.col("n_tokens").cast("double").alias("w"), "p", rate(p, steps).alias("r"))
+        part = lambda i: F.get(p, F.lit(i))
+        live = F.when(F.col("r") > 0, F.col("w")).otherwise(0.0)
+        sums = at.agg(
+            F.sum("w").alias("all"), *[F.sum(F.col("w") * F.col("r") * part(i)).alias(f"e{i}") for i in range(k)],
+            *[F.sum(live * part(i) * part(j)).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)],
+        ).first()
+        if not sums["all"]:
+            return []
+        e = [sums[f"e{i}"] / sums["all"] - targets[i] for i in range(k)]
         worst = max(map(abs, e))
-        since = 0 if worst < 0.999 * best else since + 1
+        since = 0 if worst < 0.99 * best else since + 1
         best = min(best, worst)
-        if worst < close or since >= 25:
+        if worst < close or since >= 10:
             break
-        g = solved(m, ahead)
-        value = sum(a * b for a, b in zip(ahead, g))
-        t = 1.0 if value > last else t  # momentum starts anew where the error grows
-        last, nxt = value, (1 + math.sqrt(1 + 4 * t * t)) / 2
-        steps.append(((t - 1) / nxt, g))
-        t = nxt
+        steps.append(solved([[sums[f"m{max(i, j)}_{min(i, j)}"] / sums["all"] for j in range(k)] for i in range(k)], e))
     return steps
 
 
@@ -181,7 +174,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str
     rows = common.packed(docs.select(*map(common.quoted, dict.fromkeys([*columns, key, text]))), without=() if keep_text else (text,), text=common.quoted(text), spread=spread)
     slim = common.written(posteriors(rows, model, keep=[] if keep_text else ["doc", "spread"]), "posteriors")
     steps = solve(slim.select("n_tokens", "p"), [float(targets.get(n, 0.0)) for n in names], rounds)
-    exact = (posteriors(rows, model, keep=["doc", "spread"]) if keep_text else slim).withColumn("rate", rate(F.col("p"), steps)["rate"])
+    exact = (posteriors(rows, model, keep=["doc", "spread"]) if keep_text else slim).withColumn("rate", rate(F.col("p"), steps))
     copies = (F.floor("rate") + (F.col("spread") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     return exact.select(*common.unpacked(columns), "n_tokens", F.map_from_arrays(F.lit(names), F.col("p")).alias("posterior"), "rate", copies.alias("copies"))
 
