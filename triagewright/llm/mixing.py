@@ -80,7 +80,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     known = labels.where(F.col("domain").isNotNull() & F.col(key).isNotNull() & ~common.held_out(F.col(key))).groupBy(key).agg(F.min("domain").alias("domain"))
     some = common.bounded_sample(known, key, train_rows)
     rows = docs.select(key, text).join(F.broadcast(some), key).select("domain", F.coalesce(text, F.lit("")).alias("t"))
-    bags = rows.select("domain", F.array_distinct(features(words(F.col("t")), F.col("t"))).alias("f"))
+    bags = rows.select("domain", let(words(F.col("t")), lambda w: F.array_distinct(features(w, F.col("t")))).alias("f"))
     sizes = {r.domain: r.n for r in bags.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains, total = sorted(sizes), sum(sizes.values())
     if not domains:
