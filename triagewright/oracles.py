@@ -238,3 +238,4 @@ FROM said""",
     "failure_records": FAILURES + " SELECT report_id, failure_idx, test_case_id AS test_id, scenario_name AS scenario, error_message AS error FROM failures WHERE CAST(report_id AS INT) % 2 = 0",
     "typed_requests": FAILURES + " SELECT failure_idx, CAST(failure_idx AS VARCHAR) AS test_name, feature_name || ', ' || scenario_name AS feature, error_message AS error, CAST(NULL AS VARCHAR) AS scenario, scenario_name AS steps, failure_idx % 2 = 0 AS force_reanalysis FROM failures",
 }
+ORACLE_SQL["pair_totals"] = ORACLE_SQL["pair_scores"]

@@ -290,7 +290,7 @@ def stream_corrections(spark, d):
 
 QUERIES = {
     "group_metrics": group_metrics, "components": components, "groups": groups, "groups_at_0_87": groups_at(0.87), "groups_at_0_95": groups_at(0.95),
-    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
+    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "pair_totals": pair_scores, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
     "feedback_current": feedback_current, "effective_labels": effective_labels, "match_history": match_history, "legacy_aliases": legacy_aliases, "pending": pending,
     "resolve_repeats": resolve_repeats, "match_across_reports": match_across_reports, "reused_responses": reused_responses, "corrections": corrections,
     "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "prompts": prompts,
