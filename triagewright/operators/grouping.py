@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from triagewright.functions import text as T
 
@@ -57,24 +57,44 @@ def score(a: tuple, b: tuple) -> float:
 
 
 def leaders(threshold: float):
-    """An applyInPandas function: each failure, in order, joins the best earlier leader that reaches the threshold, else leads."""
+    """An applyInPandas function over distinct parts and their first failures: the leaders of each, in order, every one better than those before.
+
+    A failure joins the best earlier leader that reaches the threshold, else leads. No pair scores more than equal parts do, so of parts that
+    reach the threshold with themselves the first failure alone can lead, and later ones join the last of these leaders that is before them.
+    """
 
     def assign(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("failure_idx")
+        block = block.sort_values("first")
+        rows = list(block[list(PARTS)].itertuples(index=False, name=None))
         heads: list[tuple[int, tuple]] = []
-        own = []
-        for idx, row in zip(block.failure_idx, block[list(PARTS)].itertuples(index=False, name=None)):
-            best, group = max(((score(h, row), -i) for i, h in heads), default=(-1.0, 0))
-            if heads and best >= threshold:
-                own.append(-group)
-            else:
+        for idx, row in zip(block["first"], rows):
+            if not any(score(h, row) >= threshold for _, h in heads):
                 heads.append((idx, row))
-                own.append(idx)
-        return block[["report_id", "failure_idx"]].assign(group_idx=own)
+        chains = []
+        for row in rows:
+            chain, best = [], -1.0
+            for i, h in heads:
+                if (s := score(h, row)) >= threshold and s > best:
+                    chain.append(i)
+                    best = s
+            chains.append(chain)
+        return block[["report_id", *PARTS]].assign(leaders=chains)
 
     return assign
 
 
+def led_groups(parts: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """Groups by the leader rule in each block. A task holds the distinct parts of a block, however many failures have them."""
+    rows = parts.select("report_id", "failure_idx", *PARTS)
+    kinds = rows.where(score_columns("", "")["score"] >= threshold).groupBy("report_id", *PARTS).agg(F.min("failure_idx").alias("first"))
+    out = StructType([rows.schema["report_id"], *[rows.schema[c] for c in PARTS], StructField("leaders", ArrayType(LongType()))])
+    led = kinds.groupBy(*block).applyInPandas(leaders(threshold), out)
+    same = F.struct("report_id", *PARTS).alias("_same")
+    joined = rows.select("report_id", "failure_idx", same).join(led.select(same, "leaders"), "_same", "left")
+    before = F.array_max(F.filter("leaders", lambda i: i <= F.col("failure_idx")))
+    return joined.select("report_id", "failure_idx", F.coalesce(before, "failure_idx").alias("group_idx"))
+
+
 def keyed_groups(parts: DataFrame, keys: list[str], alone) -> DataFrame:
     """Groups that are equal in keys; failures that match nothing stay alone. A sum over few columns, and a join that Spark may split."""
     salt = F.when(alone, F.col("failure_idx"))
@@ -105,8 +125,7 @@ def group_failures(parts: DataFrame, threshold: float = 0.80) -> DataFrame:
     if 0.78 < threshold <= 0.85:
         return keyed_groups(parts, three, alone)
     block = ["report_id", *(three if threshold > 0.85 else ["step"] if threshold > 0.68 else [])]
-    out = StructType([parts.schema["report_id"], StructField("failure_idx", LongType()), StructField("group_idx", LongType())])
-    return parts.select("report_id", "failure_idx", *PARTS).groupBy(*block).applyInPandas(leaders(threshold), out)
+    return led_groups(parts, block, threshold)
 
 
 def representatives(groups: DataFrame, failures: DataFrame) -> DataFrame:
