@@ -15,7 +15,8 @@ rates meet).
 The classifier is a naive Bayes model over words and over tags of length, word length, repetition, marks and capitals, all hashed to BUCKETS
 log odds, counted by Spark on a bounded sample of labelled rows (`train_rows`, about that many, 1.5 times at most), none of them held out.
 A word counts for a domain where it is RATIO times as frequent as elsewhere and that far beyond chance (LEAN deviations); common words, which lean a
-little with the length of texts, count for none. Every bucket is looked up, so no word is left out for want of room.
+little with the length of texts, count for none. Every bucket is looked up, so no word is left out for want of room. Plans carry the odds of
+the buckets that tell alone, and a bit for each bucket by which their places are counted, as plans are kept and printed many times.
 
 Null and empty texts have no tokens and the domains' shares by their tags alone; their rate is as any other's. Repeated rows each get a
 rate. With no labels there is one domain, `unknown`. Targets need not sum to 1; a domain without target has target 0. An empty table gives an
@@ -25,6 +26,7 @@ empty table. Other columns stay, whatever their names; those named as what is ad
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from triagewright.llm import common
 from triagewright.llm.fingerprints import let
 
 TRAIN_ROWS, BUCKETS, LEAN, RATIO, ROUNDS = 4000, 65_536, 5.0, 2.0, 40
+#: Fewer training texts than these tell nothing of a word.
+SEEN = 4
 #: Slots of a tag, and of all that a document can have.
 LEVELS = 24
 SLOTS = BUCKETS + 6 * LEVELS
@@ -87,11 +91,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         return {"domains": ["unknown"], "prior": [0.0], "odds": [[0.0] * SLOTS]}
     each = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     odds = [[0.0] * SLOTS for _ in domains]
-    for r in bags.select("domain", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *each).collect():
+    counts = bags.select("domain", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *each)
+    for r in counts.where((F.col("n") >= SEEN) | (F.col("f") >= BUCKETS)).toLocalIterator():
         for i, d in enumerate(domains):
             n, expected = r[f"n{i}"], r.n * sizes[d] / total
             own = math.log((n + 0.5) / (sizes[d] + 1)) - math.log((r.n + 0.5) / (total + 1))
-            telling = r.n >= 4 and own > math.log(RATIO) and (n - expected) / math.sqrt(expected + 1) > LEAN
+            telling = r.n >= SEEN and own > math.log(RATIO) and (n - expected) / math.sqrt(expected + 1) > LEAN
             odds[i][r.f] = own if r.f >= BUCKETS or telling else 0.0
     return {"domains": domains, "prior": [math.log(sizes[d] / total) for d in domains], "odds": odds}
 
@@ -101,13 +106,29 @@ def numbers(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{x:.5g}" for x in values)), ",").cast("array<double>")
 
 
+def places(slots: list[int]) -> tuple:
+    """(has, place): functions of a slot's column: whether it is among slots (sorted), and how many are before it. A bit a slot, in words of 32."""
+    words = [0] * (SLOTS // 32 + 1)
+    for j in slots:
+        words[j >> 5] |= 1 << (j & 31)
+    before = [0, *accumulate(w.bit_count() for w in words)][:-1]
+    whole = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    bits, start = whole(words), whole(before)
+    word, at = (lambda j: F.shiftright(j, 5)), (lambda j: j.bitwiseAND(F.lit(31)))
+    mask = lambda j: F.call_function("shiftleft", F.lit(1).cast("bigint"), at(j)) - 1
+    has = lambda j: F.bit_get(F.get(bits, word(j)), at(j)) == 1
+    place = lambda j: (F.get(start, word(j)) + F.bit_count(F.get(bits, word(j)).bitwiseAND(mask(j)))).cast("int")
+    return has, place
+
+
 def posteriors(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' kept columns (all but the text, if not given) with n_tokens (words) and p: the domains' probabilities, in the model's order."""
     keep = keep if keep is not None else [c for c in docs.columns if c not in (text, "n_tokens", "p")]
-    odds = [numbers(x) for x in model["odds"]]
-    known = numbers([float(any(x)) for x in zip(*model["odds"])])
+    slots = [j for j, x in enumerate(zip(*model["odds"])) if any(x)]
+    odds = [numbers([x[j] for j in slots] or [0.0]) for x in model["odds"]]
+    has, place = places(slots)
     held = F.coalesce(common.quoted(text), F.lit(""))
-    telling = lambda f: F.filter(features(f, held), lambda j: F.get(known, j) > 0)
+    telling = lambda f: F.transform(F.filter(features(f, held), has), place)
     score = lambda found, i: F.aggregate(found, F.lit(float(model["prior"][i])), lambda a, j: a + F.get(odds[i], j))
     scores = lambda found: F.array(*[score(found, i) for i in range(len(odds))])
     soft = lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))
