@@ -6,6 +6,7 @@ from triagewright.llm.chat import OP2_SQL, op2_chat_format
 from triagewright.llm.decontaminate import OP4_SQL, op4_decontaminate
 from triagewright.llm.fingerprints import op1_fingerprints
 from triagewright.llm.language import op9_language
+from triagewright.llm.lm import op13_lm_scores
 from triagewright.llm.mixing import op10_mixing
 from triagewright.llm.secrets import op6_secrets
 from triagewright.llm.simhash import op8_simhash
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op13_lm_scores": op13_lm_scores,
 }
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_decontaminate": OP4_SQL}
