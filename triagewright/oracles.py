@@ -172,6 +172,39 @@ MATCHED = "SELECT failure_idx, failure_id, matched_by, reusable, source FROM nam
 ANSWERED = IDS + """, firsts AS (SELECT failure_id, min(failure_idx) AS failure_idx FROM ids GROUP BY failure_id),
 calls AS (SELECT f.*, attempt, failure_idx % 5 = 0 AS vision, CASE WHEN failure_idx % 5 = 0 THEN 'vision' ELSE 'text' END AS model, failure_idx % 1000 + 50 AS http_ms FROM firsts f, (VALUES (1), (2)) a(attempt))"""
 
+RECORD = ("root_cause", "recommended_action", "suggested_fix", "similar_patterns", "screenshot_observation")
+
+
+def settled(rows: str, order: str) -> str:
+    """Requests (rows: failure_idx of each, its order and whether forced) one after the other, by a recursion over the requests of each id."""
+    seen = rf"coalesce(regexp_matches({{p}}.screenshot_observation, '\S'), false)"
+    past = ", ".join(f"{p}.failure_id IS NOT NULL AS {p}_has, coalesce({p}.complete, false) AS {p}_c, {seen.format(p=p)} AS {p}_s, {p}.screenshot_hash AS {p}_h" for p in "eo")
+    return f""", firsts AS (SELECT failure_id, min(failure_idx) AS first_idx FROM ids GROUP BY failure_id), asked AS ({rows}),
+req AS (
+  SELECT q.*, i.failure_id, i.legacy_id, i.hash, i.error_message, i.failed_step_line, f.first_idx, f.first_idx % 7 NOT IN (0, 1) AS c, {past}, row_number() OVER (PARTITION BY i.failure_id ORDER BY {order}) AS rn
+  FROM asked q JOIN ids i USING (failure_idx) JOIN firsts f USING (failure_id) LEFT JOIN now e ON e.failure_id = i.failure_id LEFT JOIN now o ON o.failure_id = i.legacy_id),
+fold AS (
+  SELECT failure_id, CAST(0 AS BIGINT) AS rn, e_has AS has, e_c AS c, e_s AS s, e_h AS h, false AS own, failure_id AS hit, CAST(NULL AS BIGINT) AS failure_idx, '' AS origin, '' AS source FROM req WHERE rn = 1
+  UNION ALL
+  SELECT failure_id, rn, has OR NOT reuse, CASE WHEN reuse THEN c ELSE mine END, CASE WHEN reuse THEN s ELSE true END, CASE WHEN reuse THEN h ELSE hash END, own OR NOT reuse, hit, failure_idx,
+    CASE WHEN NOT reuse THEN 'ASKED' WHEN own THEN 'REPEAT' ELSE 'HISTORY' END, CASE WHEN reuse THEN 'HISTORICAL' WHEN forced OR NOT has THEN 'AI' ELSE 'AI_ENRICHED' END
+  FROM (SELECT *, NOT forced AND has AND c AND (hash IS NULL OR (s AND coalesce(h = hash, false))) AS reuse FROM (
+    SELECT r.failure_id, r.rn, r.failure_idx, r.forced, r.hash, r.c AS mine, f.own, f.has OR old AS has, CASE WHEN old THEN r.o_c ELSE f.c END AS c, CASE WHEN old THEN r.o_s ELSE f.s END AS s, CASE WHEN old THEN r.o_h ELSE f.h END AS h,
+      CASE WHEN old THEN r.legacy_id ELSE f.hit END AS hit
+    FROM (SELECT f.*, r AS r, NOT f.has AND NOT r.forced AND r.o_has AS old FROM fold f JOIN req r ON r.failure_id = f.failure_id AND r.rn = f.rn + 1) f))),
+told AS (
+  SELECT f.failure_idx, f.failure_id, f.origin, f.source, r.first_idx % 130 - 10 AS fresh_confidence, h.confidence AS old_confidence, e.human_classification AS human, coalesce(h.human_classification, {filled('h.ai_classification')}, 'UNKNOWN') AS old_label,
+    {guard('h_label', joined(*[f'h.{c}' for c in RECORD], "'evidence'"))} AS old_class, {guard('a.classification', joined('r.error_message', 'r.failed_step_line', *[f'a.{c}' for c in RECORD]))} AS fresh, a.*
+  FROM fold f JOIN req r ON r.failure_idx = f.failure_idx JOIN responses a ON a.failure_idx = r.first_idx LEFT JOIN now e ON e.failure_id = f.failure_id
+    LEFT JOIN (SELECT *, coalesce(human_classification, {filled('ai_classification')}, 'UNKNOWN') AS h_label FROM now) h ON h.failure_id = f.hit WHERE f.rn > 0),
+responded AS (
+  SELECT failure_idx, failure_id, origin, source, CASE origin WHEN 'HISTORY' THEN old_class WHEN 'ASKED' THEN coalesce(human, fresh) ELSE {guard('again', joined(*RECORD))} END AS classification,
+    CAST(CASE WHEN origin = 'HISTORY' THEN old_confidence ELSE fresh_confidence END AS INT) AS confidence
+  FROM (SELECT *, coalesce(human, {filled('fresh')}, 'UNKNOWN') AS again FROM told))"""
+
+
+TRIAGED = HEADS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + (NOW.removeprefix(FAILURES).removeprefix(", ")) + settled("SELECT representative_idx AS failure_idx, false AS forced, report_id AS of_report, group_idx AS of_group FROM heads", "q.of_report, q.of_group")
+
 ORACLE_SQL = {
     "components": PARTS + " SELECT report_id, failure_idx, step, exception, locator, error_body, stack_frame, has_locator, has_error FROM parts",
     "groups": HEADS + " SELECT report_id, group_idx, failure_idx, representative_idx, members FROM groups JOIN heads USING (report_id, group_idx)",
@@ -235,6 +268,12 @@ FROM said""",
     "model_call_stats": ANSWERED + """ SELECT model, vision, count(*) AS calls, count(*) FILTER (WHERE attempt > 1) AS retries, CAST(sum(http_ms) AS BIGINT) AS total_ms, avg(http_ms) AS mean_ms, max(http_ms) AS max_ms,
   CAST(sum(failure_idx % 700) AS BIGINT) AS prompt_tokens, CAST(sum(failure_idx % 300) AS BIGINT) AS output_tokens FROM calls GROUP BY ALL""",
     "failed_answers": ANSWERED + " SELECT CASE failure_idx % 5 WHEN 2 THEN 'no JSON object' ELSE 'not a JSON object' END AS error, count(*) AS n FROM calls WHERE attempt = 1 AND failure_idx % 5 IN (2, 3) GROUP BY ALL",
+    "triage_requests": NOW.replace("WITH ", "WITH RECURSIVE ", 1) + settled("SELECT failure_idx, failure_idx % 17 = 0 AS forced FROM failures", "i.failure_idx") + " SELECT * FROM responded",
+    "triage_failures": TRIAGED + " SELECT g.report_id, g.failure_idx, g.group_idx, t.failure_id, t.origin, t.source, t.classification, t.confidence FROM groups g JOIN heads h USING (report_id, group_idx) JOIN responded t ON t.failure_idx = h.representative_idx",
+    "triage_metrics": TRIAGED + f""", askers AS (SELECT t.failure_id, arg_min(h.report_id, (h.report_id, h.group_idx)) AS report_id FROM responded t JOIN heads h ON t.failure_idx = h.representative_idx WHERE origin = 'ASKED' GROUP BY t.failure_id),
+made AS (SELECT a.report_id, count(*) AS retries, count(*) FILTER (WHERE first_idx % 5 <> 0) AS text_calls, count(*) FILTER (WHERE first_idx % 5 = 0) AS vision_calls, CAST(sum(2 * (first_idx % 1000 + 50)) AS BIGINT) AS total_ms FROM askers a JOIN firsts USING (failure_id) GROUP BY a.report_id),
+each AS (SELECT report_id, count(*) AS failures, count(DISTINCT group_idx) AS groups, count(DISTINCT {SIGNATURE}) AS exact_groups FROM groups GROUP BY report_id)
+SELECT e.*, groups AS calls, failures - groups AS calls_avoided, coalesce(retries, 0) AS retries, coalesce(text_calls, 0) AS text_calls, coalesce(vision_calls, 0) AS vision_calls, coalesce(total_ms, 0) AS total_ms FROM each e LEFT JOIN made USING (report_id)""",
     "failure_records": FAILURES + " SELECT report_id, failure_idx, test_case_id AS test_id, scenario_name AS scenario, error_message AS error FROM failures WHERE CAST(report_id AS INT) % 2 = 0",
     "typed_requests": FAILURES + " SELECT failure_idx, CAST(failure_idx AS VARCHAR) AS test_name, feature_name || ', ' || scenario_name AS feature, error_message AS error, CAST(NULL AS VARCHAR) AS scenario, scenario_name AS steps, failure_idx % 2 = 0 AS force_reanalysis FROM failures",
 }

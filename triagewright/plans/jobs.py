@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagewright import schemas as S
@@ -12,65 +14,109 @@ from triagewright.operators import clusters as C
 from triagewright.operators import grouping as G
 from triagewright.operators import history as H
 from triagewright.operators import prompts as P
+from triagewright.operators import repeats as E
 from triagewright.plans.shared import written
 from triagewright.sources import reports as R
 
 RESPONSE_COLUMNS = (*S.RESPONSE_TEXTS, *S.RESPONSE_LISTS, "confidence")
+EVENT_FIELDS = (
+    "failure_id", "event_time", "seq", "scenario_name", "feature_name", "failed_step_line", "normalized_step", "normalized_error", "exception_type", "locator",
+    "stack_trace_pattern", "screenshot_hash", "source",
+)
+
+
+def run_time() -> Column:
+    """The time of a run, one for all it writes and however often a plan is executed."""
+    return F.timestamp_micros(F.lit(time.time_ns() // 1000))
+
+
+def ai_events(asked: DataFrame) -> DataFrame:
+    """AI events for the log: what requests (with ids, event_time, seq and source) say and, in RESPONSE_COLUMNS, what was answered."""
+    rows = H.feedback_columns(asked)
+    told = [F.col(c).alias("ai_classification" if c == "classification" else c) for c in RESPONSE_COLUMNS]
+    return H.evolve_feedback(rows.select(*EVENT_FIELDS, *told, F.lit("AI").alias("kind"), F.col("event_time").alias("created_at")))
+
+
+def as_history(fresh: DataFrame) -> DataFrame:
+    """Fresh answers (ask, human, RESPONSE_COLUMNS) as records that a later request finds."""
+    ai = [F.col(c).alias("fb_ai_classification" if c == "classification" else f"fb_{c}") for c in RESPONSE_COLUMNS]
+    return fresh.select(F.col("ask").alias("failure_id"), F.lit(True).alias("reusable"), F.lit(0).alias("at"), F.col("human").alias("fb_human_classification"), *ai)
 
 
-def ai_events(requests: DataFrame, responses: DataFrame, seq: str = "seq") -> DataFrame:
-    """AI events for the log: what a request says and what was answered. requests: with ids, event_time and seq."""
-    asked = H.feedback_columns(requests)
-    keep = ["failure_id", "event_time", seq, "scenario_name", "feature_name", "failed_step_line", "normalized_step", "normalized_error", "exception_type", "locator", "stack_trace_pattern", "screenshot_hash", "source"]
-    told = responses.select("failure_id", *[F.col(c).alias("ai_classification" if c == "classification" else c) for c in RESPONSE_COLUMNS])
-    joined = asked.select(*[c for c in keep if c in asked.columns]).join(told, "failure_id")
-    return H.evolve_feedback(joined.select("*", F.lit("AI").alias("kind"), F.col("event_time").alias("created_at")))
+def attributed(given: DataFrame) -> DataFrame:
+    """Calls (rows of answers with the asks that they serve, and `at`, when those are made) with the first ask alone: each call was made once."""
+    call = F.struct("failure_id", "given_for").alias("_call")
+    first = given.groupBy(call).agg(F.min("at").alias("_first"))
+    return given.withColumn("_call", call).join(first, "_call").where("at = _first").drop("_call", "_first")
 
 
-def triage_requests(requests: DataFrame, feedback: DataFrame, answers: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Requests (REQUEST_FIELDS, event_time, seq) against history and a model's answers.
+def triage_requests(requests: DataFrame, feedback: DataFrame, answers: DataFrame | None = None, order: tuple[str, ...] = ("seq",), now: Column | None = None) -> dict[str, DataFrame]:
+    """Requests (REQUEST_FIELDS, event_time, seq) against history, each other and a model's answers, as if done one after the other in `order` (unique).
 
-    matched: what history says of each; prompts: those to be answered; responses: one for each id that was answered, and one for each that history
-    answers (reused; with another picture the same id may need both); failed: unreadable answers; events: what to append to the log.
-    Without answers the written rules answer.
+    matched: what history says of each; settled: what each gets (repeats.settle()); prompts: what has to be asked, once for each id and picture;
+    responses: one for each request, with its origin, empty if its answer is missing; calls: each call's time with the request that asked it;
+    failed: unreadable answers; events: what to append to the log.
+    answers may name a picture (screenshot_hash). Without answers the written rules answer.
     """
     matched = written(H.match_history(H.with_ids(requests), feedback), "matched")
-    asked = matched.where(~F.col("reusable"))
-    one = asked.groupBy("failure_id").agg(F.min_by(F.struct(*[c for c in asked.columns if c != "failure_id"]), "seq").alias("r")).select("failure_id", "r.*")
+    asks = written(E.asks_of(matched, list(order)), "asks")
+    named = asks.drop("failure_id").withColumnRenamed("ask", "failure_id")
+    given = None
     if answers is None:
-        fresh, failed = A.rule_triage(one), None
+        fresh, failed = A.rule_triage(named), None
     else:
-        fresh, failed = A.clean_answers(answers.join(one.select("failure_id"), "failure_id"), one)
-        fresh = fresh.drop("attempt")
-    events = ai_events(one, fresh).unionByName(H.evolve_feedback(H.aliases(matched, feedback, F.current_timestamp(), "seq")))
-    told = A.overlay_human(fresh.select("failure_id", *RESPONSE_COLUMNS), feedback).join(one.select("failure_id", "source"), "failure_id")
-    told, old = told.withColumn("reused", F.lit(False)), A.reused_responses(matched, "seq").withColumn("reused", F.lit(True))
-    columns = ["failure_id", "reused", *RESPONSE_COLUMNS, "ai_classification", "human_classification", "source"]
-    return {"matched": matched, "prompts": P.build_prompts(one), "responses": told.select(columns).unionByName(old.select(columns)), "failed": failed, "events": events}
+        given = E.answers_of(asks, answers.where("attempt <= 2"))
+        fresh, failed = A.clean_answers(given.drop("failure_id").withColumnRenamed("ask", "failure_id"), named)
+    aliases = H.aliases(matched, feedback, run_time() if now is None else now, "seq")
+    human = feedback.select("failure_id", "human_classification").unionByName(aliases.select("failure_id", "human_classification"))
+    human = human.select("failure_id", T.filled(F.col("human_classification")).alias("human"))
+    fresh = fresh.select(F.col("failure_id").alias("ask"), *RESPONSE_COLUMNS).join(asks.select("ask", "failure_id", "picture"), "ask").join(human, "failure_id", "left")
+    fresh = written(fresh, "fresh")
+    told = fresh.withColumn("source", F.lit("AI")).select("failure_id", "picture", H.is_complete().alias("complete"), (~T.blank(F.col("screenshot_observation"))).alias("seen"))
+    settled = written(E.settle(matched, told, list(order)), "settled")
+
+    key = lambda origin, picture: F.struct("failure_id", F.lit(origin).alias("origin"), picture.alias("record")).alias("_key")
+    response = ["classification", *(c for c in RESPONSE_COLUMNS if c != "classification"), "ai_classification", "human_classification"]
+    own = fresh.withColumns({"ai_classification": F.col("classification"), "human_classification": F.col("human"), "classification": F.coalesce("human", "classification")})
+    own = own.select(key("ASKED", F.col("picture")), *response)
+    again = A.reused_responses(as_history(fresh), "at").withColumnRenamed("failure_id", "ask").join(asks.select("ask", "failure_id", "picture"), "ask")
+    past = matched.where("matched_by IS NOT NULL").withColumns({"reusable": F.lit(True), "at": F.struct(*order)})
+    past = A.reused_responses(past, "at").select(key("HISTORY", F.lit(None).cast("string")), *response)
+    known = own.unionByName(again.select(key("REPEAT", F.col("picture")), *response)).unionByName(past)
+    responses = settled.withColumn("_key", F.struct("failure_id", "origin", "record")).join(known, "_key", "left").drop("_key", "picture", "record")
+
+    asked = settled.where("origin = 'ASKED'").withColumn("ask", F.concat_ws("#", "failure_id", "picture"))
+    first = asked.groupBy("ask").agg(F.min(F.struct(*order)).alias("at"))
+    askers = first.select("ask", "at.*")
+    rest = matched.drop("failure_id", "source", "reusable")
+    events = ai_events(asked.join(fresh.drop("failure_id", "picture", "human"), "ask").join(rest.drop("matched_by"), list(order)))
+    out = {"matched": matched, "settled": settled, "responses": responses, "events": events.unionByName(H.evolve_feedback(aliases)), "failed": failed, "calls": None}
+    out["prompts"] = P.build_prompts(matched.join(askers.drop("ask"), list(order)))
+    if given is not None:
+        out["failed"] = failed.withColumnRenamed("failure_id", "ask").join(first.select("ask"), "ask").join(asks.select("ask", "failure_id", "picture"), "ask").drop("ask")
+        out["calls"] = attributed(given.join(first, "ask")).select("at.*", "failure_id", "attempt", "model", "vision", F.col("http_ms").alias("total_ms"))
+    return out
 
 
 def triage_failures(failures: DataFrame, feedback: DataFrame, answers: DataFrame | None = None, threshold: float = 0.80) -> dict[str, DataFrame]:
     """Failures of many reports: grouped, one representative a group triaged, its response shared by all members.
 
-    Adds to triage_requests(): groups, investigated (failures in their order, with the response), clusters, summary and metrics.
+    Adds to triage_requests(): groups, investigated (failures in their order, with the response), clusters, summary and metrics. Groups are
+    asked in order of report and group; each call counts for the group that asked it.
     """
+    now = run_time()
     failures = written(failures, "failures")
     groups = written(G.group_failures(T.components(failures), threshold), "groups")
-    heads = written(G.representatives(groups, failures), "heads")
+    heads = G.representatives(groups, failures)
     picked = failures.join(heads.select("report_id", F.col("representative_idx").alias("failure_idx"), "group_idx"), ["report_id", "failure_idx"])
-    requests = R.to_requests(picked, "group_idx")
-    requests = requests.withColumns({"event_time": F.current_timestamp(), "seq": F.col("group_idx")})
-    out = triage_requests(requests, feedback, answers)
-    asked = out["matched"].select("report_id", "group_idx", "failure_id", F.col("reusable").alias("reused"))
-    out["responses"] = written(out["responses"], "responses")
-    answered = asked.join(out["responses"], ["failure_id", "reused"], "left").withColumn("investigated", F.col("classification").isNotNull())
-    members = failures.join(groups, ["report_id", "failure_idx"]).join(answered, ["report_id", "group_idx"], "left")
+    requests = R.to_requests(picked, "group_idx").withColumns({"event_time": now, "seq": F.col("group_idx")})
+    order = ["report_id", "group_idx"]
+    out = triage_requests(requests, feedback, answers, tuple(order), now)
+    out["responses"] = written(out["responses"].withColumn("investigated", F.col("classification").isNotNull()), "responses")
+    members = failures.join(groups, ["report_id", "failure_idx"]).join(out["responses"], order, "left")
     investigated = written(members.withColumn("investigated", F.coalesce("investigated", F.lit(False))), "investigated")
-    calls = None
-    if answers is not None:
-        calls = asked.where("NOT reused").join(answers.where("attempt <= 2").select("failure_id", "attempt", "vision", F.col("http_ms").alias("total_ms")), "failure_id")
     return out | {
-        "groups": groups, "investigated": investigated, "clusters": C.cluster_failures(investigated), "summary": C.summarize(investigated), "metrics": G.report_metrics(failures, groups, calls),
+        "groups": groups, "investigated": investigated, "clusters": C.cluster_failures(investigated), "summary": C.summarize(investigated), "metrics": G.report_metrics(failures, groups, out["calls"]),
     }
 
 

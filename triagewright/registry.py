@@ -248,13 +248,20 @@ def triage_reports(spark, d):
 
 
 def triage_failures(spark, d):
+    """Failures with what their group was told: asked, or answered by history or by an earlier group of the same id."""
     out = J.triage_failures(X.failures(spark, d), current(spark, d), answer_rows(spark, d))
-    return out["investigated"].groupBy("report_id", "classification", "source").agg(F.count("*").alias("n"))
+    return out["investigated"].select("report_id", "failure_idx", "group_idx", "failure_id", "origin", "source", "classification", "confidence")
+
+
+def triage_metrics(spark, d):
+    """Metrics of reports, with each model call at the report whose group made it."""
+    return J.triage_failures(X.failures(spark, d), current(spark, d), answer_rows(spark, d))["metrics"]
 
 
 def triage_requests(spark, d):
-    rows = R.to_requests(X.failures(spark, d)).withColumns({"event_time": F.timestamp_seconds(F.col("failure_idx")), "seq": F.col("failure_idx")})
-    return J.triage_requests(rows, current(spark, d))["responses"].select("failure_id", "reused", "classification", "confidence", "source")
+    rows = R.to_requests(X.failures(spark, d)).withColumns({"event_time": F.timestamp_seconds(F.col("failure_idx")), "seq": F.col("failure_idx"), "force_reanalysis": F.expr("failure_idx % 17 = 0")})
+    told = J.triage_requests(rows, current(spark, d), answer_rows(spark, d))["responses"]
+    return told.select(F.col("seq").alias("failure_idx"), "failure_id", "origin", "source", "classification", "confidence")
 
 
 def streamed(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +303,7 @@ QUERIES = {
     "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "prompts": prompts,
     "guardrail": guardrail, "validate_response": validate_response, "rule_triage": rule_triage, "clean_answers": clean_answers, "failed_answers": failed_answers,
     "model_call_stats": model_call_stats, "explode_reports": explode_reports, "explode_pages": explode_pages, "explode_markup": explode_markup, "failure_records": failure_records,
-    "typed_requests": typed_requests, "triage_reports": triage_reports, "triage_failures": triage_failures, "triage_requests": triage_requests,
+    "typed_requests": typed_requests, "triage_reports": triage_reports, "triage_failures": triage_failures, "triage_metrics": triage_metrics, "triage_requests": triage_requests,
     "stream_triage": stream_triage, "stream_dedupe": stream_dedupe, "stream_corrections": stream_corrections,
 }
 ORACLE_SQL = O.ORACLE_SQL
