@@ -98,7 +98,7 @@ def test_long_chain_in_one_group():
 def test_small_blocks_and_caches_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], "doc_id long, text string").coalesce(1)
     want = sorted(map(tuple, A.align(docs).collect()))
-    for name, value in (("BLOCK", 10), ("CACHE", 3), ("LONGEST", 2), ("HELD", 5)):
+    for name, value in (("BLOCK", 10), ("CACHE", 3), ("LONGEST", 2), ("LATIN", "a"), ("HELD", 5)):
         monkeypatch.setattr(A, name, value)
     both = A.Pair(model_path(A.A_MODEL), model_path(A.B_MODEL))
     texts = TEXTS * 3

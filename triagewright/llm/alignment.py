@@ -6,7 +6,7 @@ doubled until none changes, so each ends at the last token of its component. Com
 cut the text into them. A link is a pair of overlapping tokens; links between two ids are counted by documents.
 
 Texts go by units, split at blanks between two other characters, which no token spans (checked when the files are loaded); a worker keeps the tokens of
-recent units. Every text is read twice: for the counts, summed up by task, then to weigh its links. Counts of frequent pairs lie in a
+recent units. Units of Latin letters go through a quicker library with A's vocabulary and merges, if these allow it. Every text is read twice: for the counts, summed up by task, then to weigh its links. Counts of frequent pairs lie in a
 broadcast table of bounded size; what a text links besides leaves as (row, pair, times) and is joined, so no result depends on that size.
 
 Texts that are null or empty, or whose tokens don't spell the text (sentencepiece reads U+2581 as a blank), have no tokens: zeros, and an empty
@@ -16,6 +16,7 @@ string for the hash. Repeated rows count each, as documents. Columns of docs tha
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -32,7 +33,9 @@ from triagewright.llm.token_counts import encoder, model_path
 
 A_MODEL, B_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SAFE, SPANS = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\S ")
-#: Units that a worker keeps, and the longest of them; bytes of text aligned at once; pairs a task keeps before it sends them; pairs broadcast at most.
+#: Letters below this one are of the same classes in every library's Unicode tables; units with others are left to the tokenizer itself.
+LATIN = "\u0250"
+#: Units that a worker keeps (twice as many at most), and the longest of them; bytes of text aligned at once; pairs a task keeps before it sends them; pairs broadcast at most.
 CACHE, LONGEST, BLOCK, HELD, PAIRS = 400_000, 64, 2_000_000, 3_000_000, 1_000_000
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
@@ -62,37 +65,92 @@ class Pair:
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in ids]
         self.sizes = tuple(np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.kept: dict[str, tuple[bytes, bytes] | None] = {}
+        self.fast = quick(a_path, self.a_bytes)
+        self.kept: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         #: How a token is written in the groups, whether last of its side in its group (odd) or not.
         self.names = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in ",|"] + [f"{i}{c}" for i in ids for c in ",;"]
 
     def read(self, units: list[str]) -> None:
-        """Keeps the tokens of units; None where they don't spell the unit."""
-        of_a = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        for u, a, b in zip(units, of_a, self.b.encode(units, num_threads=1)):
-            raw, a = (" " + u).encode(), a.ids
-            same = b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
-            self.kept[u] = (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if same else None
+        """Keeps the tokens of units, as bytes of their ids; of units that the tokens don't spell, ()."""
+        plain, other = [], []
+        for u in units:
+            quick = self.fast and u and (u.isascii() and u[0] > " " and u[-1] > " " or max(u) < LATIN and not u[0].isspace() and not u[-1].isspace())
+            (plain if quick else other).append(u)
+        if plain:  # all in one text, which no token spans from one unit to the next
+            whole = " " + " ".join(plain)
+            ids = np.array(self.fast.encode_ordinary(whole), np.int32)
+            self.keep(plain, whole.encode(), ids, np.cumsum([len(u.encode()) + 1 for u in plain]))
+        if other:
+            found = [e.ids for e in self.a.encode_batch([" " + u for u in other], add_special_tokens=False)]
+            ids = np.array([i for f in found for i in f], np.int32)
+            self.keep(other, b"".join([(" " + u).encode() for u in other]), ids, np.cumsum([len(u.encode()) + 1 for u in other]))
+
+    def keep(self, units: list[str], raw: bytes, a_ids: np.ndarray, cuts: np.ndarray) -> None:
+        """units with their bytes one after the other, A's ids of all, and where each unit ends in raw."""
+        b_ids = self.b.encode(units, num_threads=1)
+        b_flat, b_at = np.fromiter((i for f in b_ids for i in f), np.int32), np.cumsum([len(f) for f in b_ids])
+        ends = [np.cumsum(size[ids]) for size, ids in zip(self.sizes, (a_ids, b_flat))]
+        same = all(
+            len(e) and e[-1] == len(raw) and np.isin(cuts, e).all() and b"".join([of[i] for i in ids.tolist()]) == raw
+            for e, of, ids in ((ends[0], self.a_bytes, a_ids), (ends[1], self.b_bytes, b_flat))
+        )
+        a_raw, b_raw = a_ids.tobytes(), b_flat.tobytes()
+        if same:
+            a_at = np.searchsorted(ends[0], cuts) + 1
+            for u, i, j, k, n in zip(units, [0, *(4 * a_at[:-1]).tolist()], (4 * a_at).tolist(), [0, *(4 * b_at[:-1]).tolist()], (4 * b_at).tolist()):
+                self.kept[u] = (a_raw[i:j], b_raw[k:n])
+            return
+        for u, b in zip(units, b_ids):
+            a, own = self.a.encode(" " + u, add_special_tokens=False).ids, (" " + u).encode()
+            good = b"".join([self.a_bytes[i] for i in a]) == own and b"".join([self.b_bytes[i] for i in b]) == own
+            self.kept[u] = (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if good else ()
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids of A, ids of B) of each text; of those without tokens, empty ones."""
-        split = [SAFE.split(t) if t else [] for t in texts]
-        if missing := [u for u in {u for units in split for u in units} if u not in self.kept]:
-            if len(self.kept) > CACHE:
-                self.kept = {}
-                missing = list({u for units in split for u in units})
-            self.read(missing)
+        if len(self.kept) > CACHE:  # what is used again comes back from the older ones
+            self.kept, self.older = {}, self.kept
+        split = [units_of(t) if t else [] for t in texts]
+        missing = set().union(*split).difference(self.kept)
+        for u in [u for u in missing if u in self.older]:
+            self.kept[u] = self.older[u]
+            missing.discard(u)
+        if missing:
+            self.read(list(missing))
         out = []
         for units in split:
-            found = [self.kept[u] for u in units]
-            good = found and None not in found
-            out.append(tuple(np.frombuffer(b"".join([f[side] for f in found]) if good else b"", np.int32) for side in (0, 1)))
+            found = list(map(self.kept.__getitem__, units))
+            sides = zip(*found) if found and () not in found else ((), ())
+            out.append(tuple(np.frombuffer(b"".join(side), np.int32) for side in sides))
         for u in missing:
             if len(u) > LONGEST:
                 del self.kept[u]
         return out
 
 
+def units_of(text: str) -> list[str]:
+    """SAFE.split(text), faster where each white space is one blank or line feed between other characters."""
+    return text.split(" ") if len(text.split()) == text.count(" ") + text.count("\n") + 1 else SAFE.split(text)
+
+
+def quick(path: str, tokens: list[bytes]):
+    """The same tokenizer in a quicker library, if the file is a byte-level one with the known pattern whose merges are in the order of their ids; else None."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, letters = file["model"], byte_of_letter()
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    first = min((model["vocab"][a + b] for a, b in merges), default=0)
+    known = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    in_order = all(model["vocab"][a + b] == first + i for i, (a, b) in enumerate(merges)) and not model.get("ignore_merges")
+    if file["normalizer"] or file["pre_tokenizer"] != known or not in_order:
+        return None
+    ranks = {tokens[i]: i for t, i in model["vocab"].items() if set(t) <= letters.keys()}
+    return tiktoken.Encoding("pair", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def jumped(pointers: np.ndarray) -> np.ndarray:
     """Where each pointer's chain ends: pointers are doubled until none changes."""
     while not np.array_equal(further := pointers[pointers], pointers):
@@ -134,7 +192,7 @@ class Aligned:
         code[at_a] = self.a_ids.astype(np.int64) * 2 + last(self.a_group)
         code[at_b] = a_names + self.b_ids.astype(np.int64) * 2 + last(self.b_group)
         bounds = np.r_[0, np.cumsum(self.a_count + self.b_count)]
-        return ["".join([names[c] for c in code[lo:hi].tolist()])[:-1] for lo, hi in zip(bounds[:-1], bounds[1:])]
+        return ["".join(map(names.__getitem__, code[lo:hi].tolist()))[:-1] for lo, hi in zip(bounds[:-1], bounds[1:])]
 
     b_vocabulary = 0
 
