@@ -87,3 +87,14 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = {r.doc_id: tuple(r)[1:] for r in D.op3_suffix_dedup(spark, d).collect()}
     assert got == {i: x for (i, _), x in zip(docs, plain([t for _, t in docs], 400, 256))}
+
+
+@pytest.mark.parametrize("hot", [2, 8, 32])
+def test_buckets_of_split_grams_stay_bounded(hot):
+    """However many grams are split, each with just over the contexts that one task may compare: no bucket holds more than some `bucket` contexts."""
+
+    rng, group, bucket = random.Random(hot), 200, 500
+    contexts = [(h, rng.getrandbits(64) - (1 << 63)) for h in (rng.getrandbits(63) for _ in range(hot)) for _ in range(group + 50)]
+    spread = -(-len(contexts) // bucket)
+    sizes = Counter(D.bucket_of(h, c, spread, 7) for h, c in contexts)
+    assert min(sizes) >= 7 and len(sizes) == spread and max(sizes.values()) < 1.3 * bucket

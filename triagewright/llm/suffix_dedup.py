@@ -14,7 +14,7 @@ through it can hold. Runs of `passage` bytes (shorter ones than `window`, some 4
 5. Offsets come back by context, are merged per text and cut out.
 
 The contexts of a gram have to meet in step 4. Where it has more than `group` of them (a passage of a third of all documents, each with other
-words around it) its contexts are dealt over as many buckets as that takes, and what they share is found by splitting the gram by longer strings:
+words around it) its contexts are dealt, with those of all such grams, over as many buckets of `bucket` as that takes (their merged order isn't used), and what they share is found by splitting the gram by longer strings:
 first by what all runs of a block of offsets have in common, and where that occurs twice by the runs themselves. Spark sums those up anywhere.
 
 Null texts count as empty. Shorter texts than `window` keep all. Repeated rows are copies of each other. An empty table gives an empty table.
@@ -75,10 +75,14 @@ def marked(docs: DataFrame, keep: list[str], text: str, window: int, passage: in
     return docs.select(*keep, text).mapInArrow(run, out)
 
 
+def bucket_of(h: int, c: int, spread: int, buckets: int) -> int:
+    return buckets + (h ^ c) % spread if spread else h % buckets
+
+
 def runs_of(texts: DataFrame, buckets: int, window: int, before: int) -> DataFrame:
     """(bucket, shared, rest, before, c, n): sorted runs of contexts. texts: text, wanted (array of h, c, at, n, spread).
 
-    Grams go to the buckets by their hash; those that are split follow, each of `spread` more buckets getting some of its contexts.
+    Grams go to the buckets by their hash. The contexts of those that are split go, all alike, to the `spread` buckets after these.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +105,7 @@ def runs_of(texts: DataFrame, buckets: int, window: int, before: int) -> DataFra
                     at, h = w["at"], w["h"]
                     suffix = (h + (1 << 63)).to_bytes(8) + t[at : at + window]
                     ahead = t[max(0, at - before) : at][::-1]
-                    bucket = buckets + (h ^ w["c"]) % w["spread"] if w["spread"] else h % buckets
-                    held.setdefault(bucket, []).append((suffix, ahead, w["c"], w["n"]))
+                    held.setdefault(bucket_of(h, w["c"], w["spread"], buckets), []).append((suffix, ahead, w["c"], w["n"]))
                     size += len(suffix) + len(ahead)
                 if size > HELD:
                     yield from flush()
@@ -276,16 +279,16 @@ def repeated_spans(docs: DataFrame, text: str, row: str, window: int, passage: i
     contexts = common.written(places.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("t", "at")).alias("place")), "contexts")
     grams = contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     grams = common.written(grams.select("h", "m"), "grams")  # so that both sides of the join are dealt for it, and Spark may split a frequent gram
-    spread = F.when(F.col("m") > group, F.ceil(F.col("m") / bucket) * 8).otherwise(0)
+    told = grams.agg(F.sum("m").alias("all"), F.sum(F.when(F.col("m") > group, F.col("m"))).alias("apart")).first()
+    spread = F.when(F.col("m") > group, -(-(told["apart"] or 0) // bucket)).otherwise(0)
     wanted = contexts.join(grams, "h").select("place.t", F.struct("h", "c", F.col("place.at").alias("at"), "n", spread.alias("spread")).alias("w"))
     holders = wanted.groupBy("t").agg(F.collect_list("w").alias("wanted")).join(texts.select("t", "a", "b", row), "t").select("a", "b", row, "wanted")
-    told = grams.agg(F.sum("m").alias("all"), F.max("m").alias("most")).first()
     tasks = common.partitions(spark)
     buckets = max(tasks, (told["all"] or 0) // bucket + 1)
     runs = runs_of(same_rows(slim.select(row, "a", "b", F.col(text).alias("text")), holders, row).select("text", "wanted"), buckets, window, before)
     merged = common.written(compared(runs.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket"), buckets, (window, passage)), "merged")
     found = merged.where("offsets IS NOT NULL").select("h", "c", "offsets", "passages")
-    if (told["most"] or 0) > group:
+    if told["apart"]:
         found = found.unionByName(split(merged.where("offsets IS NULL").select("h", "c", "n", "ahead", "rest"), window, passage))
     all_ = F.array(F.struct(F.lit(0).alias("first"), F.lit(before).alias("last")))
     whole = contexts.where("n > 1").select("h", "c", all_.alias("offsets"), all_.alias("passages"))
