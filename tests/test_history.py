@@ -7,6 +7,7 @@ from triagewright import schemas as S
 from triagewright.functions import text as T
 from triagewright.operators import answers as A
 from triagewright.operators import history as H
+from triagewright.operators import store
 from triagewright.plans import jobs as J
 from triagewright.streaming import jobs as ST
 
@@ -138,12 +139,12 @@ def test_streams(spark, tmp_path):
     p = lambda n: str(tmp_path / n)
     r = request(spark).drop("failure_id", "legacy_id")
     r.write.parquet(p("in"))
-    H.write_feedback(log(spark, [(request(spark).first().failure_id, "AI", 1, FULL)]), p("log"))
+    store.append(log(spark, [(request(spark).first().failure_id, "AI", 1, FULL)]), p("log"))
     stream = spark.readStream.schema(r.schema).parquet(p("in"))
     ST.stream_triage(stream, p("log"), p("matched"), p("prompts"), p("state")).awaitTermination()
-    assert spark.read.parquet(p("matched")).first().source == "HISTORICAL" and spark.read.parquet(p("prompts")).count() == 0
+    assert spark.read.parquet(p("matched")).first().source == "HISTORICAL" and spark.read.schema("failure_id string").parquet(p("prompts")).count() == 0
     c = spark.createDataFrame([(request(spark).first().failure_id, "UNKNOWN", at(9), 9), ("", "UNKNOWN", at(9), 9)], S.CORRECTIONS)
     c.write.parquet(p("corrections"))
     ST.stream_corrections(spark.readStream.schema(c.schema).parquet(p("corrections")), p("log"), p("rejects"), p("state2")).awaitTermination()
-    assert H.effective_label(H.feedback_current(H.read_feedback(spark, p("log")))).first().classification == "UNKNOWN"
+    assert H.effective_label(store.current(spark, p("log"))).first().classification == "UNKNOWN"
     assert spark.read.parquet(p("rejects")).count() == 1

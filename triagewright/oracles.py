@@ -278,3 +278,4 @@ SELECT e.*, groups AS calls, failures - groups AS calls_avoided, coalesce(retrie
     "typed_requests": FAILURES + " SELECT failure_idx, CAST(failure_idx AS VARCHAR) AS test_name, feature_name || ', ' || scenario_name AS feature, error_message AS error, CAST(NULL AS VARCHAR) AS scenario, scenario_name AS steps, failure_idx % 2 = 0 AS force_reanalysis FROM failures",
 }
 ORACLE_SQL["pair_totals"] = ORACLE_SQL["pair_scores"]
+ORACLE_SQL["compacted_feedback"] = ORACLE_SQL["feedback_current"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from triagewright.operators import clusters as C
 from triagewright.operators import grouping as G
 from triagewright.operators import history as H
 from triagewright.operators import prompts as P
+from triagewright.operators import store
 from triagewright.plans import jobs as J
 from triagewright.plans.shared import shared_path
 from triagewright.sources import reports as R
@@ -99,11 +102,14 @@ def feedback_fields(spark, d):
     return rows.select("failure_idx", "scenario_name", "normalized_step", "normalized_error", "exception_type", "locator", "stack_trace_pattern", T.is_dynamic_locator(F.col("locator")).alias("dynamic"), T.locator_pattern(F.col("locator")).alias("pattern"))
 
 
-def feedback_current(spark, d):
-    now = current(spark, d)
+def current_fields(now: DataFrame) -> DataFrame:
     return now.select("failure_id", "ai_classification", "root_cause", "confidence", "source", "human_classification", F.unix_timestamp("created_at").alias("created"), F.unix_timestamp("updated_at").alias("updated"), H.is_complete().alias("complete"))
 
 
+def feedback_current(spark, d):
+    return current_fields(current(spark, d))
+
+
 def effective_labels(spark, d):
     return H.effective_label(current(spark, d))
 
@@ -272,8 +278,9 @@ def streamed(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_triage(spark, d):
     at = shared_path(spark, "stream-triage")
-    H.write_feedback(log(spark, d), f"{at}/log")
-    ST.stream_triage(R.to_requests(streamed(spark, d)), f"{at}/log", f"{at}/matched", f"{at}/prompts", f"{at}/state").awaitTermination()
+    store.append(log(spark, d), f"{at}/store")
+    store.compact(spark, f"{at}/store", date(2023, 11, 15))
+    ST.stream_triage(R.to_requests(streamed(spark, d)), f"{at}/store", f"{at}/matched", f"{at}/prompts", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/matched").select("failure_idx", "failure_id", "matched_by", "reusable", "source")
 
 
@@ -286,19 +293,30 @@ def stream_dedupe(spark, d):
 
 def stream_corrections(spark, d):
     at = shared_path(spark, "stream-corrections")
-    H.write_feedback(log(spark, d), f"{at}/log")
+    store.append(log(spark, d), f"{at}/store")
     i = F.col("failure_idx")
     label = F.when(i % 4 == 0, "api_issue ").when(i % 4 == 1, "WRONG").when(i % 4 == 2, " ").otherwise("DATA_ISSUE")
     rows = H.with_ids(R.to_requests(streamed(spark, d))).where("failure_idx % 2 = 1 OR failure_idx % 4 = 0")
     rows = rows.select(F.when(i % 10 != 9, F.col("failure_id")).alias("failure_id"), label.alias("human_classification"), F.timestamp_seconds(F.lit(1_750_000_000) + i).alias("event_time"), i.alias("seq"))
-    ST.stream_corrections(rows, f"{at}/log", f"{at}/rejects", f"{at}/state").awaitTermination()
-    return H.effective_label(H.feedback_current(H.read_feedback(spark, f"{at}/log")))
+    ST.stream_corrections(rows, f"{at}/store", f"{at}/rejects", f"{at}/state").awaitTermination()
+    store.compact(spark, f"{at}/store", date(2100, 1, 1))
+    return H.effective_label(store.current(spark, f"{at}/store"))
+
+
+def compacted_feedback(spark, d):
+    """The log in a store, half of it late: a day is closed before its other half comes, then closed again."""
+    at, rows = shared_path(spark, "store"), log(spark, d)
+    store.append(rows.where("seq % 2 = 0"), at)
+    store.compact(spark, at, date(2023, 11, 15))
+    store.append(rows.where("seq % 2 = 1"), at)
+    store.compact(spark, at, date(2023, 11, 15))
+    return current_fields(store.current(spark, at))
 
 
 QUERIES = {
     "group_metrics": group_metrics, "components": components, "groups": groups, "groups_at_0_87": groups_at(0.87), "groups_at_0_95": groups_at(0.95),
     "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "pair_totals": pair_scores, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
-    "feedback_current": feedback_current, "effective_labels": effective_labels, "match_history": match_history, "legacy_aliases": legacy_aliases, "pending": pending,
+    "feedback_current": feedback_current, "compacted_feedback": compacted_feedback, "effective_labels": effective_labels, "match_history": match_history, "legacy_aliases": legacy_aliases, "pending": pending,
     "resolve_repeats": resolve_repeats, "match_across_reports": match_across_reports, "reused_responses": reused_responses, "corrections": corrections,
     "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "prompts": prompts,
     "guardrail": guardrail, "validate_response": validate_response, "rule_triage": rule_triage, "clean_answers": clean_answers, "failed_answers": failed_answers,
