@@ -211,12 +211,39 @@ def overlay_human(responses: DataFrame, feedback: DataFrame) -> DataFrame:
     return out.drop("_human")
 
 
+#: What is known of a call, if its columns are there: characters of the prompt; milliseconds of building it, of the call and of reading the answer; tokens.
+MEASURES = ("prompt_chars", "build_ms", "http_ms", "parse_ms", "prompt_tokens", "output_tokens")
+QUANTILES = (0.5, 0.9, 0.99)
+#: A sketch of this size gives ranks within 1 in 100 of the true ones, 99 times in 100.
+SKETCH = 400
+
+
+def measured(calls: DataFrame) -> DataFrame:
+    return calls.withColumns({c: (F.col(c) if c in calls.columns else F.lit(None)).cast("long") for c in MEASURES})
+
+
 def model_call_stats(calls: DataFrame) -> DataFrame:
-    """Calls, retries, time and tokens by model and kind. calls: the answers table."""
-    return calls.groupBy("model", "vision").agg(
-        F.count("*").alias("calls"), F.count_if(F.col("attempt") > 1).alias("retries"), F.sum("http_ms").alias("total_ms"), F.avg("http_ms").alias("mean_ms"),
-        F.max("http_ms").alias("max_ms"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"),
-    )
+    """Calls, retries, and sums, means and maxima of all measures, by model and kind. calls: the answers table, with as many of MEASURES as there are."""
+    rows = measured(calls).withColumn("total_ms", sum((F.coalesce(c, F.lit(0)) for c in ("http_ms", "parse_ms")), F.coalesce("build_ms", F.lit(0))))
+    each = [f(c).alias(f"{name}_{c}") for c in (*MEASURES, "total_ms") for name, f in (("sum", F.sum), ("mean", F.avg), ("max", F.max))]
+    retried = F.count_if(F.col("attempt") > 1).alias("retries")
+    return rows.groupBy("model", "vision").agg(F.count("*").alias("calls"), retried, (F.sum("output_tokens") * 1000 / F.sum("http_ms")).alias("tokens_per_s"), *each)
+
+
+def call_sketches(calls: DataFrame, *by: str) -> DataFrame:
+    """Quantile sketches of MEASURES by model, kind and further columns, such as a day: small rows that merge, so that old calls needn't be kept."""
+    rows = measured(calls)
+    return rows.groupBy("model", "vision", *by).agg(*[F.kll_sketch_agg_bigint(c, F.lit(SKETCH)).alias(c) for c in MEASURES])
+
+
+def call_quantiles(sketches: DataFrame) -> DataFrame:
+    """(model, vision, measure, q, value) of sketches of any days, merged; measures that no call has are left out."""
+    merge = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.kll_sketch_merge_bigint(a, b))
+    long = sketches.select("model", "vision", F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("sketch")) for c in MEASURES])))
+    merged = long.groupBy("model", "vision", "measure").agg(F.reduce(F.collect_list("sketch"), F.lit(None).cast("binary"), merge).alias("sketch"))
+    some = merged.where(F.kll_sketch_get_n_bigint("sketch") > 0)
+    q = F.explode(F.array(*[F.lit(x) for x in QUANTILES])).alias("q")
+    return some.select("model", "vision", "measure", "sketch", q).select("model", "vision", "measure", "q", F.kll_sketch_get_quantile_bigint("sketch", F.col("q")).alias("value"))
 
 
 def rule_triage(requests: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -37,15 +37,31 @@ def pair_scores(parts: DataFrame) -> DataFrame:
     return pairs.select("report_id", "a_idx", "b_idx", *[c.alias(n) for n, c in score_columns().items()])
 
 
+def scored_kinds(parts: DataFrame, tile: int = 1024) -> DataFrame:
+    """(report_id, a_first, b_first, pairs, matches, score): pairs of distinct parts of a report that share a step, each by its first failure, and how many
+    pairs of failures have them. A step with many distinct parts is compared in tiles of about `tile` by `tile`, which any task may take."""
+    kinds = parts.where("step <> ''").groupBy("report_id", *PARTS).agg(F.count("*").alias("n"), F.min("failure_idx").alias("first"))
+    tiles = kinds.groupBy("report_id", "step").agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    dealt = kinds.join(tiles, ["report_id", "step"]).withColumn("_t", F.pmod(F.xxhash64("first"), F.col("_tiles")).cast("int"))
+
+    def side(p: str, other: Column) -> DataFrame:
+        place = F.struct(*([F.col("_t").alias("i"), F.col("o").alias("j")] if p == "a_" else [F.col("o").alias("i"), F.col("_t").alias("j")]))
+        rows = dealt.withColumn("o", F.explode(other)).select("report_id", F.col("step").alias("_step"), place.alias("_tile"), F.col("n").alias(p + "n"), F.col("first").alias(p + "first"), *[F.col(c).alias(p + c) for c in PARTS])
+        return rows
+
+    both = side("a_", F.sequence("_t", F.col("_tiles") - 1)).join(side("b_", F.sequence(F.lit(0), F.col("_t"))), ["report_id", "_step", "_tile"])
+    both = both.where("_tile.i < _tile.j OR a_first <= b_first")
+    pairs = F.when(F.col("a_first") == F.col("b_first"), (F.col("a_n") * (F.col("a_n") - 1) / 2).cast("long")).otherwise(F.col("a_n") * F.col("b_n"))
+    firsts = [F.least("a_first", "b_first").alias("a_first"), F.greatest("a_first", "b_first").alias("b_first")]
+    return both.withColumn("pairs", pairs).where("pairs > 0").select("report_id", *firsts, "pairs", *[c.alias(n) for n, c in score_columns().items()])
+
+
 def pair_totals(parts: DataFrame) -> DataFrame:
     """pair_scores() summed up by report, without its pairs: distinct parts are scored once and weighed by how many pairs of failures have them."""
-    kinds = parts.where("step <> ''").groupBy("report_id", *PARTS).agg(F.count("*").alias("n"))
-    side = lambda p: kinds.select("report_id", F.col("step").alias("_step"), F.col("n").alias(f"{p}n"), F.struct(*PARTS).alias(f"{p}all"), *[F.col(c).alias(p + c) for c in PARTS])
-    weight = F.when(F.col("a_all").eqNullSafe(F.col("b_all")), (F.col("a_n") * (F.col("a_n") - 1) / 2).cast("long")).otherwise(F.col("a_n") * F.col("b_n"))
-    both = side("a_").join(side("b_"), ["report_id", "_step"]).where("a_all <= b_all").withColumn("w", weight).where("w > 0")
-    scored = both.select("report_id", "w", *[c.alias(n) for n, c in score_columns().items()])
-    of = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
-    return scored.groupBy("report_id").agg(F.sum("w").alias("pairs"), F.round(F.sum(F.col("score") * F.col("w")), 4).alias("total"), of(F.col("score") >= 0.8).alias("alike"), of(F.col("error_body_match")).alias("bodies"))
+    of = lambda c: F.sum(F.when(c, F.col("pairs")).otherwise(0))
+    return scored_kinds(parts).groupBy("report_id").agg(
+        F.sum("pairs").alias("pairs"), F.round(F.sum(F.col("score") * F.col("pairs")), 4).alias("total"), of(F.col("score") >= 0.8).alias("alike"), of(F.col("error_body_match")).alias("bodies")
+    )
 
 
 def score(a: tuple, b: tuple) -> float:

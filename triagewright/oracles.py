@@ -172,6 +172,12 @@ MATCHED = "SELECT failure_idx, failure_id, matched_by, reusable, source FROM nam
 ANSWERED = IDS + """, firsts AS (SELECT failure_id, min(failure_idx) AS failure_idx FROM ids GROUP BY failure_id),
 calls AS (SELECT f.*, attempt, failure_idx % 5 = 0 AS vision, CASE WHEN failure_idx % 5 = 0 THEN 'vision' ELSE 'text' END AS model, failure_idx % 1000 + 50 AS http_ms FROM firsts f, (VALUES (1), (2)) a(attempt))"""
 
+#: Measures of calls, by the first failure of their id.
+MEASURED = {
+    "prompt_chars": "(failure_idx % 4000 + 900)", "build_ms": "(failure_idx % 7)", "http_ms": "http_ms", "parse_ms": "(failure_idx % 11)", "prompt_tokens": "(failure_idx % 700)", "output_tokens": "(failure_idx % 300)",
+    "total_ms": "(failure_idx % 7 + http_ms + failure_idx % 11)",
+}
+COUNTERS = [f"{k}_issues" for k in ("automation", "application", "api", "data", "environment", "network", "unknown")] + [f"{s}_severity" for s in ("critical", "high", "medium", "low")]
 RECORD = ("root_cause", "recommended_action", "suggested_fix", "similar_patterns", "screenshot_observation")
 
 
@@ -211,7 +217,14 @@ ORACLE_SQL = {
     "groups_at_0_95": PARTS + " SELECT report_id, failure_idx, min(failure_idx) OVER (PARTITION BY report_id, step, exception, locator, error_body, CASE WHEN step = '' OR exception = 'UNKNOWN' OR NOT has_error THEN failure_idx END) AS group_idx FROM parts",
     "groups_at_1_1": FAILURES + " SELECT report_id, failure_idx, failure_idx AS group_idx FROM failures",
     "group_metrics": KEYED + f" SELECT report_id, count(*) AS failures, count(DISTINCT group_idx) AS groups, count(DISTINCT {SIGNATURE}) AS exact_groups, count(DISTINCT group_idx) AS calls, count(*) - count(DISTINCT group_idx) AS calls_avoided FROM groups GROUP BY report_id",
-    "pair_scores": PARTS + """, scored AS (
+    "pair_scores": PARTS + """, kinds AS (SELECT report_id, step, exception, locator, has_locator, error_body, stack_frame, has_error, min(failure_idx) AS first, count(*) AS n FROM parts WHERE step <> '' GROUP BY ALL),
+scored AS (
+  SELECT a.report_id, a.first AS a_first, b.first AS b_first, CASE WHEN a.first = b.first THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS pairs, a.exception = b.exception AND a.exception <> 'UNKNOWN' AS exception_match, a.locator = b.locator AS locator_match,
+    a.has_error AND b.has_error AND a.error_body = b.error_body AS error_body_match, a.has_locator AND b.has_locator AND a.locator <> b.locator AS conflict, a.stack_frame <> '' AND a.stack_frame = b.stack_frame AS frame
+  FROM kinds a JOIN kinds b ON a.report_id = b.report_id AND a.step = b.step AND a.first <= b.first),
+raw AS (SELECT *, 0.35 + CASE WHEN exception_match THEN 0.25 ELSE 0 END + CASE WHEN locator_match THEN 0.25 ELSE 0 END + CASE WHEN error_body_match THEN 0.15 ELSE 0 END AS base FROM scored WHERE pairs > 0)
+SELECT report_id, a_first, b_first, pairs, true AS step_match, exception_match, locator_match, error_body_match, round(CAST(CASE WHEN conflict THEN least(base, 0.59) WHEN frame THEN least(1.0, base + 0.03) ELSE base END AS DOUBLE), 4) AS score FROM raw""",
+    "pair_totals": PARTS + """, scored AS (
   SELECT a.report_id, a.has_error AND b.has_error AND a.error_body = b.error_body AS body, a.has_locator AND b.has_locator AND a.locator <> b.locator AS conflict, a.stack_frame <> '' AND a.stack_frame = b.stack_frame AS frame,
     0.35 + CASE WHEN a.exception = b.exception AND a.exception <> 'UNKNOWN' THEN 0.25 ELSE 0 END + CASE WHEN a.locator = b.locator THEN 0.25 ELSE 0 END AS base
   FROM parts a JOIN parts b ON a.report_id = b.report_id AND a.step = b.step AND a.failure_idx < b.failure_idx AND a.step <> ''),
@@ -236,7 +249,7 @@ SELECT failure_idx, min(label) AS classification, arg_min(failure_id, (created,
     "reused_responses": matches() + f""", used AS (SELECT DISTINCT ON (n.failure_id) n.failure_id, w.* EXCLUDE (failure_id) FROM named n JOIN now w ON w.failure_id = n.hit WHERE n.reusable ORDER BY n.failure_id, n.failure_idx),
 labelled AS (SELECT *, coalesce(human_classification, {filled('ai_classification')}, 'UNKNOWN') AS label FROM used)
 SELECT failure_id, {guard('label', joined('root_cause', 'recommended_action', 'suggested_fix', 'similar_patterns', 'screenshot_observation', "'evidence'"))} AS classification, ai_classification, human_classification, root_cause, confidence, 'HISTORICAL' AS source FROM labelled""",
-    "corrections": CORRECTED + f", labels AS ({EFFECTIVE}) SELECT label_source AS what, classification AS label, count(*) AS n FROM labels GROUP BY ALL UNION ALL SELECT 'rejected', reason, count(*) FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
+    "corrections": CORRECTED + f", labels AS ({EFFECTIVE}) SELECT failure_id, classification, label_source, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS reason FROM labels UNION ALL SELECT failure_id, label, NULL, seq, reason FROM judged WHERE reason IS NOT NULL",
     "stream_corrections": CORRECTED + " " + EFFECTIVE,
     "stream_dedupe": IDS + " SELECT DISTINCT failure_id FROM ids",
     "cluster_failures": CLUSTERS + f""" SELECT c.report_id, 'CLUSTER-' || lpad(CAST(row_number() OVER (PARTITION BY c.report_id ORDER BY first_idx) AS VARCHAR), 3, '0') AS cluster_id, signature,
@@ -254,20 +267,32 @@ FROM responses r JOIN failures f USING (failure_idx)""",
     "validate_response": f"""WITH responses AS ({X.RESPONSES_SQL}), v AS (SELECT *, CASE WHEN root_cause_type = '' THEN 'UNKNOWN' WHEN root_cause_type IN ('CONFIRMED', 'probable') THEN upper(root_cause_type) ELSE 'POSSIBLE' END AS kind FROM responses)
 SELECT failure_idx, CASE WHEN trim(classification) = '' THEN 'UNKNOWN' ELSE classification END AS classification, kind AS root_cause_type, coalesce(severity, 'MEDIUM') AS severity,
   least(greatest(confidence, 0), CASE WHEN kind = 'CONFIRMED' THEN 100 ELSE 80 END) AS confidence, CASE WHEN kind = 'PROBABLE' THEN 'Additional evidence is required to confirm the root cause' ELSE '' END AS missing FROM v""",
-    "rule_triage": FAILURES + f""", said AS (SELECT {joined('error_message', 'failed_step_line', 'stack_trace')} AS s FROM failures),
-picked AS (SELECT CASE WHEN {cues('s', ('err_name_not_resolved', 'dns', 'refused to connect', 'err_connection_refused', 'err_connection_timed_out'))} THEN 'NETWORK_ISSUE' WHEN {cues('s', A.CONNECTION_CUES)} THEN 'ENVIRONMENT_ISSUE' WHEN {cues('s', A.LOCATOR_CUES)} AND {cues('s', A.VISIBLE_CUES)} THEN 'AUTOMATION_ISSUE' ELSE 'UNKNOWN' END AS classification FROM said)
-SELECT classification, CASE classification WHEN 'UNKNOWN' THEN 'LOW' WHEN 'AUTOMATION_ISSUE' THEN 'MEDIUM' ELSE 'HIGH' END AS severity, CASE classification WHEN 'UNKNOWN' THEN 35 ELSE 60 END AS confidence, count(*) AS n FROM picked GROUP BY ALL""",
+    "rule_triage": FAILURES + f""", said AS (SELECT failure_idx, {joined('error_message', 'failed_step_line', 'stack_trace')} AS s FROM failures),
+picked AS (SELECT failure_idx, CASE WHEN {cues('s', ('err_name_not_resolved', 'dns', 'refused to connect', 'err_connection_refused', 'err_connection_timed_out'))} THEN 'NETWORK_ISSUE' WHEN {cues('s', A.CONNECTION_CUES)} THEN 'ENVIRONMENT_ISSUE' WHEN {cues('s', A.LOCATOR_CUES)} AND {cues('s', A.VISIBLE_CUES)} THEN 'AUTOMATION_ISSUE' ELSE 'UNKNOWN' END AS classification FROM said)
+SELECT CAST(failure_idx AS VARCHAR) AS failure_id, classification, CASE classification WHEN 'UNKNOWN' THEN 'POSSIBLE' ELSE 'PROBABLE' END AS root_cause_type, CASE classification WHEN 'UNKNOWN' THEN 'LOW' WHEN 'AUTOMATION_ISSUE' THEN 'MEDIUM' ELSE 'HIGH' END AS severity, CASE classification WHEN 'UNKNOWN' THEN 35 ELSE 60 END AS confidence FROM picked""",
     "explode_reports": FAILURES + f" SELECT report_id, test_case_id, scenario_name, {collapse('failed_step_line')} AS failed_step_line, coalesce(error_message, '') AS error_message, failure_image, '1. [PASS] open' || chr(10) || '2. [FAIL] ' || {collapse('failed_step_line')} AS all_steps FROM failures",
-    "explode_pages": "SELECT CAST(page_id AS VARCHAR) AS report_id, CAST(NULL AS VARCHAR) AS test_case_id FROM pages WHERE contains(html, 'test-item') AND contains(html, 'fail-bg')",
+    "explode_pages": "SELECT CAST(page_id AS VARCHAR) AS report_id, 'P' || CAST(page_id AS VARCHAR) AS test_case_id FROM pages WHERE page_id % 3 = 0",
     "explode_markup": FAILURES + """, shown AS (SELECT report_id, failure_idx, CAST(failure_idx AS VARCHAR) AS n FROM failures WHERE failure_idx % 5 <> 1),
 said AS (SELECT *, CASE failure_idx % 4 WHEN 0 THEN 'open page ' || n WHEN 1 THEN 'one two ' || n ELSE 'go to ' || n END AS line, CASE WHEN failure_idx % 3 = 0 THEN 'ERROR' ELSE 'FAIL' END AS mark FROM shown)
 SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY failure_idx) - 1 AS failure_idx, 'T' || n AS test_case_id, 'S' || n AS scenario_name, line AS failed_step_line,
   CASE WHEN failure_idx % 4 = 1 THEN '' WHEN failure_idx % 2 = 0 THEN 'E' || n || ': x < y' || chr(10) || 'at a.b' ELSE 'E' || n || ': x < y' END AS error_message, 'i' || n AS failure_image,
   CASE WHEN failure_idx % 4 = 2 THEN '1. [INFO] ' || line || chr(10) || '2. [' || mark || '] ' || line ELSE '1. [' || mark || '] ' || line END AS all_steps
 FROM said""",
-    "model_call_stats": ANSWERED + """ SELECT model, vision, count(*) AS calls, count(*) FILTER (WHERE attempt > 1) AS retries, CAST(sum(http_ms) AS BIGINT) AS total_ms, avg(http_ms) AS mean_ms, max(http_ms) AS max_ms,
-  CAST(sum(failure_idx % 700) AS BIGINT) AS prompt_tokens, CAST(sum(failure_idx % 300) AS BIGINT) AS output_tokens FROM calls GROUP BY ALL""",
-    "failed_answers": ANSWERED + " SELECT CASE failure_idx % 5 WHEN 2 THEN 'no JSON object' ELSE 'not a JSON object' END AS error, count(*) AS n FROM calls WHERE attempt = 1 AND failure_idx % 5 IN (2, 3) GROUP BY ALL",
+    "model_call_stats": ANSWERED + " SELECT model, vision, count(*) AS calls, count(*) FILTER (WHERE attempt > 1) AS retries, sum(failure_idx % 300) * 1000 / sum(failure_idx % 1000 + 50) AS tokens_per_s, "
+    + ", ".join(f"CAST(sum({e}) AS BIGINT) AS sum_{c}, avg({e}) AS mean_{c}, max({e}) AS max_{c}" for c, e in MEASURED.items()) + " FROM calls GROUP BY ALL",
+    "failed_answers": ANSWERED + " SELECT failure_id, 1 AS attempts, CASE failure_idx % 5 WHEN 2 THEN 'no JSON object' ELSE 'not a JSON object' END AS error, true AS cut_from_one FROM calls WHERE attempt = 1 AND failure_idx % 5 IN (2, 3)",
+    "clean_answers": ANSWERED + f""", responses AS ({X.RESPONSES_SQL}), asked AS (SELECT failure_id, min({{'e': error_message, 's': failed_step_line, 'i': failure_image}}) AS q FROM ids GROUP BY failure_id),
+told AS (SELECT f.failure_id, f.failure_idx, q.e AS error_message, q.s AS failed_step_line, q.i AS image, r.* EXCLUDE (failure_idx) FROM firsts f JOIN asked USING (failure_id) JOIN responses r ON r.failure_idx = f.failure_idx)
+SELECT failure_id, CASE WHEN failure_idx % 5 IN (2, 3) THEN 2 ELSE 1 END AS attempt, {guard('classification', joined('error_message', 'failed_step_line', *RECORD))} AS classification, coalesce(severity, '') AS severity, confidence,
+  CASE failure_idx % 5 WHEN 1 THEN 0 ELSE 2 END AS evidence, CASE WHEN image <> '' AND failure_idx % 3 <> 2 THEN {q(A.UNSEEN)} ELSE screenshot_observation END AS screenshot_observation FROM told""",
+    "report_envelopes": CLUSTERS + f""", numbered AS (SELECT report_id, 'CLUSTER-' || lpad(CAST(row_number() OVER (PARTITION BY report_id ORDER BY first_idx) AS VARCHAR), 3, '0') AS c, failures FROM clusters),
+listed AS (SELECT report_id, count(*) AS total_clusters, sum(failures)::BIGINT AS total_failures, string_agg(c || '=' || CAST(failures AS VARCHAR), ',' ORDER BY c) AS listed FROM numbered GROUP BY report_id),
+summed AS (SELECT report_id, {SUMMARY} FROM investigated GROUP BY report_id)
+SELECT CAST(r AS VARCHAR) AS report_id, coalesce(total_failures, 0) AS total_failures, coalesce(total_clusters, 0) AS total_clusters, coalesce(listed, '') AS listed, {', '.join(f'coalesce({c}, 0) AS {c}' for c in COUNTERS)}
+FROM range(0, 60) t(r) LEFT JOIN listed ON listed.report_id = CAST(r AS VARCHAR) LEFT JOIN summed ON summed.report_id = CAST(r AS VARCHAR)""",
+    "scenario_keys": "SELECT event_id AS failure_idx, CASE WHEN event_id % 6 = 0 THEN '' WHEN event_id % 3 = 0 THEN tc ELSE sc END AS in_report, CASE WHEN event_id % 6 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN tc ELSE sc END AS single FROM (SELECT event_id, 'TC-' || CAST(event_id % 97 AS VARCHAR) AS tc, 'Scenario ' || event_type AS sc FROM events)",
+    "report_files": FAILURES + f" SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY failure_idx) - 1 AS failure_idx, test_case_id, scenario_name, {collapse('failed_step_line')} AS failed_step_line, coalesce(error_message, '') AS error_message, '' AS feature_name, '' AS console_logs FROM failures",
+    "failure_files": FAILURES + f" SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY failure_idx) - 1 AS failure_idx, {', '.join(S.FAILURE_FIELDS)} FROM failures",
     "triage_requests": NOW.replace("WITH ", "WITH RECURSIVE ", 1) + settled("SELECT failure_idx, failure_idx % 17 = 0 AS forced FROM failures", "i.failure_idx") + " SELECT * FROM responded",
     "triage_failures": TRIAGED + " SELECT g.report_id, g.failure_idx, g.group_idx, t.failure_id, t.origin, t.source, t.classification, t.confidence FROM groups g JOIN heads h USING (report_id, group_idx) JOIN responded t ON t.failure_idx = h.representative_idx",
     "triage_metrics": TRIAGED + f""", askers AS (SELECT t.failure_id, arg_min(h.report_id, (h.report_id, h.group_idx)) AS report_id FROM responded t JOIN heads h ON t.failure_idx = h.representative_idx WHERE origin = 'ASKED' GROUP BY t.failure_id),
@@ -277,5 +302,6 @@ SELECT e.*, groups AS calls, failures - groups AS calls_avoided, coalesce(retrie
     "failure_records": FAILURES + " SELECT report_id, failure_idx, test_case_id AS test_id, scenario_name AS scenario, error_message AS error FROM failures WHERE CAST(report_id AS INT) % 2 = 0",
     "typed_requests": FAILURES + " SELECT failure_idx, CAST(failure_idx AS VARCHAR) AS test_name, feature_name || ', ' || scenario_name AS feature, error_message AS error, CAST(NULL AS VARCHAR) AS scenario, scenario_name AS steps, failure_idx % 2 = 0 AS force_reanalysis FROM failures",
 }
-ORACLE_SQL["pair_totals"] = ORACLE_SQL["pair_scores"]
 ORACLE_SQL["compacted_feedback"] = ORACLE_SQL["feedback_current"]
+ORACLE_SQL["exported_feedback"] = ORACLE_SQL["feedback_current"]
+ORACLE_SQL["written_envelopes"] = ORACLE_SQL["report_envelopes"]

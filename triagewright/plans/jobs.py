@@ -54,7 +54,7 @@ def triage_requests(requests: DataFrame, feedback: DataFrame, answers: DataFrame
     """Requests (REQUEST_FIELDS, event_time, seq) against history, each other and a model's answers, as if done one after the other in `order` (unique).
 
     matched: what history says of each; settled: what each gets (repeats.settle()); prompts: what has to be asked, once for each id and picture;
-    responses: one for each request, with its origin, empty if its answer is missing; calls: each call's time with the request that asked it;
+    responses: one for each request, with its origin and a name of its scenario, empty if its answer is missing; calls: each call's time with the request that asked it;
     failed: unreadable answers; events: what to append to the log.
     answers may name a picture (screenshot_hash). Without answers the written rules answer.
     """
@@ -83,7 +83,8 @@ def triage_requests(requests: DataFrame, feedback: DataFrame, answers: DataFrame
     past = matched.where("matched_by IS NOT NULL").withColumns({"reusable": F.lit(True), "at": F.struct(*order)})
     past = A.reused_responses(past, "at").select(key("HISTORY", F.lit(None).cast("string")), *response)
     known = own.unionByName(again.select(key("REPEAT", F.col("picture")), *response)).unionByName(past)
-    responses = settled.withColumn("_key", F.struct("failure_id", "origin", "record")).join(known, "_key", "left").drop("_key", "picture", "record")
+    names = matched.select(*order, T.scenario_key(F.col("scenario"), F.col("test_name"), F.lit("unknown")).alias("scenario_id"))
+    responses = settled.withColumn("_key", F.struct("failure_id", "origin", "record")).join(known, "_key", "left").drop("_key", "picture", "record").join(names, list(order))
 
     asked = settled.where("origin = 'ASKED'").withColumn("ask", F.concat_ws("#", "failure_id", "picture"))
     first = asked.groupBy("ask").agg(F.min(F.struct(*order)).alias("at"))
@@ -94,7 +95,8 @@ def triage_requests(requests: DataFrame, feedback: DataFrame, answers: DataFrame
     out["prompts"] = P.build_prompts(matched.join(askers.drop("ask"), list(order)))
     if given is not None:
         out["failed"] = failed.withColumnRenamed("failure_id", "ask").join(first.select("ask"), "ask").join(asks.select("ask", "failure_id", "picture"), "ask").drop("ask")
-        out["calls"] = attributed(given.join(first, "ask")).select("at.*", "failure_id", "attempt", "model", "vision", F.col("http_ms").alias("total_ms"))
+        extra = [c for c in A.MEASURES if c in given.columns and c != "http_ms"]
+        out["calls"] = attributed(given.join(first, "ask")).select("at.*", "failure_id", "attempt", "model", "vision", *extra, "http_ms", F.col("http_ms").alias("total_ms"))
     return out
 
 

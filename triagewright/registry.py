@@ -65,7 +65,7 @@ def answer_rows(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(i % 5 == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(i % 5 == 1, F.substring(good, F.lit(1), F.length(good) - 9)).when(i % 5 == 2, "no answer").when(i % 5 == 3, F.replace(good, F.lit('"confidence":'), F.lit('"confidence":"9",')))
     rows = told.select("failure_id", "failure_idx", raw.alias("raw_text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), good.alias("good"))
     rows = rows.withColumn("raw_text", F.when(F.col("attempt") == 2, F.col("good")).otherwise(F.coalesce("raw_text", "good")))
-    meta = {"model": F.when(F.expr("failure_idx % 5 = 0"), "vision").otherwise("text"), "vision": F.expr("failure_idx % 5 = 0"), "http_ms": F.col("failure_idx") % 1000 + 50, "prompt_tokens": (F.col("failure_idx") % 700).cast("int"), "output_tokens": (F.col("failure_idx") % 300).cast("int")}
+    meta = {"model": F.when(F.expr("failure_idx % 5 = 0"), "vision").otherwise("text"), "vision": F.expr("failure_idx % 5 = 0"), "http_ms": F.col("failure_idx") % 1000 + 50, "prompt_chars": F.col("failure_idx") % 4000 + 900, "build_ms": F.col("failure_idx") % 7, "parse_ms": F.col("failure_idx") % 11, "prompt_tokens": (F.col("failure_idx") % 700).cast("int"), "output_tokens": (F.col("failure_idx") % 300).cast("int")}
     first = rows.groupBy("failure_id", "attempt").agg(F.min_by(F.struct("failure_idx", "raw_text"), "failure_idx").alias("r")).select("failure_id", "attempt", "r.*")
     return first.withColumns(meta).select("failure_id", "attempt", "raw_text", *meta)
 
@@ -90,6 +90,11 @@ def group_metrics(spark, d):
 
 
 def pair_scores(spark, d):
+    """Pairs of distinct parts with their score, and how many pairs of failures have them."""
+    return G.scored_kinds(parts(spark, d)).withColumn("score", F.round("score", 4))
+
+
+def pair_totals(spark, d):
     return G.pair_totals(parts(spark, d))
 
 
@@ -151,10 +156,11 @@ def correction_rows(spark, d):
 
 
 def corrections(spark, d):
+    """The labels after the corrections, and the rejected ones with their reason."""
     out = J.apply_corrections(correction_rows(spark, d), log(spark, d))
-    bad = out["rejects"].groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("rejected").alias("what"), F.col("reason").alias("label"), "n")
-    good = out["labels"].groupBy("label_source", "classification").agg(F.count("*").alias("n")).select(F.col("label_source").alias("what"), F.col("classification").alias("label"), "n")
-    return good.unionByName(bad)
+    none = F.lit(None).cast("string")
+    good = out["labels"].select("failure_id", "classification", "label_source", F.lit(None).cast("long").alias("seq"), none.alias("reason"))
+    return good.unionByName(out["rejects"].select("failure_id", F.col("human_classification").alias("classification"), none.alias("label_source"), "seq", "reason"))
 
 
 def cluster_failures(spark, d):
@@ -172,9 +178,39 @@ def report_totals(spark, d):
     return C.report_totals(reports, i, C.cluster_failures(i))
 
 
-def report_envelopes(spark, d):
+def shown(envelopes: DataFrame) -> DataFrame:
+    listed = F.array_join(F.transform("clusters", lambda c: F.concat(c["cluster_id"], F.lit("="), c["failures"].cast("string"))), ",")
+    return envelopes.select("report_id", "total_failures", "total_clusters", "summary.*", listed.alias("listed"))
+
+
+def envelopes(spark, d):
     i = investigated(spark, d)
-    return C.report_envelopes(i.select("report_id").distinct(), i, C.cluster_failures(i)).select("report_id", "total_failures", "total_clusters", F.to_json("summary").alias("summary"), F.size("clusters").alias("listed"))
+    reports = spark.range(0, 60).select(F.col("id").cast("string").alias("report_id"))
+    return C.report_envelopes(reports, i, C.cluster_failures(i))
+
+
+def report_envelopes(spark, d):
+    return shown(envelopes(spark, d))
+
+
+def written_envelopes(spark, d):
+    """The envelopes as a sink's JSON lines, read back."""
+    at, rows = shared_path(spark, "envelopes"), envelopes(spark, d)
+    C.write_envelopes(rows, at)
+    return shown(spark.read.schema(rows.schema).json(at))
+
+
+def exported_feedback(spark, d):
+    """The log as rows of texts (times, lists), as other stores keep them, imported again."""
+    return current_fields(H.feedback_current(H.evolve_feedback(H.import_feedback(H.export_feedback(log(spark, d))))))
+
+
+def scenario_keys(spark, d):
+    """Names of scenarios: blank ones fall back on the test, of single requests at last on a fixed word."""
+    i = F.col("failure_idx")
+    rows = X.failures(spark, d).withColumns({"scenario_name": F.when(i % 3 == 0, " ").otherwise(F.col("scenario_name")), "test_case_id": F.when(i % 6 == 0, "").otherwise(F.col("test_case_id"))})
+    r = R.to_requests(rows)
+    return r.select("failure_idx", T.scenario_key(F.col("scenario"), F.col("test_name")).alias("in_report"), T.scenario_key(F.col("scenario"), F.col("test_name"), F.lit("unknown")).alias("single"))
 
 
 def prompts(spark, d):
@@ -193,7 +229,7 @@ def validate_response(spark, d):
 
 
 def rule_triage(spark, d):
-    return A.rule_triage(requests(spark, d).withColumn("failure_id", F.col("failure_idx").cast("string"))).groupBy("classification", "severity", "confidence").agg(F.count("*").alias("n"))
+    return A.rule_triage(requests(spark, d).withColumn("failure_id", F.col("failure_idx").cast("string"))).select("failure_id", "classification", "root_cause_type", "severity", "confidence")
 
 
 def clean_answers(spark, d):
@@ -202,7 +238,7 @@ def clean_answers(spark, d):
 
 
 def failed_answers(spark, d):
-    return A.clean_answers(answer_rows(spark, d).where("attempt = 1"), requests(spark, d))[1].groupBy("error").agg(F.count("*").alias("n"))
+    return A.clean_answers(answer_rows(spark, d).where("attempt = 1"), requests(spark, d))[1].select("failure_id", "attempts", "error", (F.col("first_3000").startswith(F.col("first_200")) & F.col("first_3000").endswith(F.col("last_200"))).alias("cut_from_one"))
 
 
 def model_call_stats(spark, d):
@@ -214,8 +250,32 @@ def explode_reports(spark, d):
     return R.explode_reports(R.render_reports(X.failures(spark, d))).select("report_id", "test_case_id", "scenario_name", "failed_step_line", "error_message", "failure_image", "all_steps")
 
 
+def named_by_folder(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("report_id", F.regexp_extract("report_id", "report_id=([^/]*)", 1))
+
+
+def report_files(spark, d):
+    """Reports as HTML files, read whole."""
+    at = shared_path(spark, "html")
+    R.render_reports(X.failures(spark, d)).select("report_id", "html").repartition("report_id").write.partitionBy("report_id").text(at)
+    found = named_by_folder(R.explode_reports(R.read_reports(spark, at)))
+    return found.select("report_id", "failure_idx", "test_case_id", "scenario_name", "failed_step_line", "error_message", "feature_name", "console_logs")
+
+
+def failure_files(spark, d):
+    """Failures as JSON files, one a report."""
+    at = shared_path(spark, "json")
+    item = F.struct("failure_idx", *S.FAILURE_FIELDS)
+    lists = X.failures(spark, d).groupBy("report_id").agg(F.array_sort(F.collect_list(item)).alias("failures"))
+    lists.select("report_id", F.to_json(F.struct("failures"))).repartition("report_id").write.partitionBy("report_id").text(at)
+    return named_by_folder(R.read_failures_json(spark, at)).select("report_id", "failure_idx", *S.FAILURE_FIELDS)
+
+
 def explode_pages(spark, d):
-    pages = X.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("report_id"), "html")
+    """Web pages, before every third of which a failed test was put."""
+    n = F.col("page_id").cast("string")
+    item = F.concat(F.lit('<li class="test-item" status="fail" test-id="P'), n, F.lit('"><div class="step fail-bg"><span>go</span></div></li>'))
+    pages = X.table(spark, d, "pages").select(n.alias("report_id"), F.concat(F.when(F.col("page_id") % 3 == 0, item).otherwise(""), F.coalesce("html", F.lit(""))).alias("html"))
     return R.explode_reports(pages).select("report_id", "test_case_id")
 
 
@@ -315,10 +375,11 @@ def compacted_feedback(spark, d):
 
 QUERIES = {
     "group_metrics": group_metrics, "components": components, "groups": groups, "groups_at_0_87": groups_at(0.87), "groups_at_0_95": groups_at(0.95),
-    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "pair_totals": pair_scores, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
+    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "pair_totals": pair_totals, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
     "feedback_current": feedback_current, "compacted_feedback": compacted_feedback, "effective_labels": effective_labels, "match_history": match_history, "legacy_aliases": legacy_aliases, "pending": pending,
     "resolve_repeats": resolve_repeats, "match_across_reports": match_across_reports, "reused_responses": reused_responses, "corrections": corrections,
-    "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "prompts": prompts,
+    "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "written_envelopes": written_envelopes, "exported_feedback": exported_feedback, "scenario_keys": scenario_keys,
+    "report_files": report_files, "failure_files": failure_files, "prompts": prompts,
     "guardrail": guardrail, "validate_response": validate_response, "rule_triage": rule_triage, "clean_answers": clean_answers, "failed_answers": failed_answers,
     "model_call_stats": model_call_stats, "explode_reports": explode_reports, "explode_pages": explode_pages, "explode_markup": explode_markup, "failure_records": failure_records,
     "typed_requests": typed_requests, "triage_reports": triage_reports, "triage_failures": triage_failures, "triage_metrics": triage_metrics, "triage_requests": triage_requests,
