@@ -195,3 +195,16 @@ def test_reports_end_to_end(spark):
     again = J.triage_reports(reports, H.feedback_current(first["events"]), answers(spark, []))
     assert {r.source for r in again["investigated"].collect()} == {"HISTORICAL"} and again["prompts"].count() == 0
     assert all(r.classification == "API_ISSUE" for r in again["investigated"].collect())
+
+
+def test_call_sketches_merge_and_stay_close(spark):
+    """Sketches of ten days, merged: each quantile's rank is within a hundredth of the asked one; sums are those of single days."""
+    n = 20_000
+    calls = spark.range(n).select(F.lit("i").alias("failure_id"), F.lit(1).alias("attempt"), F.lit("m").alias("model"), F.lit(False).alias("vision"), (F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("http_ms"), (F.col("id") % 10).alias("day"), F.lit(5).alias("output_tokens"))
+    got = {(r.measure, round(r.q, 2)): r.value for r in A.call_quantiles(A.call_sketches(calls, "day")).collect()}
+    assert {m for m, _ in got} == {"http_ms", "output_tokens"}
+    for q in A.QUANTILES:
+        assert abs(calls.where(F.col("http_ms") <= got["http_ms", q]).count() / n - q) < 0.01
+        assert got["output_tokens", q] == 5
+    stats = A.model_call_stats(calls).first()
+    assert (stats.calls, stats.sum_output_tokens, stats.sum_prompt_chars) == (n, 5 * n, None) and stats.sum_total_ms == stats.sum_http_ms

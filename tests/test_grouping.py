@@ -60,7 +60,7 @@ def plain(parts, threshold):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.70, 0.78, 0.80, 0.85, 0.86, 0.88, 0.95, 1.0, 1.2])
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.60, 0.70, 0.78, 0.80, 0.85, 0.86, 0.88, 0.95, 1.0, 1.2])
 def test_plans_equal_the_leader_rule(spark, threshold):
     rng = random.Random(int(threshold * 100))
     rows = [(rng.choice(["tap", "swipe", ""]), rng.choice(["a.TimeoutException: x", "a.TimeoutException: y", TIMEOUT.format("c1"), TIMEOUT.format("c2"), "plain", None]), rng.choice([None, "at app.A(x:1)", "at app.B(x:1)"]), "") for _ in range(160)]
@@ -98,3 +98,19 @@ def test_pair_totals_cover_all_reports(spark):
     got = {r.report_id: r for r in registry.QUERIES["pair_totals"](spark, d).collect()}
     assert len(got) > 2 and got.keys() == want.keys()
     assert all([g.pairs, g.alike, g.bodies] == [want[k][i] for i in (0, 2, 3)] and abs(g.total - want[k][1]) < 1e-3 for k, g in got.items())
+
+
+def test_tiles_change_no_pair(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["tap", "swipe", ""]), rng.choice(["a.TimeoutException: x", TIMEOUT.format("c1"), TIMEOUT.format("c2"), "plain", "other", None]), rng.choice([None, "at app.A(x:1)"]), "") for _ in range(60)]
+    f = T.components(failures(spark, rows)).cache()
+    whole, tiled = (sorted(map(str, G.scored_kinds(f, tile).collect())) for tile in (1024, 2))
+    assert whole == tiled and len(whole) > 20
+
+
+def test_many_leaders_of_one_key(spark):
+    """Distinct parts that all share step and exception: the first leads, whichever follow; with locators that differ, each leads alone."""
+    n = 300
+    assert groups(spark, [("tap", f"a.TimeoutException: {c}{i}x", None, "") for i in range(n) for c in "a"], 0.60) == [0] * n
+    got = groups(spark, [("tap", TIMEOUT.format("k" + "xy"[i % 2] * (i // 2)), None, "") for i in range(40)], 0.60)
+    assert got == [min(j for j in range(40) if j == i or (j // 2 == 0 and i // 2 == 0)) for i in range(40)]

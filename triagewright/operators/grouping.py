@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from triagewright.functions import text as T
+from triagewright.plans.shared import written
 
 # What each matching part adds to a pair's score, and where a locator conflict caps it.
 STEP, EXCEPTION, LOCATOR, BODY, FRAME = 0.35, 0.25, 0.25, 0.15, 0.03
@@ -72,41 +74,83 @@ def score(a: tuple, b: tuple) -> float:
     return min(1.0, raw + FRAME) if a[4] != "" and a[4] == b[4] else raw
 
 
-def leaders(threshold: float):
-    """An applyInPandas function over distinct parts and their first failures: the leaders of each, in order, every one better than those before.
+#: Of the parts that may match beside the locator: the column.
+MATCHES = {"step": "step", "exception": "exception", "body": "error_body", "frame": "stack_frame"}
+
+
+def says_something(match: str) -> Column:
+    return F.col("has_error") if match == "body" else F.col(MATCHES[match]) != ("UNKNOWN" if match == "exception" else "")
 
-    A failure joins the best earlier leader that reaches the threshold, else leads. No pair scores more than equal parts do, so of parts that
-    reach the threshold with themselves the first failure alone can lead, and later ones join the last of these leaders that is before them.
-    """
 
-    def assign(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("first")
-        rows = list(block[list(PARTS)].itertuples(index=False, name=None))
-        heads: list[tuple[int, tuple]] = []
-        for idx, row in zip(block["first"], rows):
-            if not any(score(h, row) >= threshold for _, h in heads):
-                heads.append((idx, row))
-        chains = []
-        for row in rows:
-            chain, best = [], -1.0
-            for i, h in heads:
-                if (s := score(h, row)) >= threshold and s > best:
-                    chain.append(i)
-                    best = s
-            chains.append(chain)
-        return block[["report_id", *PARTS]].assign(leaders=chains)
-
-    return assign
-
-
-def led_groups(parts: DataFrame, block: list[str], threshold: float) -> DataFrame:
-    """Groups by the leader rule in each block. A task holds the distinct parts of a block, however many failures have them."""
+def patterns(threshold: float, least: bool) -> list[tuple[str, tuple[str, ...], float]]:
+    """(locator, matches, score): what pairs have in common that reach the threshold, at least. locator: same, one (alone) or other.
+
+    More matches never score less. least: only such as need all of their matches to reach the threshold; else those whose score needs them all.
+    """
+    found = {}
+    for locator, (x, y) in {"same": ("l", "l"), "one": ("l", ""), "other": ("l", "m")}.items():
+        for n in range(len(MATCHES) + 1):
+            for some in combinations(MATCHES, n):
+                b = ["s" if "step" in some else "t", "e" if "exception" in some else "f", y, "b" if "body" in some else "c", "f" if "frame" in some else "g", True]
+                found[locator, some] = score(("s", "e", x, "b", "f", True), tuple(b))
+    reached = {k: v for k, v in found.items() if v >= threshold}
+    fewer = lambda locator, some: (reached.get((locator, tuple(m for m in some if m != gone))) for gone in some)
+    return [(loc, some, v) for (loc, some), v in reached.items() if all(f is None or not least and f < v for f in fewer(loc, some))]
+
+
+def nearest(of: DataFrame, among: DataFrame, locator: str, some: tuple[str, ...]) -> DataFrame:
+    """(report_id, first, rival): for each of the distinct parts `of`, the least first of those `among` that match it so; by aggregates over keys, without pairs."""
+    keys = ["report_id", *(MATCHES[m] for m in some)]
+    for m in some:
+        of, among = of.where(says_something(m)), among.where(says_something(m))
+    if locator == "same":
+        keys, seen = [*keys, "locator"], among
+    elif locator == "one":
+        of, seen = of.withColumn("_bare", F.col("locator") != ""), among.withColumn("_bare", F.col("locator") == "")
+        keys = [*keys, "_bare"]
+    if locator != "other":
+        return of.join(seen.groupBy(*keys).agg(F.min("first").alias("rival")), keys).select("report_id", "first", "rival")
+    each = among.where("locator <> ''").groupBy(*keys, "locator").agg(F.min("first").alias("f"))
+    best = each.groupBy(*keys).agg(F.min(F.struct("f", "locator")).alias("best"))
+    second = each.join(best, keys).where(F.col("locator") != F.col("best.locator")).groupBy(*keys).agg(F.min("f").alias("second"))
+    both = of.where("locator <> ''").join(best, keys).join(second, keys, "left")
+    return both.select("report_id", "first", F.when(F.col("best.locator") != F.col("locator"), F.col("best.f")).otherwise(F.col("second")).alias("rival")).where("rival IS NOT NULL")
+
+
+def leading(kinds: DataFrame, threshold: float) -> DataFrame:
+    """Those of the distinct parts (report_id, PARTS, first) that lead: no leader before them reaches the threshold with them.
+
+    In rounds: who has no open rival before it leads, and who has a leader before it follows; until none is open. Each round is written.
+    """
+    least = patterns(threshold, True)
+    rivals = lambda of, among: reduce(DataFrame.unionByName, [nearest(of, among, loc, some) for loc, some, _ in least]).groupBy("report_id", "first").agg(F.min("rival").alias("rival"))
+    open_, led = written(kinds, "kinds"), kinds.where("false")
+    while not open_.isEmpty():
+        free = open_.join(rivals(open_, open_), ["report_id", "first"], "left").where("rival IS NULL OR rival >= first").drop("rival")
+        free = written(free, "leaders")
+        led = led.unionByName(free)
+        held = rivals(open_, free).select("report_id", "first")  # leaders match themselves
+        open_ = written(open_.join(held, ["report_id", "first"], "left_anti").join(free.select("report_id", "first"), ["report_id", "first"], "left_anti"), "open")
+    return led
+
+
+def led_groups(parts: DataFrame, threshold: float) -> DataFrame:
+    """Groups by the leader rule. A failure joins the best earlier leader that reaches the threshold, else leads.
+
+    No pair scores more than equal parts do, so of parts that reach the threshold with themselves the first failure alone can lead, and later ones
+    join the last leader before them that is better than all leaders before it. Of the leaders that match alike only the first can be that.
+    """
     rows = parts.select("report_id", "failure_idx", *PARTS)
-    kinds = rows.where(score_columns("", "")["score"] >= threshold).groupBy("report_id", *PARTS).agg(F.min("failure_idx").alias("first"))
-    out = StructType([rows.schema["report_id"], *[rows.schema[c] for c in PARTS], StructField("leaders", ArrayType(LongType()))])
-    led = kinds.groupBy(*block).applyInPandas(leaders(threshold), out)
+    kinds = written(rows.where(score_columns("", "")["score"] >= threshold).groupBy("report_id", *PARTS).agg(F.min("failure_idx").alias("first")), "kinds")
+    led = leading(kinds, threshold)
+    told = reduce(DataFrame.unionByName, [nearest(kinds, led, loc, some).withColumn("score", F.lit(v)) for loc, some, v in patterns(threshold, False)])
+    best = told.groupBy("report_id", "first", "rival").agg(F.max("score").alias("score")).groupBy("report_id", "first").agg(F.array_sort(F.collect_list(F.struct("rival", "score"))).alias("r"))
+    better = lambda a, x: F.when(F.size(a) == 0, F.array(x)).when(x["score"] > F.element_at(a, -1)["score"], F.array_append(a, x)).otherwise(a)
+    none = F.array().cast("array<struct<rival:bigint,score:double>>")
+    chains = best.select("report_id", "first", F.aggregate("r", none, better)["rival"].alias("leaders"))
     same = F.struct("report_id", *PARTS).alias("_same")
-    joined = rows.select("report_id", "failure_idx", same).join(led.select(same, "leaders"), "_same", "left")
+    by_kind = kinds.join(chains, ["report_id", "first"]).select(same, "leaders")
+    joined = rows.select("report_id", "failure_idx", same).join(by_kind, "_same", "left")
     before = F.array_max(F.filter("leaders", lambda i: i <= F.col("failure_idx")))
     return joined.select("report_id", "failure_idx", F.coalesce(before, "failure_idx").alias("group_idx"))
 
@@ -126,11 +170,9 @@ def group_failures(parts: DataFrame, threshold: float = 0.80) -> DataFrame:
     parts: text.components(failures). As a pair's score takes few values, most thresholds come down to equality of keys:
 
     (0.78, 0.85]  step, exception and locator equal, with a step and a known exception
-    (0.85, 0.88]  the leader rule among those
     (0.88, 1.0]   those whose error bodies are equal too, with an error
-    (0.68, 0.78]  the leader rule among equal steps
-    up to 0.68    the leader rule over a whole report
     above 1.0     every failure alone
+    others        the leader rule, in rounds over distinct parts
     """
     alone = (F.col("step") == "") | (F.col("exception") == "UNKNOWN")
     three = ["step", "exception", "locator"]
@@ -140,8 +182,7 @@ def group_failures(parts: DataFrame, threshold: float = 0.80) -> DataFrame:
         return keyed_groups(parts, [*three, "error_body"], alone | ~F.col("has_error"))
     if 0.78 < threshold <= 0.85:
         return keyed_groups(parts, three, alone)
-    block = ["report_id", *(three if threshold > 0.85 else ["step"] if threshold > 0.68 else [])]
-    return led_groups(parts, block, threshold)
+    return led_groups(parts, threshold)
 
 
 def representatives(groups: DataFrame, failures: DataFrame) -> DataFrame:

@@ -181,34 +181,76 @@ COUNTERS = [f"{k}_issues" for k in ("automation", "application", "api", "data",
 RECORD = ("root_cause", "recommended_action", "suggested_fix", "similar_patterns", "screenshot_observation")
 
 
-def settled(rows: str, order: str) -> str:
+def folded(rows: str, order: str, complete: str = "f.first_idx % 7 NOT IN (0, 1)", seen_image: str = "true", legacy: str = "o.failure_id = i.legacy_id") -> str:
     """Requests (rows: failure_idx of each, its order and whether forced) one after the other, by a recursion over the requests of each id."""
     seen = rf"coalesce(regexp_matches({{p}}.screenshot_observation, '\S'), false)"
     past = ", ".join(f"{p}.failure_id IS NOT NULL AS {p}_has, coalesce({p}.complete, false) AS {p}_c, {seen.format(p=p)} AS {p}_s, {p}.screenshot_hash AS {p}_h" for p in "eo")
     return f""", firsts AS (SELECT failure_id, min(failure_idx) AS first_idx FROM ids GROUP BY failure_id), asked AS ({rows}),
 req AS (
-  SELECT q.*, i.failure_id, i.legacy_id, i.hash, i.error_message, i.failed_step_line, f.first_idx, f.first_idx % 7 NOT IN (0, 1) AS c, {past}, row_number() OVER (PARTITION BY i.failure_id ORDER BY {order}) AS rn
-  FROM asked q JOIN ids i USING (failure_idx) JOIN firsts f USING (failure_id) LEFT JOIN now e ON e.failure_id = i.failure_id LEFT JOIN now o ON o.failure_id = i.legacy_id),
+  SELECT q.*, i.failure_id, i.legacy_id, i.hash, i.error_message, i.failed_step_line, f.first_idx, {complete} AS c, {past}, row_number() OVER (PARTITION BY i.failure_id ORDER BY {order}) AS rn
+  FROM asked q JOIN ids i USING (failure_idx) JOIN firsts f USING (failure_id) LEFT JOIN now e ON e.failure_id = i.failure_id LEFT JOIN now o ON {legacy}),
 fold AS (
   SELECT failure_id, CAST(0 AS BIGINT) AS rn, e_has AS has, e_c AS c, e_s AS s, e_h AS h, false AS own, failure_id AS hit, CAST(NULL AS BIGINT) AS failure_idx, '' AS origin, '' AS source FROM req WHERE rn = 1
   UNION ALL
-  SELECT failure_id, rn, has OR NOT reuse, CASE WHEN reuse THEN c ELSE mine END, CASE WHEN reuse THEN s ELSE true END, CASE WHEN reuse THEN h ELSE hash END, own OR NOT reuse, hit, failure_idx,
+  SELECT failure_id, rn, has OR NOT reuse, CASE WHEN reuse THEN c ELSE mine END, CASE WHEN reuse THEN s ELSE {seen_image} END, CASE WHEN reuse THEN h ELSE hash END, own OR NOT reuse, hit, failure_idx,
     CASE WHEN NOT reuse THEN 'ASKED' WHEN own THEN 'REPEAT' ELSE 'HISTORY' END, CASE WHEN reuse THEN 'HISTORICAL' WHEN forced OR NOT has THEN 'AI' ELSE 'AI_ENRICHED' END
   FROM (SELECT *, NOT forced AND has AND c AND (hash IS NULL OR (s AND coalesce(h = hash, false))) AS reuse FROM (
     SELECT r.failure_id, r.rn, r.failure_idx, r.forced, r.hash, r.c AS mine, f.own, f.has OR old AS has, CASE WHEN old THEN r.o_c ELSE f.c END AS c, CASE WHEN old THEN r.o_s ELSE f.s END AS s, CASE WHEN old THEN r.o_h ELSE f.h END AS h,
       CASE WHEN old THEN r.legacy_id ELSE f.hit END AS hit
-    FROM (SELECT f.*, r AS r, NOT f.has AND NOT r.forced AND r.o_has AS old FROM fold f JOIN req r ON r.failure_id = f.failure_id AND r.rn = f.rn + 1) f))),
+    FROM (SELECT f.*, r AS r, NOT f.has AND NOT r.forced AND r.o_has AS old FROM fold f JOIN req r ON r.failure_id = f.failure_id AND r.rn = f.rn + 1) f)))"""
+
+
+HELD = f"(SELECT *, coalesce(human_classification, {filled('ai_classification')}, 'UNKNOWN') AS h_label FROM now)"
+OLD_CLASS = guard("h_label", joined(*[f"h.{c}" for c in RECORD], "'evidence'"))
+
+
+def settled(rows: str, order: str) -> str:
+    """folded(), with what the fixture's answers say."""
+    return folded(rows, order) + f""",
 told AS (
   SELECT f.failure_idx, f.failure_id, f.origin, f.source, r.first_idx % 130 - 10 AS fresh_confidence, h.confidence AS old_confidence, e.human_classification AS human, coalesce(h.human_classification, {filled('h.ai_classification')}, 'UNKNOWN') AS old_label,
-    {guard('h_label', joined(*[f'h.{c}' for c in RECORD], "'evidence'"))} AS old_class, {guard('a.classification', joined('r.error_message', 'r.failed_step_line', *[f'a.{c}' for c in RECORD]))} AS fresh, a.*
+    {OLD_CLASS} AS old_class, {guard('a.classification', joined('r.error_message', 'r.failed_step_line', *[f'a.{c}' for c in RECORD]))} AS fresh, a.*
   FROM fold f JOIN req r ON r.failure_idx = f.failure_idx JOIN responses a ON a.failure_idx = r.first_idx LEFT JOIN now e ON e.failure_id = f.failure_id
-    LEFT JOIN (SELECT *, coalesce(human_classification, {filled('ai_classification')}, 'UNKNOWN') AS h_label FROM now) h ON h.failure_id = f.hit WHERE f.rn > 0),
+    LEFT JOIN {HELD} h ON h.failure_id = f.hit WHERE f.rn > 0),
 responded AS (
   SELECT failure_idx, failure_id, origin, source, CASE origin WHEN 'HISTORY' THEN old_class WHEN 'ASKED' THEN coalesce(human, fresh) ELSE {guard('again', joined(*RECORD))} END AS classification,
     CAST(CASE WHEN origin = 'HISTORY' THEN old_confidence ELSE fresh_confidence END AS INT) AS confidence
   FROM (SELECT *, coalesce(human, {filled('fresh')}, 'UNKNOWN') AS again FROM told))"""
 
 
+NETWORK_CUES = ("err_name_not_resolved", "dns", "refused to connect", "err_connection_refused", "err_connection_timed_out")
+#: Reports read back from their markup: no feature, the error as stack; rules answer in place of a model, and never saw a picture.
+BACK = NOW.replace("WITH ", "WITH RECURSIVE ", 1) + f", back AS (SELECT * REPLACE ({collapse('failed_step_line')} AS failed_step_line, '' AS feature_name, error_message AS stack_trace) FROM failures), " + HEADS.removeprefix(FAILURES + ", ").replace("FROM failures", "FROM back")
+BACK += folded("SELECT representative_idx AS failure_idx, false AS forced, report_id AS of_report, group_idx AS of_group FROM heads", "q.of_report, q.of_group", "true", "false", "false")
+BACK += f""", said AS (SELECT f.*, {joined('r.error_message', 'r.failed_step_line')} AS words FROM fold f JOIN req r USING (failure_idx)),
+ruled AS (SELECT *, CASE WHEN {cues('words', NETWORK_CUES)} THEN 'NETWORK_ISSUE' WHEN {cues('words', A.CONNECTION_CUES)} THEN 'ENVIRONMENT_ISSUE' WHEN {cues('words', A.LOCATOR_CUES)} AND {cues('words', A.VISIBLE_CUES)} THEN 'AUTOMATION_ISSUE' ELSE 'UNKNOWN' END AS rule FROM said),
+responded AS (
+  SELECT f.failure_idx, f.origin, CASE WHEN f.origin = 'HISTORY' THEN {OLD_CLASS} WHEN f.origin = 'REPEAT' AND e.human_classification = 'APPLICATION_ISSUE' AND rule = 'AUTOMATION_ISSUE' THEN rule ELSE coalesce(e.human_classification, rule) END AS classification,
+    CASE WHEN f.origin = 'HISTORY' THEN h.severity WHEN rule = 'UNKNOWN' THEN 'LOW' WHEN rule = 'AUTOMATION_ISSUE' THEN 'MEDIUM' ELSE 'HIGH' END AS severity, CASE WHEN f.origin = 'HISTORY' THEN h.confidence WHEN rule = 'UNKNOWN' THEN 35 ELSE 60 END AS confidence
+  FROM ruled f LEFT JOIN now e ON e.failure_id = f.failure_id LEFT JOIN {HELD} h ON h.failure_id = f.hit WHERE f.rn > 0),
+investigated AS (SELECT b.*, t.classification, t.severity, t.confidence, '' AS root_cause, true AS investigated FROM back b JOIN groups g USING (report_id, failure_idx) JOIN heads d ON d.report_id = g.report_id AND d.group_idx = g.group_idx JOIN responded t ON t.failure_idx = d.representative_idx)"""
+BACK += CLUSTERS.removeprefix(INVESTIGATED)
+ENVELOPES = f""", numbered AS (SELECT report_id, 'CLUSTER-' || lpad(CAST(row_number() OVER (PARTITION BY report_id ORDER BY first_idx) AS VARCHAR), 3, '0') AS c, failures FROM clusters),
+listed AS (SELECT report_id, count(*) AS total_clusters, sum(failures)::BIGINT AS total_failures, string_agg(c || '=' || CAST(failures AS VARCHAR), ',' ORDER BY c) AS listed FROM numbered GROUP BY report_id),
+summed AS (SELECT report_id, {SUMMARY} FROM investigated GROUP BY report_id)"""
+
+
+def led(threshold: float) -> str:
+    """The leader rule, failure by failure: a recursion that carries each report's leaders."""
+    part = lambda match, weight: f"CASE WHEN {match} THEN CAST({weight} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+    raw = " + ".join((part("x.s <> '' AND x.s = o.step", 0.35), part("x.e = o.exception AND x.e <> 'UNKNOWN'", 0.25), part("x.l = o.locator", 0.25), part("x.h AND o.has_error AND x.b = o.error_body", 0.15)))
+    score = f"CASE WHEN x.l <> '' AND o.locator <> '' AND x.l <> o.locator THEN least({raw}, CAST(0.59 AS DOUBLE)) WHEN x.f <> '' AND x.f = o.stack_frame THEN least(CAST(1 AS DOUBLE), {raw} + CAST(0.03 AS DOUBLE)) ELSE {raw} END"
+    return PARTS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", ordered AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY failure_idx) AS rn FROM parts),
+lead AS (
+  SELECT DISTINCT report_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(i BIGINT, s VARCHAR, e VARCHAR, l VARCHAR, b VARCHAR, f VARCHAR, h BOOLEAN)[]) AS heads, CAST(0 AS BIGINT) AS failure_idx, CAST(0 AS BIGINT) AS group_idx FROM parts
+  UNION ALL
+  SELECT report_id, rn, CASE WHEN best IS NULL THEN heads || [me] ELSE heads END, failure_idx, coalesce(-best.n, failure_idx)
+  FROM (SELECT o.report_id, o.rn, p.heads, o.failure_idx, {{'i': o.failure_idx, 's': o.step, 'e': o.exception, 'l': o.locator, 'b': o.error_body, 'f': o.stack_frame, 'h': o.has_error}} AS me,
+      list_max(list_filter(list_transform(p.heads, lambda x: {{'v': {score}, 'n': -x.i}}), lambda y: y.v >= {threshold})) AS best
+    FROM lead p JOIN ordered o ON o.report_id = p.report_id AND o.rn = p.rn + 1))
+SELECT report_id, failure_idx, group_idx FROM lead WHERE rn > 0"""
+
+
 TRIAGED = HEADS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + (NOW.removeprefix(FAILURES).removeprefix(", ")) + settled("SELECT representative_idx AS failure_idx, false AS forced, report_id AS of_report, group_idx AS of_group FROM heads", "q.of_report, q.of_group")
 
 ORACLE_SQL = {
@@ -285,11 +327,10 @@ FROM said""",
 told AS (SELECT f.failure_id, f.failure_idx, q.e AS error_message, q.s AS failed_step_line, q.i AS image, r.* EXCLUDE (failure_idx) FROM firsts f JOIN asked USING (failure_id) JOIN responses r ON r.failure_idx = f.failure_idx)
 SELECT failure_id, CASE WHEN failure_idx % 5 IN (2, 3) THEN 2 ELSE 1 END AS attempt, {guard('classification', joined('error_message', 'failed_step_line', *RECORD))} AS classification, coalesce(severity, '') AS severity, confidence,
   CASE failure_idx % 5 WHEN 1 THEN 0 ELSE 2 END AS evidence, CASE WHEN image <> '' AND failure_idx % 3 <> 2 THEN {q(A.UNSEEN)} ELSE screenshot_observation END AS screenshot_observation FROM told""",
-    "report_envelopes": CLUSTERS + f""", numbered AS (SELECT report_id, 'CLUSTER-' || lpad(CAST(row_number() OVER (PARTITION BY report_id ORDER BY first_idx) AS VARCHAR), 3, '0') AS c, failures FROM clusters),
-listed AS (SELECT report_id, count(*) AS total_clusters, sum(failures)::BIGINT AS total_failures, string_agg(c || '=' || CAST(failures AS VARCHAR), ',' ORDER BY c) AS listed FROM numbered GROUP BY report_id),
-summed AS (SELECT report_id, {SUMMARY} FROM investigated GROUP BY report_id)
-SELECT CAST(r AS VARCHAR) AS report_id, coalesce(total_failures, 0) AS total_failures, coalesce(total_clusters, 0) AS total_clusters, coalesce(listed, '') AS listed, {', '.join(f'coalesce({c}, 0) AS {c}' for c in COUNTERS)}
+    "report_envelopes": CLUSTERS + ENVELOPES + f""" SELECT CAST(r AS VARCHAR) AS report_id, coalesce(total_failures, 0) AS total_failures, coalesce(total_clusters, 0) AS total_clusters, coalesce(listed, '') AS listed, {', '.join(f'coalesce({c}, 0) AS {c}' for c in COUNTERS)}
 FROM range(0, 60) t(r) LEFT JOIN listed ON listed.report_id = CAST(r AS VARCHAR) LEFT JOIN summed ON summed.report_id = CAST(r AS VARCHAR)""",
+    "triage_reports": BACK + ENVELOPES + f" SELECT report_id, total_failures, total_clusters, listed, {', '.join(COUNTERS)} FROM listed JOIN summed USING (report_id)",
+    "groups_at_0_60": led(0.60), "groups_at_0_75": led(0.75), "groups_at_0_87": led(0.87),
     "scenario_keys": "SELECT event_id AS failure_idx, CASE WHEN event_id % 6 = 0 THEN '' WHEN event_id % 3 = 0 THEN tc ELSE sc END AS in_report, CASE WHEN event_id % 6 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN tc ELSE sc END AS single FROM (SELECT event_id, 'TC-' || CAST(event_id % 97 AS VARCHAR) AS tc, 'Scenario ' || event_type AS sc FROM events)",
     "report_files": FAILURES + f" SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY failure_idx) - 1 AS failure_idx, test_case_id, scenario_name, {collapse('failed_step_line')} AS failed_step_line, coalesce(error_message, '') AS error_message, '' AS feature_name, '' AS console_logs FROM failures",
     "failure_files": FAILURES + f" SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY failure_idx) - 1 AS failure_idx, {', '.join(S.FAILURE_FIELDS)} FROM failures",

@@ -310,7 +310,7 @@ def typed_requests(spark, d):
 
 def triage_reports(spark, d):
     out = J.triage_reports(R.render_reports(X.failures(spark, d)), current(spark, d))
-    return out["envelopes"].select("report_id", "total_failures", "total_clusters", F.to_json("summary").alias("summary"))
+    return shown(out["envelopes"])
 
 
 def triage_failures(spark, d):
@@ -375,7 +375,7 @@ def compacted_feedback(spark, d):
 
 QUERIES = {
     "group_metrics": group_metrics, "components": components, "groups": groups, "groups_at_0_87": groups_at(0.87), "groups_at_0_95": groups_at(0.95),
-    "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "pair_totals": pair_totals, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
+    "groups_at_0_60": groups_at(0.60), "groups_at_0_75": groups_at(0.75), "groups_at_1_1": groups_at(1.1), "pair_scores": pair_scores, "pair_totals": pair_totals, "failure_ids": failure_ids, "feedback_fields": feedback_fields,
     "feedback_current": feedback_current, "compacted_feedback": compacted_feedback, "effective_labels": effective_labels, "match_history": match_history, "legacy_aliases": legacy_aliases, "pending": pending,
     "resolve_repeats": resolve_repeats, "match_across_reports": match_across_reports, "reused_responses": reused_responses, "corrections": corrections,
     "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "written_envelopes": written_envelopes, "exported_feedback": exported_feedback, "scenario_keys": scenario_keys,
