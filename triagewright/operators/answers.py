@@ -242,8 +242,8 @@ def call_quantiles(sketches: DataFrame) -> DataFrame:
     long = sketches.select("model", "vision", F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("sketch")) for c in MEASURES])))
     merged = long.groupBy("model", "vision", "measure").agg(F.reduce(F.collect_list("sketch"), F.lit(None).cast("binary"), merge).alias("sketch"))
     some = merged.where(F.kll_sketch_get_n_bigint("sketch") > 0)
-    q = F.explode(F.array(*[F.lit(x) for x in QUANTILES])).alias("q")
-    return some.select("model", "vision", "measure", "sketch", q).select("model", "vision", "measure", "q", F.kll_sketch_get_quantile_bigint("sketch", F.col("q")).alias("value"))
+    each = F.array(*[F.struct(F.lit(q).alias("q"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)).alias("value")) for q in QUANTILES])
+    return some.select("model", "vision", "measure", F.inline(each))
 
 
 def rule_triage(requests: DataFrame) -> DataFrame:
