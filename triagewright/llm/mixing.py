@@ -121,6 +121,11 @@ def places(slots: list[int]) -> tuple:
     return has, place
 
 
+def once(c: Column) -> Column:
+    """c, worked out once a row: the optimizer writes a column out again at every use of it, filters too, but not through a generator."""
+    return F.explode(F.array(c))
+
+
 def posteriors(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' kept columns (all but the text, if not given) with n_tokens (words) and p: the domains' probabilities, in the model's order."""
     keep = keep if keep is not None else [c for c in docs.columns if c not in (text, "n_tokens", "p")]
@@ -135,7 +140,7 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text", keep: list[str]
     total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
     p = lambda w: let(let(let(telling(w), scores), soft), lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
     found = let(words(held), lambda w: F.struct(F.size(w).cast("long").alias("n"), p(w).alias("p")))
-    return docs.select(*map(common.quoted, keep), found.alias("_found")).select(*map(common.quoted, keep), F.col("_found.n").alias("n_tokens"), F.col("_found.p").alias("p"))
+    return docs.select(*map(common.quoted, keep), once(found).alias("_found")).select(*map(common.quoted, keep), F.col("_found.n").alias("n_tokens"), F.col("_found.p").alias("p"))
 
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
@@ -195,7 +200,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str
     rows = common.packed(docs.select(*map(common.quoted, dict.fromkeys([*columns, key, text]))), without=() if keep_text else (text,), text=common.quoted(text), spread=spread)
     slim = common.written(posteriors(rows, model, keep=[] if keep_text else ["doc", "spread"]), "posteriors")
     steps = solve(slim.select("n_tokens", "p"), [float(targets.get(n, 0.0)) for n in names], rounds)
-    exact = (posteriors(rows, model, keep=["doc", "spread"]) if keep_text else slim).withColumn("rate", rate(F.col("p"), steps))
+    exact = (posteriors(rows, model, keep=["doc", "spread"]) if keep_text else slim).withColumn("rate", once(rate(F.col("p"), steps)))
     copies = (F.floor("rate") + (F.col("spread") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     return exact.select(*common.unpacked(columns), "n_tokens", F.map_from_arrays(F.lit(names), F.col("p")).alias("posterior"), "rate", copies.alias("copies"))
 
