@@ -197,7 +197,8 @@ fold AS (
   FROM (SELECT *, NOT forced AND has AND c AND (hash IS NULL OR (s AND coalesce(h = hash, false))) AS reuse FROM (
     SELECT r.failure_id, r.rn, r.failure_idx, r.forced, r.hash, r.c AS mine, f.own, f.has OR old AS has, CASE WHEN old THEN r.o_c ELSE f.c END AS c, CASE WHEN old THEN r.o_s ELSE f.s END AS s, CASE WHEN old THEN r.o_h ELSE f.h END AS h,
       CASE WHEN old THEN r.legacy_id ELSE f.hit END AS hit
-    FROM (SELECT f.*, r AS r, NOT f.has AND NOT r.forced AND r.o_has AS old FROM fold f JOIN req r ON r.failure_id = f.failure_id AND r.rn = f.rn + 1) f)))"""
+    FROM (SELECT f.*, r AS r, NOT f.has AND NOT r.forced AND r.o_has AS old FROM fold f JOIN req r ON r.failure_id = f.failure_id AND r.rn = f.rn + 1) f))),
+askers AS (SELECT failure_id, hash, arg_min(error_message, rn) AS error_message, arg_min(failed_step_line, rn) AS failed_step_line FROM req GROUP BY failure_id, hash)"""
 
 
 HELD = f"(SELECT *, coalesce(human_classification, {filled('ai_classification')}, 'UNKNOWN') AS h_label FROM now)"
@@ -209,8 +210,8 @@ def settled(rows: str, order: str) -> str:
     return folded(rows, order) + f""",
 told AS (
   SELECT f.failure_idx, f.failure_id, f.origin, f.source, r.first_idx % 130 - 10 AS fresh_confidence, h.confidence AS old_confidence, e.human_classification AS human, coalesce(h.human_classification, {filled('h.ai_classification')}, 'UNKNOWN') AS old_label,
-    {OLD_CLASS} AS old_class, {guard('a.classification', joined('r.error_message', 'r.failed_step_line', *[f'a.{c}' for c in RECORD]))} AS fresh, a.*
-  FROM fold f JOIN req r ON r.failure_idx = f.failure_idx JOIN responses a ON a.failure_idx = r.first_idx LEFT JOIN now e ON e.failure_id = f.failure_id
+    {OLD_CLASS} AS old_class, {guard('a.classification', joined('z.error_message', 'z.failed_step_line', *[f'a.{c}' for c in RECORD]))} AS fresh, a.*
+  FROM fold f JOIN req r ON r.failure_idx = f.failure_idx JOIN responses a ON a.failure_idx = r.first_idx LEFT JOIN askers z ON z.failure_id = f.failure_id AND z.hash IS NOT DISTINCT FROM f.h LEFT JOIN now e ON e.failure_id = f.failure_id
     LEFT JOIN {HELD} h ON h.failure_id = f.hit WHERE f.rn > 0),
 responded AS (
   SELECT failure_idx, failure_id, origin, source, CASE origin WHEN 'HISTORY' THEN old_class WHEN 'ASKED' THEN coalesce(human, fresh) ELSE {guard('again', joined(*RECORD))} END AS classification,
@@ -222,7 +223,7 @@ NETWORK_CUES = ("err_name_not_resolved", "dns", "refused to connect", "err_conne
 #: Reports read back from their markup: no feature, the error as stack; rules answer in place of a model, and never saw a picture.
 BACK = NOW.replace("WITH ", "WITH RECURSIVE ", 1) + f", back AS (SELECT * REPLACE ({collapse('failed_step_line')} AS failed_step_line, '' AS feature_name, error_message AS stack_trace) FROM failures), " + HEADS.removeprefix(FAILURES + ", ").replace("FROM failures", "FROM back")
 BACK += folded("SELECT representative_idx AS failure_idx, false AS forced, report_id AS of_report, group_idx AS of_group FROM heads", "q.of_report, q.of_group", "true", "false", "false")
-BACK += f""", said AS (SELECT f.*, {joined('r.error_message', 'r.failed_step_line')} AS words FROM fold f JOIN req r USING (failure_idx)),
+BACK += f""", said AS (SELECT f.*, {joined('z.error_message', 'z.failed_step_line')} AS words FROM fold f LEFT JOIN askers z ON z.failure_id = f.failure_id AND z.hash IS NOT DISTINCT FROM f.h),
 ruled AS (SELECT *, CASE WHEN {cues('words', NETWORK_CUES)} THEN 'NETWORK_ISSUE' WHEN {cues('words', A.CONNECTION_CUES)} THEN 'ENVIRONMENT_ISSUE' WHEN {cues('words', A.LOCATOR_CUES)} AND {cues('words', A.VISIBLE_CUES)} THEN 'AUTOMATION_ISSUE' ELSE 'UNKNOWN' END AS rule FROM said),
 responded AS (
   SELECT f.failure_idx, f.origin, CASE WHEN f.origin = 'HISTORY' THEN {OLD_CLASS} WHEN f.origin = 'REPEAT' AND e.human_classification = 'APPLICATION_ISSUE' AND rule = 'AUTOMATION_ISSUE' THEN rule ELSE coalesce(e.human_classification, rule) END AS classification,
@@ -336,8 +337,8 @@ FROM range(0, 60) t(r) LEFT JOIN listed ON listed.report_id = CAST(r AS VARCHAR)
     "failure_files": FAILURES + f" SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY failure_idx) - 1 AS failure_idx, {', '.join(S.FAILURE_FIELDS)} FROM failures",
     "triage_requests": NOW.replace("WITH ", "WITH RECURSIVE ", 1) + settled("SELECT failure_idx, failure_idx % 17 = 0 AS forced FROM failures", "i.failure_idx") + " SELECT * FROM responded",
     "triage_failures": TRIAGED + " SELECT g.report_id, g.failure_idx, g.group_idx, t.failure_id, t.origin, t.source, t.classification, t.confidence FROM groups g JOIN heads h USING (report_id, group_idx) JOIN responded t ON t.failure_idx = h.representative_idx",
-    "triage_metrics": TRIAGED + f""", askers AS (SELECT t.failure_id, arg_min(h.report_id, (h.report_id, h.group_idx)) AS report_id FROM responded t JOIN heads h ON t.failure_idx = h.representative_idx WHERE origin = 'ASKED' GROUP BY t.failure_id),
-made AS (SELECT a.report_id, count(*) AS retries, count(*) FILTER (WHERE first_idx % 5 <> 0) AS text_calls, count(*) FILTER (WHERE first_idx % 5 = 0) AS vision_calls, CAST(sum(2 * (first_idx % 1000 + 50)) AS BIGINT) AS total_ms FROM askers a JOIN firsts USING (failure_id) GROUP BY a.report_id),
+    "triage_metrics": TRIAGED + f""", callers AS (SELECT t.failure_id, arg_min(h.report_id, (h.report_id, h.group_idx)) AS report_id FROM responded t JOIN heads h ON t.failure_idx = h.representative_idx WHERE origin = 'ASKED' GROUP BY t.failure_id),
+made AS (SELECT a.report_id, count(*) AS retries, count(*) FILTER (WHERE first_idx % 5 <> 0) AS text_calls, count(*) FILTER (WHERE first_idx % 5 = 0) AS vision_calls, CAST(sum(2 * (first_idx % 1000 + 50)) AS BIGINT) AS total_ms FROM callers a JOIN firsts USING (failure_id) GROUP BY a.report_id),
 each AS (SELECT report_id, count(*) AS failures, count(DISTINCT group_idx) AS groups, count(DISTINCT {SIGNATURE}) AS exact_groups FROM groups GROUP BY report_id)
 SELECT e.*, groups AS calls, failures - groups AS calls_avoided, coalesce(retries, 0) AS retries, coalesce(text_calls, 0) AS text_calls, coalesce(vision_calls, 0) AS vision_calls, coalesce(total_ms, 0) AS total_ms FROM each e LEFT JOIN made USING (report_id)""",
     "failure_records": FAILURES + " SELECT report_id, failure_idx, test_case_id AS test_id, scenario_name AS scenario, error_message AS error FROM failures WHERE CAST(report_id AS INT) % 2 = 0",
