@@ -148,16 +148,25 @@ def guarded(prefix: str, error: Column | None, step: Column | None) -> Column:
     return enforce_consistency(F.col(prefix + "classification"), [*texts, F.array_join(F.coalesce(prefix + "evidence", F.array().cast("array<string>")), "\n")])
 
 
+def judged(answers: DataFrame) -> DataFrame:
+    """The first two attempts of each id, with what they say: r.ok tells whether they parse."""
+    return answers.where("attempt <= 2").select("failure_id", "attempt", "raw_text", read_answer(extract_json(F.col("raw_text"))).alias("r"))
+
+
 def clean_answers(answers: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(responses, failures) from raw answers: of two attempts a request the first that parses; failures tell what was wrong.
 
     requests: (failure_id, error, failed_step, failure_image). A failure keeps the first and last 200 and the first 3,000 characters.
     """
-    judged = answers.where("attempt <= 2").select("failure_id", "attempt", "raw_text", read_answer(extract_json(F.col("raw_text"))).alias("r"))
     # min and max over all fields: whichever rows an id has more than one of, the same is chosen on every run
-    each = judged.groupBy("failure_id").agg(
+    each = judged(answers).groupBy("failure_id").agg(
         F.min(F.when(F.col("r.ok"), F.struct("attempt", "raw_text", "r"))).alias("best"), F.max(F.struct("attempt", "raw_text")).alias("last"), F.count("*").alias("attempts")
     )
+    return finished(each, requests)
+
+
+def finished(each: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(responses, failures) of ids with their best attempt (null if none parses), their last and their number of attempts."""
     asked = requests.groupBy("failure_id").agg(F.min(F.struct(F.col("error").alias("_error"), F.col("failed_step").alias("_step"), F.col("failure_image").alias("_image"))).alias("_asked"))
     chosen = each.where("best IS NOT NULL").select("failure_id", "best.attempt", *[F.col(f"best.r.{c}").alias(c) for c in COLUMNS])
     told = chosen.join(asked, "failure_id", "left").withColumn("screenshot_observation", fix_screenshot_text(F.col("screenshot_observation"), F.col("_asked._image")))

@@ -328,6 +328,17 @@ FROM said""",
 told AS (SELECT f.failure_id, f.failure_idx, q.e AS error_message, q.s AS failed_step_line, q.i AS image, r.* EXCLUDE (failure_idx) FROM firsts f JOIN asked USING (failure_id) JOIN responses r ON r.failure_idx = f.failure_idx)
 SELECT failure_id, CASE WHEN failure_idx % 5 IN (2, 3) THEN 2 ELSE 1 END AS attempt, {guard('classification', joined('error_message', 'failed_step_line', *RECORD))} AS classification, coalesce(severity, '') AS severity, confidence,
   CASE failure_idx % 5 WHEN 1 THEN 0 ELSE 2 END AS evidence, CASE WHEN image <> '' AND failure_idx % 3 <> 2 THEN {q(A.UNSEEN)} ELSE screenshot_observation END AS screenshot_observation FROM told""",
+    "explode_tag_soup": FAILURES + """, shown AS (SELECT report_id, failure_idx, CAST(failure_idx AS VARCHAR) AS n FROM failures),
+said AS (SELECT *, 'E: List<String> of <' || n || '> </div>' AS e, CASE WHEN failure_idx % 2 = 0 THEN ' shot' ELSE '' END AS shot FROM shown),
+told AS (SELECT *, 'go to ' || n || CASE failure_idx % 6 WHEN 4 THEN '' WHEN 3 THEN ' ' || e || ' at a.b' || shot WHEN 5 THEN ' ' || e || ' at a.b' || shot ELSE e || ' at a.b' || shot END AS line FROM said)
+SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY failure_idx) - 1 AS failure_idx, 'T' || n AS test_case_id, 'S' || n AS scenario_name, line AS failed_step_line,
+  e || chr(10) || 'at a.b' AS error_message, CASE WHEN failure_idx % 2 = 0 THEN 's' || n ELSE '' END AS failure_image, '1. [FAIL] ' || line || chr(10) || '2. [INFO] end' AS all_steps
+FROM told""",
+    "stream_answers": ANSWERED + f""", responses AS ({X.RESPONSES_SQL}), asked AS (SELECT failure_id, min({{'e': error_message, 's': failed_step_line, 'i': failure_image}}) AS q FROM ids GROUP BY failure_id),
+told AS (SELECT f.failure_id, f.failure_idx, q.e AS error_message, q.s AS failed_step_line, q.i AS image, r.* EXCLUDE (failure_idx) FROM firsts f JOIN asked USING (failure_id) JOIN responses r ON r.failure_idx = f.failure_idx)
+SELECT failure_id, CASE WHEN failure_idx % 5 IN (2, 3) THEN 2 ELSE 1 END AS attempts, {guard('classification', joined('error_message', 'failed_step_line', *RECORD))} AS classification, coalesce(severity, '') AS severity,
+  CASE WHEN image <> '' AND failure_idx % 3 <> 2 THEN {q(A.UNSEEN)} ELSE screenshot_observation END AS screenshot_observation, NULL AS error FROM told WHERE failure_idx % 5 NOT IN (2, 3) OR failure_idx % 4 <> 0
+UNION ALL SELECT failure_id, 1, NULL, NULL, NULL, CASE failure_idx % 5 WHEN 2 THEN 'no JSON object' ELSE 'not a JSON object' END FROM firsts WHERE failure_idx % 5 IN (2, 3) AND failure_idx % 4 = 0""",
     "report_envelopes": CLUSTERS + ENVELOPES + f""" SELECT CAST(r AS VARCHAR) AS report_id, coalesce(total_failures, 0) AS total_failures, coalesce(total_clusters, 0) AS total_clusters, coalesce(listed, '') AS listed, {', '.join(f'coalesce({c}, 0) AS {c}' for c in COUNTERS)}
 FROM range(0, 60) t(r) LEFT JOIN listed ON listed.report_id = CAST(r AS VARCHAR) LEFT JOIN summed ON summed.report_id = CAST(r AS VARCHAR)""",
     "triage_reports": BACK + ENVELOPES + f" SELECT report_id, total_failures, total_clusters, listed, {', '.join(COUNTERS)} FROM listed JOIN summed USING (report_id)",

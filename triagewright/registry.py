@@ -20,6 +20,7 @@ from triagewright.operators import store
 from triagewright.plans import jobs as J
 from triagewright.plans.shared import shared_path
 from triagewright.sources import reports as R
+from triagewright.streaming import answers as SA
 from triagewright.streaming import jobs as ST
 
 
@@ -294,6 +295,23 @@ def explode_markup(spark, d):
     return R.explode_reports(html).select("report_id", "failure_idx", "test_case_id", "scenario_name", "failed_step_line", "error_message", "failure_image", "all_steps")
 
 
+def explode_tag_soup(spark, d):
+    """Reports in bad markup: paragraphs and cells that nothing closes, formatting closed in the wrong order or left open, end tags without start, tags in an area, scripts among the text."""
+    f, i = X.failures(spark, d), F.col("failure_idx")
+    n = i.cast("string")
+    forms = (
+        "<p>go<p>to #", "<b>go <i>to </b>#</i>", "<script>if (a < b) { go() }</script>go</em> to</br>#", "<table><tr><td>go<td>to<tr><td>#</table>",
+        "<span>go <div>to</span> #</div></span><hr>", "<dl><dt>go<dd>to<dt>#</dl><style>p > b {}</style>",
+    )
+    body = F.replace(F.element_at(F.array(*map(F.lit, forms)), (i % len(forms) + 1).cast("int")), F.lit("#"), n)
+    area = F.concat(F.lit('<textarea class="code-block">E: List<String> of &lt;'), n, F.lit("> </div>\nat a.b</textarea>"))
+    shot = F.when(i % 2 == 0, F.concat(F.lit('<div class="screenshots"><a href="s'), n, F.lit('">shot</div>'))).otherwise("")
+    item = F.concat(F.lit('<li class="test-item" status="fail" test-id="T'), n, F.lit('"><div class="test-detail"><em class="name">S'), n, F.lit('<p>not</em>it</p></div><div class="step fail-bg">'), body, area, shot, F.lit('</div><div class="step info">'), F.when(i % 2 == 0, "").otherwise("<b>"), F.lit("end</div>"))
+    rows = f.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("failure_idx", item.alias("item")))).alias("items"))
+    html = rows.select("report_id", F.concat(F.lit("<ul>"), F.array_join("items.item", "</a></b>\n"), F.lit("</ul>")).alias("html"))
+    return R.explode_reports(html).select("report_id", "failure_idx", "test_case_id", "scenario_name", "failed_step_line", "error_message", "failure_image", "all_steps")
+
+
 def failure_records(spark, d):
     f = X.failures(spark, d)
     kinds = f.select("report_id").distinct().withColumn("report_type", F.when(F.expr("CAST(report_id AS INT) % 2 = 0"), "extent").otherwise("OTHER"))
@@ -344,6 +362,20 @@ def stream_triage(spark, d):
     return spark.read.parquet(f"{at}/matched").select("failure_idx", "failure_id", "matched_by", "reusable", "source")
 
 
+def stream_answers(spark, d):
+    """Answers that come in two waves, some second attempts before the first and some never; the stream starts again for each wave, and for the timers."""
+    at, rows = shared_path(spark, "stream-answers"), answer_rows(spark, d).where("attempt = 1 OR prompt_chars % 4 <> 0")
+    early = (F.col("prompt_chars") % 3 == 0) == (F.col("attempt") == 2)
+    columns = "failure_id string, attempt int, raw_text string"
+    for wave in (rows.where(early), rows.where(~early), rows.select("*").limit(0)):
+        wave.select("failure_id", F.col("attempt").cast("int").alias("attempt"), "raw_text").write.mode("append").parquet(f"{at}/in")
+        SA.stream_answers(spark.readStream.schema(columns).parquet(f"{at}/in"), f"{at}/out", f"{at}/state", delay_ms=1).awaitTermination()
+    told, bad = SA.settled_answers(spark, f"{at}/out", requests(spark, d))
+    none = F.lit(None).cast("string")
+    good = told.select("failure_id", F.col("attempt").cast("long").alias("attempts"), "classification", "severity", "screenshot_observation", none.alias("error"))
+    return good.unionByName(bad.select("failure_id", "attempts", none.alias("classification"), none.alias("severity"), none.alias("screenshot_observation"), "error"))
+
+
 def stream_dedupe(spark, d):
     at = shared_path(spark, "stream-dedupe")
     rows = H.with_ids(R.to_requests(streamed(spark, d))).select("failure_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("failure_idx") % 600).alias("event_time"))
@@ -381,8 +413,8 @@ QUERIES = {
     "cluster_failures": cluster_failures, "summarize": summarize, "report_totals": report_totals, "report_envelopes": report_envelopes, "written_envelopes": written_envelopes, "exported_feedback": exported_feedback, "scenario_keys": scenario_keys,
     "report_files": report_files, "failure_files": failure_files, "prompts": prompts,
     "guardrail": guardrail, "validate_response": validate_response, "rule_triage": rule_triage, "clean_answers": clean_answers, "failed_answers": failed_answers,
-    "model_call_stats": model_call_stats, "explode_reports": explode_reports, "explode_pages": explode_pages, "explode_markup": explode_markup, "failure_records": failure_records,
+    "model_call_stats": model_call_stats, "explode_reports": explode_reports, "explode_pages": explode_pages, "explode_markup": explode_markup, "explode_tag_soup": explode_tag_soup, "failure_records": failure_records,
     "typed_requests": typed_requests, "triage_reports": triage_reports, "triage_failures": triage_failures, "triage_metrics": triage_metrics, "triage_requests": triage_requests,
-    "stream_triage": stream_triage, "stream_dedupe": stream_dedupe, "stream_corrections": stream_corrections,
+    "stream_triage": stream_triage, "stream_answers": stream_answers, "stream_dedupe": stream_dedupe, "stream_corrections": stream_corrections,
 }
 ORACLE_SQL = O.ORACLE_SQL

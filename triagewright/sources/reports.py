@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,45 +12,30 @@ from pyspark.sql.types import StringType
 
 from triagewright import schemas as S
 from triagewright.functions import text as T
+from triagewright.sources.markup import VOID, Element, Markup
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 STEPS = "array<struct<status:string,text:string>>"
 RAW = "report_id string, failure_idx long, test_case_id string, scenario_name string, failed_step_line string, error_message string, failure_image string, video_url string, steps " + STEPS
 
 
-#: Elements whose text stands apart from what is around them.
-BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul video".split())
-
-
-class Reader(HTMLParser):
+class Reader(Markup):
     """Failed tests of one report, collected while its tags go by. Tests and steps may stand inside one another; what is in the inner one is in the outer one too."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, set[str]]] = []
+        super().__init__()
         self.tests: list[dict] = []
         self.inner: list[tuple[int, dict]] = []  # open tests, with their depth
         self.steps: list[tuple[int, dict]] = []  # open steps
-        self.texts: list[tuple[int, list[str]]] = []  # open texts that are collected
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        classes = set(a.get("class", "").split())
-        if tag == "li":  # another item ends an open one of the same list
-            names = [t for t, _ in self.open]
-            last = max((i for i, t in enumerate(names) if t == "li"), default=-1)
-            if last >= 0 and not {"ul", "ol"} & set(names[last:]):
-                self.handle_endtag("li")
-        if tag in BLOCKS:
-            self.apart()
-        depth = len(self.open)
+
+    def begin(self, element: Element) -> None:
+        depth, tag, a, classes = len(self.open), element.tag, element.attrs, element.classes
         if tag == "li" and "test-item" in classes:
             test = {"status": a.get("status", ""), "id": a.get("test-id", ""), "name": None, "steps": []}
             self.tests.append(test)
             self.inner.append((depth, test))
         elif self.inner:
             for at, test in self.inner:
-                if "name" in classes and test["name"] is None and any("test-detail" in c for _, c in self.open[at:]):
+                if "name" in classes and test["name"] is None and self.under("test-detail", at):
                     test["name"] = self.text(depth, tag)
             for at, step in self.steps:
                 self.inside(step, at, depth, tag, a, classes)
@@ -60,8 +44,15 @@ class Reader(HTMLParser):
                 for _, test in self.inner:
                     test["steps"].append(step)
                 self.steps.append((depth, step))
-        if tag not in VOID:
-            self.open.append((tag, classes))
+
+    def end(self) -> None:
+        for stack in (self.steps, self.inner):
+            while stack and stack[-1][0] >= len(self.open):
+                stack.pop()
+
+    def under(self, part: str, at: int) -> bool:
+        """Whether an open element from that depth on has a class with this in its name."""
+        return any(part in c for e in self.open[at:] if not e.gone for c in e.classes)
 
     def text(self, depth: int, tag: str) -> list[str]:
         found: list[str] = []
@@ -69,42 +60,16 @@ class Reader(HTMLParser):
             self.texts.append((depth, found))
         return found
 
-    def apart(self) -> None:
-        for _, found in self.texts:
-            found.append(" ")
-
     def inside(self, step: dict, at: int, depth: int, tag: str, a: dict, classes: set[str]) -> None:
         if tag == "span" and step["span"] is None:
             step["span"] = self.text(depth, tag)
         elif tag == "textarea" and "code-block" in classes and step["error"] is None:
             step["error"], step["value"] = self.text(depth, tag), a.get("value", "")
-        elif step["image"] is None and (tag == "img" or tag == "a" and any("screenshots" in c for _, c in self.open[at:])):
+        elif step["image"] is None and (tag == "img" or tag == "a" and self.under("screenshots", at)):
             step["image"] = a["src"] if "src" in a else a.get("href", "")
-        elif tag == "source" and step["video"] is None and any(t == "video" for t, _ in self.open[at:]):
+        elif tag == "source" and step["video"] is None and any(e.tag == "video" for e in self.open[at:]):
             step["video"] = a.get("src", "")
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        if all(t != tag for t, _ in self.open):
-            return
-        while True:
-            last = self.open.pop()[0]
-            if last in BLOCKS:
-                self.apart()
-            if last == tag:
-                break
-        for stack in (self.texts, self.steps, self.inner):
-            while stack and stack[-1][0] >= len(self.open):
-                stack.pop()
-
-    def handle_data(self, data: str) -> None:
-        for _, found in self.texts:
-            found.append(data)
-
 
 #: Which class of a step wins.
 STATUS = (("pass-bg", "PASS"), ("fail-bg", "FAIL"), ("error-bg", "ERROR"), ("skip-bg", "SKIP"), ("warning-bg", "WARN"))
