@@ -12,6 +12,7 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSE_P = HEADINGS | set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr listing main menu nav ol p pre search section summary ul".split())
 SPECIAL = CLOSE_P | VOID | set("applet body button caption colgroup dd dt frame frameset head html iframe keygen li marquee noembed noframes noscript object plaintext script select style table tbody td template textarea tfoot th thead title tr xmp".split())
 LIMITS = set("applet caption html marquee object table td template th".split())
+BUTTON, LISTS, ITEM_LIMITS = LIMITS | {"button"}, LIMITS | {"ol", "ul"}, SPECIAL - {"address", "div", "p"}
 CELLS, SECTIONS = {"td", "th", "caption"}, {"tbody", "thead", "tfoot"}
 MARKED = CELLS | {"applet", "marquee", "object", "template"}
 IMPLIED = set("dd dt li optgroup option p rb rp rt rtc".split())
@@ -74,7 +75,7 @@ class Markup(HTMLParser):
                 if self.open and self.open[-1].tag == kind:
                     self.pop_to(len(self.open) - 1)
         if (tag in CLOSE_P or tag in ("li", "dd", "dt", "plaintext", "xmp") or tag == "table" and not self.quirks) and tag not in PARTS:
-            self.close_tag("p", LIMITS | {"button"})
+            self.close_tag("p", BUTTON)
         if tag in HEADINGS and self.open and self.open[-1].tag in HEADINGS:
             self.pop_to(len(self.open) - 1)
         if tag == "button":
@@ -106,7 +107,7 @@ class Markup(HTMLParser):
         if tag == "br":
             self.apart()
         elif tag == "p":
-            if not self.close_tag("p", LIMITS | {"button"}):
+            if not self.close_tag("p", BUTTON):
                 self.apart()
         elif tag in FORMATTING:
             self.end_formatting(tag)
@@ -121,7 +122,7 @@ class Markup(HTMLParser):
             if at is not None:
                 self.pop_to(at)
         elif tag in CLOSE_P or tag in MARKED or tag in ("li", "dd", "dt", "button"):
-            self.close_tag(tag, LIMITS | ({"ol", "ul"} if tag == "li" else set()))
+            self.close_tag(tag, LISTS if tag == "li" else LIMITS)
         else:
             self.end_other(tag)
 
@@ -173,13 +174,13 @@ class Markup(HTMLParser):
         return None
 
     def close_tag(self, tag: str, limits: set[str]) -> bool:
-        at = self.within({tag}, limits - {tag})
+        at = self.within({tag}, limits)
         if at is not None:
             self.pop_to(at)
         return at is not None
 
     def close_item(self, tags: set[str]) -> None:
-        at = self.within(tags, SPECIAL - tags - {"address", "div", "p"})
+        at = self.within(tags, ITEM_LIMITS)
         if at is not None:
             self.pop_to(at)
 
@@ -191,7 +192,7 @@ class Markup(HTMLParser):
             self.pop_to(at)
 
     def end_other(self, tag: str) -> None:
-        at = self.within({tag}, SPECIAL - {tag})
+        at = self.within({tag}, SPECIAL)
         if at is not None:
             self.pop_to(at)
 
