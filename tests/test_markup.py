@@ -1,5 +1,6 @@
 """Golden reports: bad markup, and the failed tests that a browser's tree of it has, worked out by hand."""
 
+import pyarrow as pa
 import pytest
 
 from triagewright.sources import reports as R
@@ -84,3 +85,26 @@ def test_tables_and_paragraphs_by_doctype():
 @pytest.mark.parametrize("html", ["", "<", "</", "<li", "<b><i></b></i>", "</table></td></li>", "<a><a><a>", "<table><a><td></a><table></td>", "<nobr><nobr>", "<p></p></p><br></br><button><button>", "<b>" * 3000 + "<p>" * 50 + "</b>" * 3000 + "x"])
 def test_odd_pages(html):
     assert read(html) == [] and read(html + "</b></p></table></button></a>" + "<ul>" + step("x")) != []
+
+
+def test_pages_in_pieces_are_read_as_whole_ones(monkeypatch):
+    """Wherever a page is cut, and however much a reader takes at a time, also inside characters, tags, comments and areas; tests are told once nothing can change them."""
+    page = "<!doctype html><ul>" + step("<b>é &amp; one<p>two</b>&lt;x") + step('<!-- <li> --><textarea class="code-block">E: <b> &amp; \n</textarea>', "<section>") + ITEM.format("A") + '<section><div class="step fail-bg">a</div>' + ITEM.format("B") + '<div class="step error-bg">b</div></section>' + step("<script>if (a < b) {}</script>last") * 3
+    want, data = list(R.failed_tests(page)), page.encode()
+    assert len(want) > 5
+    for chunk in (1, 7, 1 << 16):
+        monkeypatch.setattr(R, "CHUNK", chunk)
+        for size in (1, 2, 5, 31, 200):
+            batches = [pa.RecordBatch.from_pylist([{"report_id": r, "first": i == 0, "piece": data[i : i + size]} for r in ("x", "x", "y") for i in range(0, len(data), size)])]
+            got = [t for b in R.read_pages(batches) for t in b.to_pylist()]
+            assert [(t.pop("report_id"), t.pop("failure_idx")) for t in got] == [(r, i) for r in ("x", "x", "y") for i in range(len(want))] and got == want * 3
+
+
+def test_a_long_page_is_held_in_parts_alone():
+    """Tests are given as the page goes by, and what the reader keeps doesn't grow with the page."""
+    one, reader, most, told = step("x" * 500).encode(), R.Reader(), 0, 0
+    for _ in range(5_000):
+        reader.add(one)
+        told += len(reader.done())
+        most = max(most, reader.length + len(reader.rawdata) + len(reader.tests))
+    assert told > 4_500 and most < 2 * R.CHUNK and told + len(reader.last()) == 5_000
