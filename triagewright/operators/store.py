@@ -1,6 +1,6 @@
 """The feedback log as a store: open days of events beside a compacted table, so that reading doesn't grow with the days gone by.
 
-    log/day=YYYY-MM-DD/bucket=B/   events, by the day they are about and a hash of their id
+    log/day=YYYY-MM-DD/            events, by the day they are about; a day's are dealt over PARTS files an append, by ranges of bucket (a hash of their id)
     table/version=N/bucket=B/      the events that still matter of all days that were closed by then
     commits/version=N/             (file, day): what version N was made of; a version counts once this is whole
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from triagewright import schemas as S
 from triagewright.operators import history as H
 
-BUCKETS = 64
+BUCKETS, PARTS = 64, 4
 ROWS = S.FEEDBACK_LOG + ", bucket int"
 
 
@@ -41,7 +41,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def append(events: DataFrame, path: str) -> None:
     """Adds events to the log. The same event twice changes nothing."""
     rows = H.evolve_feedback(H.usable(events)).withColumns({"day": F.to_date("event_time"), "bucket": bucket_of(F.col("failure_id"))})
-    rows.repartition("day", "bucket").write.mode("append").partitionBy("day", "bucket").parquet(f"{path}/log")
+    part = F.floor(F.col("bucket") * PARTS / BUCKETS)
+    rows.repartition("day", part).sortWithinPartitions("day", "bucket").write.mode("append").partitionBy("day").parquet(f"{path}/log")
 
 
 def version(spark: SparkSession, path: str) -> int:
