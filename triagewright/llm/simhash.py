@@ -175,6 +175,21 @@ def near_classes(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BIT
     return prints.join(joined.join(named, "root").select("fingerprint", "component_id"), "fingerprint")
 
 
+def near_deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the least key (null keys last); of rows of equal key and text one."""
+    held = F.coalesce(common.quoted(text), F.lit(""))
+    named = {"key": common.quoted(key), "ha": F.xxhash64(held), "hb": F.xxhash64(F.lit(7), held)}
+    prints = fingerprints(docs.select(*[c.alias(n) for n, c in named.items()], held.alias("text")))
+    best = F.struct(F.col("key").isNull().alias("none"), "key", "ha", "hb")
+    kinds = common.written(prints.groupBy("fingerprint").agg(F.min(best).alias("best")), "kinds")
+    roots = components(links(kinds, max_bits), "a", "b")
+    each = kinds.join(roots, kinds.fingerprint == roots.node, "left").select("best", F.coalesce("root", "fingerprint").alias("root"))
+    kept = each.groupBy("root").agg(F.min("best").alias("b")).select(F.col("b.key").alias("k"), F.col("b.ha").alias("a"), F.col("b.hb").alias("b"))
+    rows = common.packed(docs, **named)
+    rows = rows.join(kept, (F.col("ha") == F.col("a")) & (F.col("hb") == F.col("b")) & F.col("key").eqNullSafe(F.col("k")))
+    return rows.dropDuplicates(["a", "b", "k"]).select(*common.unpacked(docs.columns))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = common.written(fingerprints(docs), "prints")
