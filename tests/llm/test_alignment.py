@@ -118,3 +118,22 @@ def test_query_on_the_smallest_tables(spark):
     for r in A.align(table).collect():
         assert tuple(r)[1:] == (*want[r.doc_id][:6], want[r.doc_id][7])
     assert A.op12_token_alignment(spark, "/root/testdata/sf0.001").count() == len(docs)
+
+
+def test_each_text_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(row):
+        seen.add(1)
+        return row
+
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(TEXTS)), 3).map(told), "doc_id long, text string")
+    assert A.align(docs, pairs=5).count() == len(TEXTS) == seen.value
+
+
+def test_links_of_many_ids(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    want = sorted(map(tuple, A.align(docs, pairs=5).collect()))
+    assert A.link_type(model_path(A.A_MODEL), model_path(A.B_MODEL)) == "u4"
+    monkeypatch.setattr(A, "link_type", lambda *_: "i8")
+    assert sorted(map(tuple, A.align(docs, pairs=5).collect())) == want

@@ -6,8 +6,9 @@ doubled until none changes, so each ends at the last token of its component. Com
 cut the text into them. A link is a pair of overlapping tokens; links between two ids are counted by documents.
 
 Texts go by units, split at blanks between two other characters, which no token spans (checked when the files are loaded); a worker keeps the tokens of
-recent units. Units of Latin letters go through a quicker library with A's vocabulary and merges, if these allow it. Every text is read twice: for the counts, summed up by task, then to weigh its links. Counts of frequent pairs lie in a
-broadcast table of bounded size; what a text links besides leaves as (row, pair, times) and is joined, so no result depends on that size.
+recent units. Units of Latin letters go through a quicker library with A's vocabulary and merges, if these allow it. Every text is read once: its links are written, sorted, 4 bytes each (8 where ids are many). They are read back for the counts, summed up by
+task, then to be weighed. Counts of frequent pairs lie in a broadcast table of bounded size; what a text links besides leaves as (row, pair, times) and is
+joined, so no result depends on that size.
 
 Texts that are null or empty, or whose tokens don't spell the text (sentencepiece reads U+2581 as a blank), have no tokens: zeros, and an empty
 string for the hash. Repeated rows count each, as documents. Columns of docs that are named like added ones are dropped, and so is the text.
@@ -196,13 +197,29 @@ class Aligned:
 
     b_vocabulary = 0
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, pair, times): which ids are linked in each text, in order."""
+    def links(self, kind: str) -> list[bytes]:
+        """The pairs of ids that are linked in each text, as numbers of that type: in order, each as often as it is linked."""
         pair = self.a_ids[self.link_a].astype(np.int64) * self.b_vocabulary + self.b_ids[self.link_b]
         key = (self.link_text.astype(np.int64) << 40) | pair
         key.sort()
-        start = T.runs(key)
-        return key[start] >> 40, key[start] & ((1 << 40) - 1), np.diff(np.r_[start, len(key)])
+        raw, bounds = (key & ((1 << 40) - 1)).astype(kind).tobytes(), np.dtype(kind).itemsize * np.r_[0, np.cumsum(self.link_count)]
+        return [raw[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def link_type(a_path: str, b_path: str) -> str:
+    """The type of number that holds every pair of ids."""
+    from tokenizers import Tokenizer
+
+    pairs = (max(Tokenizer.from_file(a_path).get_vocab().values()) + 1) * encoder(b_path).get_piece_size()
+    return "u4" if pairs <= 1 << 32 else "i8"
+
+
+def pairs_of(links: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, pair, times): which ids are linked in each text, in order. links: as Aligned.links() gives them."""
+    pair = np.frombuffer(b"".join(links), kind).astype(np.int64)
+    text = np.repeat(np.arange(len(links)), np.array([len(x) for x in links], np.int64) // np.dtype(kind).itemsize)
+    start = T.runs((text << 40) | pair)
+    return text[start], pair[start], np.diff(np.r_[start, len(pair)])
 
 
 def aligned(pair: Pair, texts: list[str | None]) -> Aligned:
@@ -225,15 +242,15 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def link_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """(pair, a, b, n, best): ids that are linked, in how many rows of docs, and whether no other b is linked with that a in more."""
+def link_counts(linked: DataFrame, kind: str, width: int) -> DataFrame:
+    """(pair, a, b, n, best): ids that are linked, in how many rows, and whether no other b is linked with that a in more. linked: (links); width: b's ids."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, parts, held = Pair(a_path, b_path), [], 0
+        parts, held = [], 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in blocks(texts):
-                _, found, _ = aligned(pair, texts[lo:hi]).pairs()
+            links = batch.column(0).to_pylist()
+            for lo, hi in blocks(links):
+                _, found, _ = pairs_of(links[lo:hi], kind)
                 parts.append(T.summed(found, np.ones(len(found), np.int64)))
                 held += len(parts[-1][0])
             if held > HELD:
@@ -244,9 +261,9 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -
         if parts:
             yield from batches_of(list(T.summed(*(np.concatenate(x) for x in zip(*parts)))), ["pair", "n"])
 
-    width = F.lit(encoder(b_path).get_piece_size()).cast("long")
-    summed = docs.select(F.col(text)).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    summed = common.written(summed.select("pair", F.floor(F.col("pair") / width).alias("a"), (F.col("pair") % width).alias("b"), "n"), "links")
+    by = F.lit(width).cast("long")
+    summed = linked.select("links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    summed = common.written(summed.select("pair", F.floor(F.col("pair") / by).alias("a"), (F.col("pair") % by).alias("b"), "n"), "links")
     most = summed.groupBy("a").agg(F.max("n").alias("most"))
     return summed.join(most, "a").select("pair", "a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -256,36 +273,47 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     spark = docs.sparkSession
     common.small_batches(spark)
     a_path, b_path = a_path or model_path(A_MODEL), b_path or model_path(B_MODEL)
-    counts = common.written(link_counts(docs, a_path, b_path, text), "pairs")
-    top = frequent(counts.withColumn("m", F.col("n")), pairs).select("pair", "n", "best").toArrow().sort_by("pair")
-    told = spark.sparkContext.broadcast((top["pair"].to_numpy(), top["n"].to_numpy(), top["best"].to_numpy()))
+    kind, width = link_type(a_path, b_path), encoder(b_path).get_piece_size()
     keep = [c for c in docs.columns if c not in (text, *ADDED, "groups")]
     packed = common.packed(docs.select(*[common.quoted(c) for c in keep], F.col(text).alias("text")) if text not in keep else docs, ("text",), text=F.col("text"))
     rows = packed.withColumn("uid", F.monotonically_increasing_id())
-    added = "n_a long, n_b long, n_groups long, n_links long, best long, total long, groups_sha256 string, groups string, pair array<long>, times array<long>"
-    out = common.StructType([rows.schema["doc"], rows.schema["uid"], *common.StructType.fromDDL(added).fields])
-    schema = common.to_arrow_schema(out)
+    first = [rows.schema["doc"], rows.schema["uid"], *common.StructType.fromDDL("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string").fields]
+    read_schema = common.StructType([*first, *common.StructType.fromDDL("links binary").fields])
+    out = common.StructType([*first, *common.StructType.fromDDL("best long, total long, pair array<long>, times array<long>").fields])
+    read_arrow, schema = common.to_arrow_schema(read_schema), common.to_arrow_schema(out)
 
-    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Pair(a_path, b_path)
-        known, n, best = told.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo, hi in blocks(texts):
                 found = aligned(both, texts[lo:hi])
-                of, pair, times = found.pairs()
+                written = found.written(both.names)
+                hashes = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
+                columns = [found.a_count, found.b_count, found.group_count, found.link_count, hashes, written if groups else [None] * (hi - lo), found.links(kind)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *[pa.array(c, f.type) for c, f in zip(columns, list(read_arrow)[2:])]], schema=read_arrow)
+
+    linked = common.written(rows.select("doc", "uid", "text").mapInArrow(read, read_schema), "linked")
+    counts = common.written(link_counts(linked, kind, width), "pairs")
+    top = frequent(counts.withColumn("m", F.col("n")), pairs).select("pair", "n", "best").toArrow().sort_by("pair")
+    told = spark.sparkContext.broadcast((top["pair"].to_numpy(), top["n"].to_numpy(), top["best"].to_numpy()))
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n, best = told.value
+        for batch in batches:
+            links = batch.column(len(first)).to_pylist()
+            for lo, hi in blocks(links):
+                of, pair, times = pairs_of(links[lo:hi], kind)
                 at = np.searchsorted(known, pair)
                 at[at == len(known)] = 0
                 hit = known[at] == pair if len(known) else np.zeros(len(pair), bool)
                 sums = lambda x: np.bincount(of[hit], times[hit] * x[at[hit]], hi - lo).astype(np.int64)
                 bounds = np.searchsorted(of[~hit], np.arange(hi - lo + 1))
                 lists = [pa.array([x[~hit][i:j] for i, j in zip(bounds[:-1], bounds[1:])], pa.list_(pa.int64())) for x in (pair, times)]
-                written = found.written(both.names)
-                hashes = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
-                columns = [found.a_count, found.b_count, found.group_count, found.link_count, sums(best), sums(n), hashes, written if groups else [None] * (hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:])], *lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i)[lo:hi] for i in range(len(first))], pa.array(sums(best)), pa.array(sums(n)), *lists], schema=schema)
 
-    scored = common.written(rows.select("doc", "uid", "text").mapInArrow(weigh, out), "aligned")
+    scored = common.written(linked.mapInArrow(weigh, out), "aligned")
+    common.discard(linked)  # the links: what was read of them is written
     left = scored.select("uid", F.inline(F.arrays_zip("pair", "times"))).join(counts, "pair")
     more = left.groupBy("uid").agg(F.sum(F.col("times") * F.col("n")).alias("more_total"), F.sum(F.when(F.col("best"), F.col("times"))).alias("more_best"))
     both = scored.drop("pair", "times").join(more, "uid", "left")
