@@ -5,6 +5,7 @@ Helpers of suffix_dedup that run inside tasks, on bytes of bounded length.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -127,80 +128,58 @@ def merged(runs: list[Iterator[Item]]) -> Iterator[Item]:
             node //= 2
 
 
-class Intervals:
-    """The tree of runs of sorted strings that share a prefix: for each string, the runs around it, deepest first."""
-
-    def __init__(self, shared: list[int]):
-        """shared[i]: bytes that string i shares with string i - 1."""
-        depth, parent, stack, own = [], [], [], [-1] * len(shared)
-        for i in range(1, len(shared)):
-            d, last = shared[i], -1
-            while stack and depth[stack[-1]] > d:
-                if last >= 0:
-                    parent[last] = stack[-1]
-                last = stack.pop()
-            if not stack or depth[stack[-1]] < d:
-                depth.append(d)
-                parent.append(-1)
-                stack.append(len(depth) - 1)
-            node = stack[-1]
-            if last >= 0:
-                parent[last] = node
-            if own[i - 1] < 0 or depth[node] > depth[own[i - 1]]:
-                own[i - 1] = node
-            own[i] = node
-        for below, above in zip(stack[1:], stack):
-            parent[below] = above
-        self.depth, self.parent, self.own = depth, parent, own
-
-    def around(self, i: int) -> list[tuple[int, int, int]]:
-        """(run, least depth at which it is told apart from the one above, its depth): from the deepest up."""
-        out, node = [], self.own[i]
-        while node >= 0:
-            up = self.parent[node]
-            out.append((node, self.depth[up] + 1 if up >= 0 else 0, self.depth[node]))
-            node = up
-        return out
-
-
 def repeated(rights: list[int], lefts: list[bytes], windows: tuple[int, ...]) -> list[list[list[tuple[int, int]]]]:
     """For contexts around one gram, sorted by what follows, and each size of window: the offsets (first, last) of windows that another context holds too.
 
-    rights[i]: bytes that follow in both context i and i - 1; lefts[i]: the reversed bytes before the anchor. A window that starts
-    o bytes before its anchor is held by those that share o bytes to the left and window - o to the right, that is, by those in the
-    same run of the left order at depth o and of the right order at depth window - o.
+    rights[i]: bytes that follow in both context i and i - 1; lefts[i]: the reversed bytes before the anchor. Two contexts that share `right` bytes
+    after the anchor and `left` before it share the windows that start window - right to left bytes before it. Neighbours in the right order are
+    joined to groups, those that share most first, the smaller into the larger. Who is joined meets its neighbours in the left order alone: with
+    any other of the group one of the two shares no more than with a context nearer to it. That makes m log m meetings, however deep the prefixes nest.
     """
     m = len(lefts)
     order = sorted(range(m), key=lefts.__getitem__)
-    right = Intervals(rights)
-    left = Intervals([0, *(common_prefix(lefts[a], lefts[b]) for a, b in zip(order, order[1:]))])
-    place = [0] * m
-    for i, x in enumerate(order):
-        place[x] = i
-    around = [(right.around(x), left.around(place[x])[::-1]) for x in range(m)]
-    return [shared_windows(around, window) for window in windows]
-
-
-def shared_windows(around: list[tuple[list, list]], window: int) -> list[list[tuple[int, int]]]:
-    """Of each context, by its runs in the right order (deepest first) and in the left order (deepest last), the offsets of shared windows."""
-    members: dict[tuple[int, int], int] = {}
-    parts: list[list[tuple[tuple[int, int], int, int]]] = []
-    for rights, before in around:
-        after = [(v, window - d, window - lo) for v, lo, d in rights]  # offsets from the deepest run: ascending
-        own, j = [], 0
-        for u, lo, hi in before:
-            while j < len(after) and after[j][2] < lo:
-                j += 1
-            k = j
-            while k < len(after) and after[k][1] <= hi:
-                a, b = max(lo, after[k][1]), min(hi, after[k][2])
-                if a <= b:
-                    pair = (u, after[k][0])
-                    own.append((pair, a, b))
-                    members[pair] = members.get(pair, 0) + 1
-                k += 1
-        parts.append(own)
-    return [joined((a, b) for pair, a, b in own if members[pair] > 1) for own in parts]
+    ahead = [lefts[i] for i in order]
+    close = [0, *map(common_prefix, ahead, ahead[1:])]
+    place = sorted(range(m), key=order.__getitem__)
+    held = [[p] for p in place]  # at both ends of a group: its places in the left order, ascending
+    ends = list(range(m))  # at either end of a group: the other end
+    found: list[list[list[tuple[int, int]]]] = [[[] for _ in range(m)] for _ in windows]
+    best, least, most = [-1] * m, min(windows), max(close)
+
+    def meet(p: int, q: int, right: int) -> None:
+        """Of places p < q. As `right` only falls, who shares no more to the left than before adds nothing."""
+        left = min(close[p + 1], close[q])  # at most
+        if left < least - right or left <= best[p] and left <= best[q]:
+            return
+        if q > p + 1:
+            left = common_prefix(ahead[p], ahead[q])
+        for x in (p, q):
+            if left > best[x]:
+                best[x] = left
+                for window, spans in zip(windows, found):
+                    first, last, own = max(0, window - right), min(left, window), spans[x]
+                    if first <= last:
+                        if own and first <= own[-1][1] + 1:
+                            first = own.pop()[0]
+                        own.append((first, last))
+
+    for i in sorted(range(1, m), key=rights.__getitem__, reverse=True):
+        right = rights[i]
+        if most < least - right:
+            break
+        group, other, start, end = held[i - 1], held[i], ends[i - 1], ends[i]
+        if len(group) < len(other):
+            group, other = other, group
+        for p in other:
+            j = bisect(group, p)
+            if j:
+                meet(group[j - 1], p, right)
+            if j < len(group):
+                meet(p, group[j], right)
+            group.insert(j, p)
+        held[start] = held[end] = group
+        ends[start], ends[end] = end, start
+    return [[spans[p] for p in place] for spans in found]
 
 
 def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
