@@ -98,3 +98,24 @@ def test_buckets_of_split_grams_stay_bounded(hot):
     spread = -(-len(contexts) // bucket)
     sizes = Counter(D.bucket_of(h, c, spread, 7) for h, c in contexts)
     assert min(sizes) >= 7 and len(sizes) == spread and max(sizes.values()) < 1.3 * bucket
+
+
+def test_split_grams_count_single_windows_only_where_blocks_differ(spark, monkeypatch):
+    """A passage of 240 bytes in 60 texts, each with other words around it: most blocks of offsets are settled as a whole."""
+    rng, w, passage, seen = random.Random(6), 120, 100, []
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common = word(240)
+    found = [f"{word(80)}{common}{word(80)}" for _ in range(60)]
+    strings_of = D.strings_of
+
+    def counted(contexts, sizes):
+        out = strings_of(contexts, sizes)
+        seen.append(contexts.agg(F.sum(F.size("wanted"))).first()[0] if "wanted" in contexts.columns else D.twice(out).where("size > 0").count())
+        return out
+
+    monkeypatch.setattr(D, "strings_of", counted)
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in D.remove_repeats(df, window=w, gram=8, passage=passage, group=5).collect()}
+    assert got == dict(enumerate(plain(found, w, passage)))
+    shared, single = seen
+    assert 0 < 2 * single < shared

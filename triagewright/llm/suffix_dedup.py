@@ -15,7 +15,8 @@ through it can hold. Runs of `passage` bytes (shorter ones than `window`, some 4
 
 The contexts of a gram have to meet in step 4. Where it has more than `group` of them (a passage of a third of all documents, each with other
 words around it) its contexts are dealt, with those of all such grams, over as many buckets of `bucket` as that takes (their merged order isn't used), and what they share is found by splitting the gram by longer strings:
-first by what all runs of a block of offsets have in common, and where that occurs twice by the runs themselves. Spark sums those up anywhere.
+first by what all runs of a block of offsets have in common and by all they cover, and where the one occurs twice but not the other by the runs themselves. Spark sums
+those up anywhere.
 
 Null texts count as empty. Shorter texts than `window` keep all. Repeated rows are copies of each other. An empty table gives an empty table.
 Other columns of the input aren't looked at, whatever their names.
@@ -172,8 +173,8 @@ def compared(runs: DataFrame, buckets: int, windows: tuple[int, int]) -> DataFra
 
 
 def strings_of(contexts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """(h, c, n, size, k, low, high): a 128-bit hash, by gram and offset, of what the windows of each block of offsets have in common, or of each window
-    of the wanted blocks alone. contexts: h, c, n, ahead, rest, and wanted (array of size, k) for single windows."""
+    """(h, c, n, size, k, low, high): a 128-bit hash, by gram and offset, of what the windows of each block of offsets have in common and (size negative) of all
+    they cover, or of each window of the wanted blocks alone. contexts: h, c, n, ahead, rest, and wanted (array of size, k) for single windows."""
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("size", pa.int32()), ("k", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
 
     def parts(left: int, right: int, wanted: list[dict] | None) -> Iterator[tuple[int, int, int, int]]:
@@ -181,7 +182,10 @@ def strings_of(contexts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
         for size in sizes if wanted is None else ():
             o = range(max(0, size - right), left + 1)
             for k in range(o.start // WIDTH, -(-o.stop // WIDTH)) if len(o) else ():
-                yield size, k, -k * WIDTH, size - (k * WIDTH + WIDTH - 1)
+                low, high = k * WIDTH, k * WIDTH + WIDTH - 1
+                yield size, k, -low, size - high
+                if o.start <= low and high < o.stop:
+                    yield -size, k, -high, size - low
         for w in wanted or ():
             size, k = w["size"], w["k"]
             for i in range(max(0, size - right, k * WIDTH), min(left + 1, (k + 1) * WIDTH)):
@@ -204,23 +208,31 @@ def strings_of(contexts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 
 
 def twice(strings: DataFrame) -> DataFrame:
-    """Those strings that other contexts hold too. However often one occurs, it is counted and joined in SALTS parts."""
+    """Those strings that other contexts hold too; `leads` is true for one of the contexts of each. However often one occurs, it is counted and joined in SALTS parts."""
     salt = F.pmod(F.col("c"), F.lit(SALTS)).cast("int")
     rows = common.written(strings, "strings")
-    each = rows.groupBy("low", "high", salt.alias("salt")).agg(F.sum("n").alias("n"))
-    some = each.groupBy("low", "high").agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).where("n > 1")
-    found = some.select("low", "high", F.explode("salts").alias("salt"))
-    return rows.withColumn("salt", salt).join(found, ["low", "high", "salt"]).select("h", "c", "n", "size", "k")
+    each = rows.groupBy("low", "high", salt.alias("salt")).agg(F.sum("n").alias("n"), F.min("c").alias("lead"))
+    some = each.groupBy("low", "high").agg(F.sum("n").alias("n"), F.min("lead").alias("lead"), F.collect_list("salt").alias("salts")).where("n > 1")
+    found = some.select("low", "high", "lead", F.explode("salts").alias("salt"))
+    return rows.withColumn("salt", salt).join(found, ["low", "high", "salt"]).select("h", "c", "n", "size", "k", (F.col("c") == F.col("lead")).alias("leads"))
 
 
 def split(contexts: DataFrame, window: int, passage: int) -> DataFrame:
-    """As compared(), for grams with too many contexts. contexts: h, c, n, ahead, rest, written."""
+    """As compared(), for grams with too many contexts. contexts: h, c, n, ahead, rest, written.
+
+    Contexts that share all that a block's windows cover share each of them: only one of these goes on to single windows, where others may find it.
+    """
     sizes = tuple({window, passage})
-    blocks = twice(strings_of(contexts, sizes)).groupBy("h", "c").agg(F.collect_list(F.struct("size", "k")).alias("wanted"))
-    blocks = blocks.withColumnsRenamed({"h": "_h", "c": "_c"})
-    again = contexts.join(blocks, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).drop("_h", "_c")
-    found = twice(strings_of(again, sizes)).where("n = 1")
-    spans = lambda size: F.collect_list(F.when(F.col("size") == size, F.struct(F.col("k").alias("first"), F.col("k").alias("last"))))
+    k, listed = F.col("k"), lambda when: F.collect_list(F.when(when, F.struct(F.abs("size").alias("size"), "k")))
+    held = twice(strings_of(contexts, sizes)).groupBy("h", "c", "n")
+    blocks = held.agg(listed(F.col("size") > 0).alias("common"), listed(F.col("size") < 0).alias("whole"), listed((F.col("size") < 0) & ~F.col("leads")).alias("led"))
+    blocks = common.written(blocks.select("h", "c", "n", "whole", F.array_except("common", "led").alias("wanted")), "blocks")
+    open_ = blocks.where(F.size("wanted") > 0).select(F.col("h").alias("_h"), F.col("c").alias("_c"), "wanted")
+    again = contexts.join(open_, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).drop("_h", "_c")
+    single = twice(strings_of(again, sizes)).where("n = 1").select("h", "c", "size", k.alias("first"), k.alias("last"))
+    whole = blocks.where("n = 1").select("h", "c", F.explode("whole").alias("w")).select("h", "c", "w.*")
+    found = single.unionByName(whole.select("h", "c", "size", (k * WIDTH).alias("first"), (k * WIDTH + WIDTH - 1).alias("last")))
+    spans = lambda size: F.collect_list(F.when(F.col("size") == size, F.struct("first", "last")))
     return found.groupBy("h", "c").agg(spans(window).alias("offsets"), spans(passage).alias("passages"))
 
 
