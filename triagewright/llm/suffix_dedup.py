@@ -8,7 +8,7 @@ through it can hold. Runs of `passage` bytes (shorter ones than `window`, some 4
 1. Texts are told apart by 128 bits of hash; equal ones count as one, which is removed whole if it has `window` bytes.
 2. (gram, context) pairs are counted. A context that occurs twice is repeated whole. A gram with one context is done.
 3. Tasks cut the other contexts from the texts, each once, and emit them as sorted, front-coded runs of suffixes, dealt by gram into
-   buckets of about `bucket` contexts, however many there are.
+   buckets of about `bucket` contexts, however many there are, and at most `group` of each gram.
 4. Each bucket's runs are merged by a loser tree that never compares known prefixes again. From the prefixes that neighbours
    share, and those of the reversed bytes before the anchors, follows which runs two contexts share, without pairs.
 5. Offsets come back by context, are merged per text and cut out.
@@ -37,7 +37,7 @@ from pyspark.sql.types import StructType
 from triagewright.llm import common
 from triagewright.llm import suffixes as X
 
-WINDOW, PASSAGE, GRAM, GROUP, BUCKET = 400, 256, 32, 20_000, 50_000
+WINDOW, PASSAGE, GRAM, GROUP, BUCKET = 400, 256, 32, 100_000, 50_000
 #: Bytes of contexts that a task holds before it emits its runs.
 HELD = 48_000_000
 #: Offsets in a block of a split gram; tasks that what one string counts is dealt to.
