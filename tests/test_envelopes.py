@@ -2,7 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagewright import registry
+from triagewright import schemas as S
 from triagewright.operators import clusters as C
+from triagewright.operators import history as H
+from triagewright.plans import jobs as J
+from triagewright.sources import reports as R
 
 
 def long_reports(spark, n):
@@ -41,3 +45,26 @@ def test_queries_of_envelopes_make_no_row_of_a_whole_report(spark, name, monkeyp
     monkeypatch.setattr(C, "envelope_pieces", lambda *a: sizes.append(a[3] if len(a) > 3 else C.PIECE) or pieces(*a))
     registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sizes == [C.PIECE]
+
+
+def test_reports_in_pieces_are_triaged_as_whole_ones(spark):
+    n = F.col("failure_idx").cast("string")
+    texts = {c: F.concat(F.lit(f"{c} "), n) for c in ("test_case_id", "scenario_name", "failed_step_line", "failure_image", "video_url")}
+    rows = spark.range(24).select((F.col("id") % 3).cast("string").alias("report_id"), F.col("id").alias("failure_idx")).withColumns(texts).withColumn("error_message", F.concat(F.lit("E & <b> "), F.col("failure_idx") % 5))
+    kinds = spark.createDataFrame([("0", "EXTENT"), ("1", "extent"), ("2", "OTHER"), ("empty", "EXTENT")], "report_id string, report_type string")
+    empty = H.feedback_current(spark.createDataFrame([], S.FEEDBACK_LOG))
+    whole = J.triage_reports(kinds.join(R.render_reports(rows).select("report_id", "html"), "report_id", "left"), empty)
+    pieces = J.triage_reports(kinds, empty, pieces=R.render_pieces(rows))
+    want = sorted(map(repr, whole["envelopes"].collect()))
+    assert sorted(map(repr, pieces["envelopes"].collect())) == sorted(map(repr, pieces["envelope_pieces"].drop("piece").collect())) == want
+    assert {r.report_id: r.total_failures for r in whole["envelopes"].collect()} == {"0": 8, "1": 8, "2": 0, "empty": 0}
+
+
+def test_triage_reports_renders_no_report_whole(spark, monkeypatch):
+    """Nor are tables of a row a failure broadcast, which their files' sizes would allow."""
+    monkeypatch.setattr(R, "render_reports", None)
+    monkeypatch.setattr(R, "explode_reports", None)
+    written, members = J.written, []
+    monkeypatch.setattr(J, "written", lambda df, name: (members.append(df) if name == "investigated" else None) or written(df, name))
+    assert registry.QUERIES["triage_reports"](spark, "/root/testdata/sf0.001").count() > 0
+    assert "Broadcast" not in members[0]._jdf.queryExecution().sparkPlan().toString()
