@@ -68,3 +68,19 @@ def test_triage_reports_renders_no_report_whole(spark, monkeypatch):
     monkeypatch.setattr(J, "written", lambda df, name: (members.append(df) if name == "investigated" else None) or written(df, name))
     assert registry.QUERIES["triage_reports"](spark, "/root/testdata/sf0.001").count() > 0
     assert "Broadcast" not in members[0]._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_report_in_pieces_is_read_by_one_task(spark, monkeypatch):
+    """Also where a join turns out small only at run time, and its sides are then read as they were split."""
+    monkeypatch.setattr(J, "triage_failures", lambda failures, *more: (_ for _ in ()).throw(StopIteration(failures)))
+    rows = spark.range(0, 800, 1, 8).select((F.col("id") % 2).cast("string").alias("report_id"), F.col("id").alias("failure_idx"), *[F.lit("x").alias(c) for c in ("test_case_id", "scenario_name", "failed_step_line", "error_message", "failure_image", "video_url")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        with pytest.raises(StopIteration) as found:
+            J.triage_reports(rows.select("report_id", F.lit("EXTENT").alias("report_type")).distinct(), None, pieces=R.render_pieces(rows))
+        keys = found.value.value.select("report_id", "failure_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert len(keys) == len(set(keys)) == 800
